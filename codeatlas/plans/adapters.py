@@ -13,7 +13,7 @@ AS_OF = "2024-01-31 00:00:00"
 
 
 def as_of() -> Column:
-    return F.lit(AS_OF).cast("timestamp")
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 # ---------------------------------------------------------------- foreign-key graph
