@@ -164,7 +164,7 @@ def blame(spark, sf):
 
 
 @query("b9_join_blame", MARK_SQL + BLAME_SQL + f"""
-, j AS (SELECT m.*, author, ts, CAST(floor(epoch_us(TIMESTAMP '{A.AS_OF}') - epoch_us(ts)) // 86400000000 AS BIGINT) AS d
+, j AS (SELECT m.*, author, ts, (epoch_us(TIMESTAMP '{A.AS_OF}') - epoch_us(ts)) // 86400000000 AS d
         FROM marks m LEFT JOIN blame USING (repo, path, line))
 SELECT repo, path, line, type, text, coalesce(author, 'uncommitted') AS author, ts,
        CASE WHEN ts IS NULL THEN 'new' WHEN d = 0 THEN 'today' WHEN d = 1 THEN '1 day ago' WHEN d < 30 THEN d || ' days ago'
