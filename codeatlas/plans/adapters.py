@@ -254,7 +254,9 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MESSAGES_SQL = """
-messages AS (SELECT 'chat' AS repo, conv_id AS session_id, CAST(turn AS INTEGER) AS turn, role, text FROM conversations)
+messages AS (
+  SELECT 'chat' AS repo, conv_id AS session_id, CAST(turn AS INTEGER) AS turn, role, text,
+         TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60) AS ts FROM conversations)
 """
 
 
@@ -262,6 +264,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(
         F.lit("chat").alias("repo"), F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("turn"),
         "role", "text",
+        F.timestamp_add("SECOND", F.col("conv_id") * 3600 + F.col("turn") * 60, F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"),
     )
 
 
