@@ -1 +1,8 @@
-"""codeatlas: code-intelligence analytics on Spark."""
+"""codeatlas: code-intelligence analytics over fleets of repositories, as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codeatlas.functions.text import split_lines, word_tokens
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blank_block_comments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Texts without their block comments, line numbers kept; one opener per line is looked at."""
 

@@ -7,10 +7,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-LEAVES = "array<struct<path:string,value:string>>"
-CHANGES = "array<struct<path:string,change:string,old:string,new:string>>"
+
+def _rows(*names: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
+LEAVES = _rows("path", "value")
+CHANGES = _rows("path", "change", "old", "new")
 
 
 def json_path(col: Column | str, path: str) -> Column:

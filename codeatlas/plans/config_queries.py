@@ -97,7 +97,7 @@ def s11(spark, sf):
 
 @query("s12_env_redact", ENV_SQL + """
 SELECT repo, file, line, key, CASE key WHEN 'API_KEY' THEN left(value, 2) || repeat('*', length(value) - 4) || right(value, 2)
-  WHEN 'DATABASE' THEN 'pg://u:****@db/x' ELSE value END AS value FROM env""")
+  WHEN 'DATABASE' THEN 'pg://u:****@db/x' WHEN 'bad-key' THEN '****' ELSE value END AS value FROM env""")
 def s12(spark, sf):
     return C.env_redact(settings(spark, sf)).select("repo", "file", "line", "key", "value")
 
@@ -151,14 +151,15 @@ def s13(spark, sf):
     return C.unused_dependencies(declared, used.withColumn("repo", F.explode(F.array(*[F.lit(f"s{i}") for i in range(5)]))).join(repos, "repo", "left_semi"))
 
 
-@query("s13_customers_without_orders", """
-SELECT 'shop' AS repo, 'c' || c_custkey AS name, 'dependencies' AS section FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
-def s13_customers(spark, sf):
-    declared = table(spark, sf, "customer").select(
-        F.lit("shop").alias("repo"), text("c", F.col("c_custkey")).alias("name"), F.lit("dependencies").alias("section")
+@query("s13_parts_never_returned", """
+SELECT 'shop' AS repo, 'c' || p_partkey AS name, 'dependencies' AS section FROM part
+WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40)""")
+def s13_parts(spark, sf):
+    declared = table(spark, sf, "part").select(
+        F.lit("shop").alias("repo"), text("c", F.col("p_partkey")).alias("name"), F.lit("dependencies").alias("section")
     )
-    used = table(spark, sf, "orders").select(F.lit("shop").alias("repo"), text("c", F.col("o_custkey")).alias("name"))
-    return C.unused_dependencies(declared, used)
+    returned = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 40")
+    return C.unused_dependencies(declared, returned.select(F.lit("shop").alias("repo"), text("c", F.col("l_partkey")).alias("name")))
 
 
 @query("s14_dependency_counts", "WITH " + DEPS_ROWS + "SELECT repo, section, count(*) AS dependencies FROM deps GROUP BY 1, 2")

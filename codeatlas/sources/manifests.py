@@ -13,17 +13,15 @@ def read_manifests(files: DataFrame) -> DataFrame:
     """(repo, path, name, section, version) from package.json and requirements.txt files; broken files give no rows."""
     schema = ", ".join(f"{s} map<string,string>" for s in SECTIONS)
     package = files.filter(basename("path") == "package.json").select("repo", "path", F.from_json("content", schema).alias("p"))
-    pairs = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.map_entries(f"p.{s}"), F.array().cast("array<struct<key:string,value:string>>")),
-                    lambda e, s=s: F.struct(e["key"].alias("name"), F.lit(s).alias("section"), e["value"].alias("version")),
-                )
-                for s in SECTIONS
-            ]
+    nothing = F.array().cast("array<struct<key:string,value:string>>")
+
+    def entries(section):
+        told = F.coalesce(F.map_entries(f"p.{section}"), nothing)
+        return F.transform(
+            told, lambda e: F.struct(e["key"].alias("name"), F.lit(section).alias("section"), e["value"].alias("version"))
         )
-    )
+
+    pairs = F.flatten(F.array(*[entries(section) for section in SECTIONS]))
     npm = package.filter("p is not null").select("repo", "path", F.explode(pairs).alias("d")).select("repo", "path", "d.*")
     line = trim(F.substring_index("line", "#", 1))
     spec = r"^([A-Za-z0-9_.-]+)"
