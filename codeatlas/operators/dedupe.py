@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codeatlas.functions.text import split_lines, word_tokens
+from codeatlas.session import cut
 
 
 @F.pandas_udf(T.StringType())
@@ -85,28 +86,57 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(both / union)
 
 
-def duplicate_pairs(files: DataFrame, min_lines: int = 6, threshold: float = 0.8, across_repos: bool = False) -> DataFrame:
+def _blocks(files: DataFrame, min_lines: int, stride: int | None) -> DataFrame:
+    """(repo, file, start, end, bucket, exact) of every window; the tokens themselves are not carried along."""
+    width = 3 * min_lines
+    step = stride or max(1, width // 2)
+    told = tokenize(files).filter(F.size("tokens") >= width).select(
+        "repo", F.col("path").alias("file"), F.col("tokens.token").alias("t"), F.col("tokens.line").alias("l")
+    )
+
+    def window(i):
+        tokens = F.slice(F.col("t"), i, width)
+        return F.struct(
+            F.get(F.col("l"), i - 1).alias("start"), F.get(F.col("l"), i + (width - 2)).alias("end"),
+            F.xxhash64(F.array_join(tokens, "")).alias("bucket"), F.unhex(F.md5(F.array_join(tokens, "\x01"))).alias("exact"),
+        )
+
+    windows = F.filter(
+        F.transform(F.expr(f"sequence(1, size(t) - {width} + 1, {step})"), window),
+        lambda w: w["end"] - w["start"] + 1 >= min_lines,
+    )
+    return told.select("repo", "file", F.explode(windows).alias("w")).select("repo", "file", "w.*")
+
+
+def duplicate_pairs(
+    files: DataFrame, min_lines: int = 6, threshold: float = 0.8, across_repos: bool = False, stride: int | None = None
+) -> DataFrame:
     """(repo_a, file_a, start_a, end_a, repo_b, file_b, start_b, end_b, lines, similarity), linear in the number of blocks.
 
     Blocks with the same tokens form a class.  Every block with a twin that does not overlap it is paired once: with
     the first block of its class or, where it overlaps that one, with the last (if it overlaps both, it overlaps the
     whole class and has no twin).  Blocks of one bucket that spell the same characters with other tokens are compared
     through the first block of each class.  All further pairs follow from these, and a class of n copies costs n rows
-    instead of n*n/2.  Only hashes are shuffled, never token arrays, apart from buckets with several spellings.
+    instead of n*n/2.  Only hashes are shuffled; texts are read again for buckets with several spellings, if any.
     """
     scope = [] if across_repos else ["repo"]
-    windows = window_hash(token_windows(tokenize(files), min_lines))
-    at = F.struct("repo", F.col("path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
-    blocks = windows.select(*scope, "hash", "exact", at.alias("at"))
-    classes = blocks.groupBy(*scope, "hash", "exact").agg(
-        F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")
+    blocks = cut(_blocks(files, min_lines, stride))
+    shared = blocks.groupBy(*scope, "bucket").agg(
+        F.count("*").alias("n"), F.min(F.xxhash64("exact")).alias("lo"), F.max(F.xxhash64("exact")).alias("hi")
+    ).filter("n > 1")
+    at = F.struct("repo", "file", "start", "end")
+    # most windows are unique: from here on only those in a shared bucket are left
+    dense = cut(
+        blocks.join(shared.select(*scope, "bucket", (F.col("lo") != F.col("hi")).alias("mixed")), [*scope, "bucket"])
+        .select(*scope, "bucket", "exact", "mixed", at.alias("at"))
     )
+    classes = dense.groupBy(*scope, "bucket", "exact", "mixed").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
 
     def overlaps(a, b):
         return (a["repo"] == b["repo"]) & (a["file"] == b["file"]) & (F.abs(a["start"] - b["start"]) < min_lines)
 
-    twins = (
-        blocks.join(classes.filter("n > 1").drop("n"), [*scope, "hash", "exact"])
+    pairs = (
+        dense.join(classes.filter("n > 1").select(*scope, "exact", "first", "last"), [*scope, "exact"])
         .select(
             F.when(~overlaps(F.col("at"), F.col("first")), F.col("first"))
             .when(~overlaps(F.col("at"), F.col("last")), F.col("last")).alias("a"),
@@ -116,20 +146,26 @@ def duplicate_pairs(files: DataFrame, min_lines: int = 6, threshold: float = 0.8
         # a pair met from both ends is told once
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
     )
-    mixed = classes.groupBy(*scope, "hash").agg(F.count("*").alias("spellings"), F.min("first").alias("lead")).filter(
-        "spellings > 1"
-    )
-    leads = classes.join(mixed, [*scope, "hash"]).select("lead", "first").filter("lead <> first")
-    texts = windows.select(at.alias("at"), "tokens")
-    other = (
-        leads.join(texts.withColumnRenamed("at", "first").withColumnRenamed("tokens", "tokens_b"), "first")
-        .join(texts.withColumnRenamed("at", "lead").withColumnRenamed("tokens", "tokens_a"), "lead")
-        .withColumn("similarity", jaccard(F.col("tokens_a"), F.col("tokens_b")))
-        .filter(F.col("similarity") >= threshold)
-        .filter(~overlaps(F.col("lead"), F.col("first")))
-        .select(F.col("lead").alias("a"), F.col("first").alias("b"), "similarity")
-    )
-    pairs = twins.unionByName(other)
+    mixed = cut(classes.filter("mixed"))
+    if not mixed.isEmpty():
+        leads = mixed.groupBy(*scope, "bucket").agg(F.min("first").alias("lead"))
+        spelled = mixed.join(leads, [*scope, "bucket"]).select("lead", "first").filter("lead <> first")
+        ends = spelled.select(F.col("lead").alias("at")).unionByName(spelled.select(F.col("first").alias("at"))).distinct()
+        sources = files.join(ends.select("at.repo", F.col("at.file").alias("path")).distinct(), ["repo", "path"], "left_semi")
+        windows = token_windows(tokenize(sources), min_lines, stride).select(
+            F.struct("repo", F.col("path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end")).alias("at"),
+            "tokens", F.unhex(F.md5(F.array_join("tokens", "\x01"))).alias("exact"),
+        )
+        texts = windows.join(mixed.select("exact").distinct(), "exact", "left_semi").drop("exact").dropDuplicates(["at"])
+        other = (
+            spelled.join(texts.select(F.col("at").alias("first"), F.col("tokens").alias("tokens_b")), "first")
+            .join(texts.select(F.col("at").alias("lead"), F.col("tokens").alias("tokens_a")), "lead")
+            .withColumn("similarity", jaccard(F.col("tokens_a"), F.col("tokens_b")))
+            .filter(F.col("similarity") >= threshold)
+            .filter(~overlaps(F.col("lead"), F.col("first")))
+            .select(F.col("lead").alias("a"), F.col("first").alias("b"), "similarity")
+        )
+        pairs = pairs.unionByName(other)
     return pairs.select(
         *[F.col(f"{s}.{f}").alias(f"{f}_{s}") for s in "ab" for f in ("repo", "file", "start", "end")],
         (F.greatest(F.col("a.end") - F.col("a.start"), F.col("b.end") - F.col("b.start")) + 1).alias("lines"), "similarity",

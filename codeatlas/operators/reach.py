@@ -2,10 +2,10 @@
 
 Every loop works on whole frontiers.  A round is one equi-join of the frontier with the edge table followed by a
 distinct (partial on the map side) and an anti-join against what was seen; its result is written to the shared
-folder (`session.cut`), so lineage stays flat and a lost executor costs one round at most.  Edges are deduplicated on
-both end points before the loop, which also spreads a vertex holding a large share of all edges over all partitions;
-small frontiers are broadcast by Catalyst because the written table carries its real size, large ones shuffle with
-AQE's skew splitting.  Only counts travel to the driver.
+folder (`session.cut`), so lineage stays flat and a lost executor costs one round at most.  The edge
+table is written once, in the partitioning it comes in, so a vertex holding a large share of all edges stays spread
+over all partitions; small frontiers are broadcast by Catalyst because the written table carries its real size, and
+then edges are never shuffled; large ones shuffle with AQE's skew splitting.  Only counts travel to the driver.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def reach(
     `starts` has (repo, id).  `incoming` walks edges backwards (who depends on me), `outgoing` forwards.
     """
     near, far = ("dst", "src") if direction == "incoming" else ("src", "dst")
-    steps = cut(edges.select("repo", F.col(near).alias("id"), F.col(far).alias("next")).distinct())
+    steps = cut(edges.select("repo", F.col(near).alias("id"), F.col(far).alias("next")))
     frontier = cut(
         starts.select("repo", F.col("id").alias("origin"), "id").distinct().withColumn("depth", F.lit(0))
     )
@@ -108,7 +108,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, src: str, targets: list[s
     Each level keeps one parent per node (the smallest id), and paths are only put together for the targets, by
     walking the levels back: no path is carried through the search.
     """
-    steps = cut(edges.select("repo", F.col("src").alias("id"), F.col("dst").alias("next")).distinct())
+    steps = cut(edges.select("repo", F.col("src").alias("id"), F.col("dst").alias("next")))
     known_nodes = nodes.select("repo", "id")
     nothing = F.lit(None).cast("string")
     levels = [cut(known_nodes.filter(F.col("id") == src).select("repo", "id", nothing.alias("parent")))]
@@ -147,94 +147,92 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, src: str, dst: str) -> Dat
 # ---------------------------------------------------------------- strongly connected components
 
 
-def _trim(edges: DataFrame, peels: int = 3) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: their source is never entered or their target never left."""
+def _trim(edges: DataFrame, scope: list[str], peels: int = 3, worth: float = 0.1) -> DataFrame:
+    """Drop edges that cannot lie on a cycle: their source is never entered or their target never left.
+
+    Peeling goes on while it pays; what is left of the acyclic part is sorted out by the colours.
+    """
     size = edges.count()
     while True:
         kept = edges
         for _ in range(peels):  # several peels per written table keep the number of jobs low
-            entered = kept.select("repo", F.col("dst").alias("src")).distinct()
-            left = kept.select("repo", F.col("src").alias("dst")).distinct()
-            kept = kept.join(entered, ["repo", "src"], "left_semi").join(left, ["repo", "dst"], "left_semi")
+            entered = kept.select(*scope, F.col("dst").alias("src")).distinct()
+            left = kept.select(*scope, F.col("src").alias("dst")).distinct()
+            kept = kept.join(entered, [*scope, "src"], "left_semi").join(left, [*scope, "dst"], "left_semi")
         kept = cut(kept)
         now = kept.count()
-        if now in (0, size):
+        if now >= size * (1 - worth) or now == 0:
             return kept
         edges, size = kept, now
 
 
-def _colours(edges: DataFrame, hops: int = 3) -> DataFrame:
-    """(repo, id, ahead, behind): the largest id that reaches each node, and the largest id it reaches.
+def _colours(edges: DataFrame, hops: int = 8) -> DataFrame:
+    """(id, ahead, behind): the largest number that reaches each node, and the largest number it reaches.
 
-    Both directions run in one loop, told apart by `way`.  After a few hops every label also takes over its own
-    label's label (what reaches my label reaches me), so a ring of length n settles in about log n rounds.
+    Both directions run in one loop, told apart by `way`.  Between written tables every label goes several hops, and
+    each node also takes over the label of its label (what reaches my label reaches me).
     """
-    fwd = edges.select("repo", F.lit("f").alias("way"), F.col("src").alias("id"), F.col("dst").alias("next"))
-    bwd = edges.select("repo", F.lit("b").alias("way"), F.col("dst").alias("id"), F.col("src").alias("next"))
+    fwd = edges.select(F.lit(0).alias("way"), F.col("src").alias("id"), F.col("dst").alias("next"))
+    bwd = edges.select(F.lit(1).alias("way"), F.col("dst").alias("id"), F.col("src").alias("next"))
     moves = fwd.unionByName(bwd)
-    ids = moves.select("repo", "way", "id").unionByName(moves.select("repo", "way", F.col("next").alias("id"))).distinct()
+    ids = moves.select("way", "id").unionByName(moves.select("way", F.col("next").alias("id"))).distinct()
     # A stay-put step per node lets one join carry both the pushed and the kept labels.
     steps = cut(
-        moves.withColumn("stay", F.lit(False)).unionByName(
-            ids.select("repo", "way", "id", F.col("id").alias("next"), F.lit(True).alias("stay"))
-        )
+        moves.withColumn("stay", F.lit(False)).unionByName(ids.select("way", "id", F.col("id").alias("next"), F.lit(True).alias("stay")))
     )
-    labels = ids.withColumn("label", F.col("id"))
+    labels = steps.filter("stay").select("way", "id", F.col("id").alias("label"))
     while True:
         grown = labels.withColumn("old", F.col("label"))
         for _ in range(hops):
             grown = (
-                steps.join(grown, ["repo", "way", "id"])
-                .groupBy("repo", "way", F.col("next").alias("id"))
+                steps.join(grown, ["way", "id"]).groupBy("way", F.col("next").alias("id"))
                 .agg(F.max("label").alias("label"), F.max(F.when(F.col("stay"), F.col("old"))).alias("old"))
             )
-        over = grown.select("repo", "way", F.col("id").alias("label"), F.col("label").alias("further"))
-        grown = cut(
-            grown.join(over, ["repo", "way", "label"]).select(
-                "repo", "way", "id", F.greatest("label", "further").alias("label"), "old"
-            )
-        )
+        grown = cut(grown)
         if grown.filter("label <> old").isEmpty():
-            return grown.groupBy("repo", "id").agg(
-                F.max(F.when(F.col("way") == "f", F.col("label"))).alias("ahead"),
-                F.max(F.when(F.col("way") == "b", F.col("label"))).alias("behind"),
+            return grown.groupBy("id").agg(
+                F.max(F.when(F.col("way") == 0, F.col("label"))).alias("ahead"),
+                F.max(F.when(F.col("way") == 1, F.col("label"))).alias("behind"),
             )
-        labels = grown.drop("old")
+        over = grown.select("way", F.col("id").alias("label"), F.col("label").alias("further"))
+        labels = grown.drop("old").join(over, ["way", "label"]).select("way", "id", F.greatest("label", "further").alias("label"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(repo, node, component, size) of components with more than one node, plus self-loops.
+    """(repo, node, component, size) of components with more than one node, plus self-loops; named by their largest id.
 
-    Two-way colouring: trim what lies on no cycle, then give every node the largest id reaching it and the largest
-    id it reaches.  Where both are the same id, the node and that id reach each other, so they form a component.
-    Edges between differently coloured nodes cannot lie inside a component and are dropped; the rest goes another
-    round, each of which settles at least the component of the largest id left.
+    Two-way colouring: trim what lies on no cycle, then give every node the largest number reaching it and the largest
+    it reaches.  Where both are the same, the node and the node of that number reach each other, so they form a
+    component.  Edges between differently coloured nodes cannot lie inside a component and are dropped; the rest goes
+    another round, each of which settles at least the component of the largest number left.
+
+    Nodes are numbered once in a written table, so the numbers are fixed; the loop then moves eight bytes per node
+    instead of ids and aggregates by hash.
     """
     pairs = cut(edges.select("repo", "src", "dst").distinct())
     loops = pairs.filter("src = dst").select("repo", F.col("src").alias("node"), F.col("src").alias("component"))
-    rest, found = pairs.filter("src <> dst"), []
-    while True:
-        rest = _trim(rest)
-        if rest.isEmpty():
-            break
+    core = _trim(pairs.filter("src <> dst"), ["repo"])
+    ends = core.select("repo", F.col("src").alias("node")).unionByName(core.select("repo", F.col("dst").alias("node")))
+    names = cut(ends.distinct().withColumn("id", F.monotonically_increasing_id()))
+    a = names.select("repo", F.col("node").alias("src"), F.col("id").alias("a"))
+    b = names.select("repo", F.col("node").alias("dst"), F.col("id").alias("b"))
+    rest = cut(core.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found = []
+    while not rest.isEmpty():
         colour = cut(_colours(rest))
-        found.append(
-            colour.filter("ahead = behind").select("repo", F.col("id").alias("node"), F.col("ahead").alias("component"))
-        )
+        found.append(colour.filter("ahead = behind").select("id", F.col("ahead").alias("group")))
         open_ids = colour.filter("ahead <> behind")
-        a = open_ids.select("repo", F.col("id").alias("src"), F.struct("ahead", "behind").alias("a"))
-        b = open_ids.select("repo", F.col("id").alias("dst"), F.struct("ahead", "behind").alias("b"))
-        rest = rest.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).filter("a = b").select("repo", "src", "dst")
+        a = open_ids.select(F.col("id").alias("src"), F.struct("ahead", "behind").alias("a"))
+        b = open_ids.select(F.col("id").alias("dst"), F.struct("ahead", "behind").alias("b"))
+        rest = _trim(rest.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst"), [])
     if not found:
         return loops.withColumn("size", F.lit(1).cast("long"))
-    # A node can be settled alone when its larger neighbours were cut off: that is no cycle.
-    groups = _union(found)
-    sizes = groups.groupBy("repo", "component").agg(F.count("*").alias("size")).filter("size > 1")
-    groups = groups.join(sizes, ["repo", "component"])
-    lone = loops.join(groups.select("repo", "node"), ["repo", "node"], "left_anti")
-    return groups.select("repo", "node", "component", "size").unionByName(
-        lone.withColumn("size", F.lit(1).cast("long"))
-    )
+    groups = _union(found).join(names, "id")
+    # A node settled alone lies on no cycle.
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"), F.max("node").alias("component")).filter("size > 1")
+    members = groups.join(sizes, "group").select("repo", "node", "component", "size")
+    lone = loops.join(members.select("repo", "node"), ["repo", "node"], "left_anti")
+    return members.unionByName(lone.withColumn("size", F.lit(1).cast("long")))
 
 
 # ---------------------------------------------------------------- topological levels

@@ -38,10 +38,12 @@ def _file(df, path, language, *body):
     return df.select("repo", path.alias("path"), F.lit(language).alias("language"), lines(*body).alias("content"))
 
 
-p, c1, c2, d, d1 = (F.col(x) for x in ("p", "c1", "c2", "d", "d1"))
+def refs():
+    return [F.col(x) for x in ("p", "c1", "c2", "d", "d1")]
 
 
 def ts_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
     return _file(
         parts(spark, sf), text("src/", d, "/fn_", p, ".ts"), "typescript",
         text("import { fn_", c1, " as other, type T } from '../", d1, "/fn_", c1, ".js';"),
@@ -60,6 +62,7 @@ def ts_files(spark, sf):
 
 
 def py_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
     return _file(
         parts(spark, sf), text("py/fn_", p, ".py"), "python",
         text("from .fn_", c1, " import fn_", c1, " as f, helper"),
@@ -78,6 +81,7 @@ def py_files(spark, sf):
 
 
 def java_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
     return _file(
         parts(spark, sf), text("java/Fn", p, ".java"), "java",
         "package shop;",
@@ -95,6 +99,7 @@ def java_files(spark, sf):
 
 
 def sql_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
     return _file(
         parts(spark, sf), text("models/staging/s", p, ".sql"), "sql",
         text("CREATE OR REPLACE PROCEDURE proc_", p, "(x int) AS"),
@@ -145,6 +150,7 @@ def c2_py(spark, sf):
 SELECT repo, 'fn_' || p AS name, 'function' AS kind, {TS} AS file, 4 AS line, 10 AS priority FROM p
 UNION ALL SELECT repo, 'run' || p, 'method', {TS}, 10, 6 FROM p""")
 def c3(spark, sf):
+    p, c1, c2, d, d1 = refs()
     base = parts(spark, sf)
     names = base.select("repo", text("fn_", p).alias("name")).unionByName(base.select("repo", text("run", p).alias("name")))
     return E.find_definitions(ts_files(spark, sf), names)
@@ -158,6 +164,7 @@ r AS (
   UNION ALL SELECT repo, c1, p, {TS}, 'call', 10, 'run' || p || '(q: string) {{ return fn_' || c1 || '(q); }}', 'q' FROM p)
 SELECT repo, 'fn_' || k AS symbol, kind, file, line, code, args FROM r""")
 def c4(spark, sf):
+    p, c1, c2, d, d1 = refs()
     names = parts(spark, sf).select("repo", text("fn_", p).alias("name"), text("src/", d, "/fn_", p, ".ts").alias("def_file"))
     return E.find_references(ts_files(spark, sf), names)
 
@@ -373,6 +380,7 @@ CBL = "'cbl/P' || p || '.cbl'"
 
 
 def cobol_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
     return _file(
         parts(spark, sf), text("cbl/P", p, ".cbl"), "cobol",
         "       IDENTIFICATION DIVISION.", text("       PROGRAM-ID. P", p, "."), text("       FD  FILE", p % 10, "."), text("       COPY BOOK", c1, " ."),
@@ -397,6 +405,7 @@ def c16(spark, sf):
 
 
 def docker_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
     base = parts(spark, sf)
     image = _file(
         base, text("d", p, "/Dockerfile"), "docker", text("FROM node:", p % 9, " AS build"), "FROM scratch", text("from base:", p),
@@ -431,6 +440,7 @@ API = "'api/' || p || '.yaml'"
 
 
 def openapi_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
     return _file(
         parts(spark, sf), text("api/", p, ".yaml"), "openapi", F.when(p % 5 == 0, "kind: other").otherwise("openapi: 3.0.0"), "# note", "paths:",
         text("  /u/", p, ":"), "    get:", "      summary: x", "    post:", "      x: y", "components:", "  schemas:", text("    S", p, ":"),
