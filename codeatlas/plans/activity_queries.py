@@ -107,13 +107,14 @@ def h5(spark, sf):
 s AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash DESC) AS nth FROM talk),
 c AS (SELECT repo, count(*) AS n, count(*) FILTER (WHERE regexp_matches(subject, '^feat(\(.+?\))?:')) AS typed FROM s WHERE nth <= 20 GROUP BY repo),
 b AS (SELECT 'p' || user_id AS repo, bool_or(event_type = 'purchase') AS f, bool_or(event_type = 'signup') AS g FROM events
-      WHERE event_type IN ('purchase', 'signup', 'error') AND user_id % 3 <> 0 GROUP BY 1)
+      WHERE event_type IN ('purchase', 'signup', 'error') AND CAST(json_extract_string(props, '$.k') AS INTEGER) < 3 GROUP BY 1)
 SELECT c.repo, CASE WHEN typed > 0 AND typed >= n * 0.5 THEN 'conventional' ELSE 'freeform' END AS commit_convention,
   CASE WHEN f THEN 'feat/<name>' WHEN g THEN 'gitflow' WHEN f IS NOT NULL THEN '<type>/<name>' ELSE 'unknown' END AS branch_pattern
 FROM c LEFT JOIN b USING (repo)""")
 def h6(spark, sf):
     kind = F.col("event_type")
-    branches = table(spark, sf, "events").filter("event_type in ('purchase', 'signup', 'error') and user_id % 3 <> 0").select(
+    made = table(spark, sf, "events").filter("event_type in ('purchase', 'signup', 'error')")
+    branches = made.filter(F.get_json_object("props", "$.k").cast("int") < 3).select(
         F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("repo"),
         F.when(kind == "purchase", "feature/x").when(kind == "signup", "release/1").otherwise("wip").alias("branch"),
     )

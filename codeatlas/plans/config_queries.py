@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeatlas.operators import config as C, jsondocs as J, verify as V
 from codeatlas.plans import adapters as A
 from codeatlas.plans.registry import query, table
-from codeatlas.session import shared_dir
+from codeatlas.session import scratch_path
 from codeatlas.sources import convert, logs, manifests
 
 
@@ -356,9 +356,7 @@ def j4(spark, sf):
 SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, 'a "quoted", ' || n_name AS note FROM nation""")
 def a13(spark, sf):
     """nation -> CSV -> JSON -> CSV, read back; cells come out as text."""
-    import uuid
-
-    base = f"{shared_dir(spark).rstrip('/')}/convert-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "convert")
     nation = table(spark, sf, "nation").withColumn("note", F.concat(F.lit('a "quoted", '), "n_name"))
     convert.write_dataset(nation, f"{base}/1", "csv")
     convert.convert_dataset(spark, f"{base}/1", "csv", f"{base}/2", "json")

@@ -124,11 +124,14 @@ def f8(spark, sf):
 
 @query("f9_dirty_set", WITH + """
 SELECT repo, path, CASE WHEN language = 'es' THEN 'deleted' ELSE left(sha256(content), 12) END AS hash
-FROM files WHERE language = 'es' OR doc_id % 3 = 0""")
+FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)""")
 def f9(spark, sf):
-    files = A.files(spark, sf)
+    """Toxic documents stand for modified files, poor ones for staged files, and the Spanish ones are gone."""
+    files, labels = A.files(spark, sf), table(spark, sf, "labels")
     actual = files.filter("language <> 'es'").select("repo", "path", D.content_hash(F.col("content")).alias("hash"))
-    return D.dirty_set(files.filter("language = 'es'"), files.filter("doc_id % 3 = 0"), actual, short=True)
+    modified = files.join(labels.filter("toxic = 1"), "doc_id", "left_semi")
+    staged = files.join(labels.filter("quality = 0"), "doc_id", "left_semi")
+    return D.dirty_set(modified, staged, actual, short=True)
 
 
 _PART_LANES = ", ".join(f"coalesce(sum(('0x' || substr(sha256(part), {1 + 8 * i}, 8))::BIGINT), 0)::VARCHAR" for i in range(8))

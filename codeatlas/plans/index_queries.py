@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from codeatlas.operators import corpus_stats as B
 from codeatlas.plans import adapters as A
 from codeatlas.plans.corpus_queries import LINES, MARKER_WORDS, TRIM
 from codeatlas.plans.registry import query, table
-from codeatlas.session import shared_dir
+from codeatlas.session import scratch_path
 from codeatlas.sources import corpus as S, index_store as I
 from codeatlas.streaming import index_stream as T
 
@@ -117,14 +115,14 @@ def a7(spark, sf):
         lines = S.explode_lines(batch, "content", ["repo", "path"])
         return {"markers": B.scan_markers(lines, pattern=MARKER_WORDS).withColumnRenamed("path", "file")}
 
-    sink = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    sink = scratch_path(spark, "stream")
     T.stream_index(files, sink, extract).awaitTermination()
     return T.current_index(spark, sink, ["markers"])["markers"]
 
 
 @query("a8_write_read_index", "WITH " + A.TRACE_SQL + "SELECT repo, id, name, kind, file, line, language FROM symbols")
 def a8(spark, sf):
-    root = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "index")
     I.write_index({"symbols": A.symbols(spark, sf), "calls": A.calls(spark, sf)}, root)
     if I.read_index(spark, root, ["symbols"], version=I.INDEX_VERSION + 1) is not None:
         raise ValueError("an index of another version must not be read")

@@ -67,6 +67,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder, below the application's own directory (which can be dropped as a whole)."""
+    return f"{shared_dir(spark).rstrip('/')}/codeatlas/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and return that table.
 
@@ -75,6 +80,6 @@ def cut(df: DataFrame) -> DataFrame:
     `spark.sql.autoBroadcastJoinThreshold` and shuffles it beyond.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/codeatlas-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

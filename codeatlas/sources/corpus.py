@@ -49,6 +49,16 @@ def read_corpus(
     return out.filter(F.col("language").isNotNull()) if known_only else out
 
 
+def store_corpus(files: DataFrame, root: str, files_per_language: int = 256) -> None:
+    """Write a `files` table by language, so that a job for one language reads that language's files only.
+
+    `operators.extract_trace` and `operators.analyse` filter on the language once per extractor; over a stored corpus
+    these filters prune directories and all of them together read the corpus once.
+    """
+    spread = F.pmod(F.xxhash64("repo", "path"), F.lit(files_per_language))
+    files.repartition("language", spread).write.mode("overwrite").partitionBy("language").parquet(root)
+
+
 def _glob_regex(glob: str) -> str:
     """`*` stays within a directory, `**` does not; everything else is literal."""
     pieces = re.split(r"(\*\*|\*)", glob)

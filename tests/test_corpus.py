@@ -168,3 +168,12 @@ def test_conventions(files):
     style = Y.code_style(Y.style_votes(f.filter("path = 'src/my-file.ts'"))).first()
     assert (style["indent"], style["indent_size"], style["quotes"], style["semicolons"], style["trailing_commas"], style["naming"]) == (
         "spaces", 2, "single", True, True, "camelCase")
+
+
+def test_stored_corpus_prunes_by_language(spark, files, tmp_path):
+    f = files({"a.ts": "x", "b.py": "y", "c.sql": "z"})
+    S.store_corpus(f, str(tmp_path / "corpus"), 2)
+    back = spark.read.parquet(str(tmp_path / "corpus"))
+    assert rows(back.filter("language = 'python'"), "path", "content") == [("b.py", "y")]
+    plan = back.filter("language = 'python'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(language" in plan
