@@ -16,6 +16,15 @@ def matches(text: Column | str, pattern: str, *names: str) -> Column:
     return F.arrays_zip(*groups)
 
 
+def keep_where(df: DataFrame, name: str, value: Column, condition) -> DataFrame:
+    """Adds the column and keeps the rows where `condition(value)` holds.
+
+    A plain filter on a computed column is pushed below the projection, and the value is then computed twice; here it
+    is computed once.
+    """
+    return df.withColumn(name, F.explode(F.filter(F.array(value), condition)))
+
+
 def first_seen(values: Column, key: str | None = None) -> Column:
     """Array without repeats, first occurrence kept; structs are told apart by one of their fields."""
     if key is None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codeatlas.functions.scan import keep_where
 from codeatlas.functions.text import EDGE, basename, split_lines, trim, words_pattern
 
 # Marker words, branch tokens, and the tiers of the mood.
@@ -81,11 +82,12 @@ def largest_files(files: DataFrame, k: int = 10) -> DataFrame:
 def complexity_hotspots(files: DataFrame, k: int = 10, min_lines: int = 20, min_branches: int = 5) -> DataFrame:
     """(repo, path, branches, lines, density): most branch tokens per line among files worth looking at."""
     pattern = f"{EDGE}(?:{BRANCH_TOKENS}){EDGE}"
-    counted = files.select(
-        "repo", "path", line_count("content").alias("lines"),
-        F.regexp_count("content", F.lit(pattern)).cast("long").alias("branches"),
-    ).filter((F.col("lines") > min_lines) & (F.col("branches") > min_branches))
-    return counted.withColumn("density", F.round(F.col("branches") / F.col("lines"), 6)).orderBy(
+    counts = F.struct(
+        line_count("content").alias("lines"), F.regexp_count("content", F.lit(pattern)).cast("long").alias("branches")
+    )
+    counted = keep_where(files, "n", counts, lambda n: (n["lines"] > min_lines) & (n["branches"] > min_branches))
+    density = F.round(F.col("n.branches") / F.col("n.lines"), 6)
+    return counted.select("repo", "path", "n.branches", "n.lines", density.alias("density")).orderBy(
         F.desc("density"), "repo", "path"
     ).limit(k)
 

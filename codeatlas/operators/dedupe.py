@@ -59,13 +59,17 @@ def tokenize(files: DataFrame, keep: list[str] = ("repo", "path")) -> DataFrame:
     return files.select(*keep, F.flatten(per_line).alias("tokens"))
 
 
+def _starts(tokens: str, width: int, step: int) -> Column:
+    """Where windows begin in a token array; none in a text shorter than a window."""
+    return F.expr(f"if(size({tokens}) >= {width}, sequence(1, size({tokens}) - {width} + 1, {step}), array())")
+
+
 def token_windows(tokens: DataFrame, min_lines: int = 6, stride: int | None = None) -> DataFrame:
     """(repo, path, start_line, end_line, tokens): windows of 3 tokens per line, half overlapping, long enough in lines."""
     width = 3 * min_lines
     step = stride or max(1, width // 2)
-    cut_at = F.expr(f"sequence(1, size(tokens) - {width} + 1, {step})")
-    windows = tokens.filter(F.size("tokens") >= width).select(
-        "repo", "path", F.explode(F.transform(cut_at, lambda i: F.slice(F.col("tokens"), i, width))).alias("w")
+    windows = tokens.select(
+        "repo", "path", F.explode(F.transform(_starts("tokens", width, step), lambda i: F.slice(F.col("tokens"), i, width))).alias("w")
     )
     return windows.select(
         "repo", "path", F.col("w")[0]["line"].alias("start_line"), F.col("w")[width - 1]["line"].alias("end_line"),
@@ -90,7 +94,7 @@ def _blocks(files: DataFrame, min_lines: int, stride: int | None) -> DataFrame:
     """(repo, file, start, end, bucket, exact) of every window; the tokens themselves are not carried along."""
     width = 3 * min_lines
     step = stride or max(1, width // 2)
-    told = tokenize(files).filter(F.size("tokens") >= width).select(
+    told = tokenize(files).select(
         "repo", F.col("path").alias("file"), F.col("tokens.token").alias("t"), F.col("tokens.line").alias("l")
     )
 
@@ -102,7 +106,7 @@ def _blocks(files: DataFrame, min_lines: int, stride: int | None) -> DataFrame:
         )
 
     windows = F.filter(
-        F.transform(F.expr(f"sequence(1, size(t) - {width} + 1, {step})"), window),
+        F.transform(_starts("t", width, step), window),
         lambda w: w["end"] - w["start"] + 1 >= min_lines,
     )
     return told.select("repo", "file", F.explode(windows).alias("w")).select("repo", "file", "w.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeatlas.functions.scan import numbered, sections
+from codeatlas.functions.scan import keep_where, numbered, sections
 from codeatlas.functions.text import capture, split_lines, trim
 from codeatlas.sources.corpus import explode_lines
 
@@ -46,7 +46,7 @@ def _first_kind(line: Column, kinds: list[tuple[str, str]]) -> Column:
 def _line_symbols(files: DataFrame, kinds: list[tuple[str, str]]) -> DataFrame:
     lines = explode_lines(files)
     return (
-        lines.withColumn("s", _first_kind(F.col("text"), kinds)).filter("s is not null")
+        keep_where(lines, "s", _first_kind(F.col("text"), kinds), lambda s: s.isNotNull())
         .select("repo", "s.name", "s.kind", F.col("path").alias("file"), "line")
     )
 
@@ -114,7 +114,7 @@ def find_definitions(files: DataFrame, names: DataFrame | None = None) -> DataFr
         ),
         F.when(body & ~bare.startswith("//") & ~bare.startswith("*"), row(method, F.lit("method"), F.lit(6))),
     )
-    candidates = rows.select("repo", "file", "line", found.alias("d")).filter("d is not null").select(
+    candidates = keep_where(rows, "d", found, lambda d: d.isNotNull()).select(
         "repo", "d.name", "d.kind", "file", "line", "d.priority"
     )
     if names is not None:

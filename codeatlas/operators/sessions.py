@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeatlas.functions.scan import keep_where
 from codeatlas.functions.text import split_lines, trim
 
 # Words that say nothing about a topic (search, then answer checks), model context sizes, ratios.
@@ -110,11 +111,9 @@ def related_exchanges(
         .select("repo", "id", "word")
     )
     candidates = kept.join(words, ["repo", "word"]).select("repo", "id", "session_id", "turn").distinct()
-    scored = (
-        candidates.join(asked, ["repo", "id"]).join(known, ["repo", "session_id", "turn"])
-        .withColumn("score", overlap_score(F.col("query"), F.col("target")))
-        .filter(F.col("score") >= min_score)
-        .select("repo", "id", "session_id", "turn", "score")
+    met = candidates.join(asked, ["repo", "id"]).join(known, ["repo", "session_id", "turn"])
+    scored = keep_where(met, "score", overlap_score(F.col("query"), F.col("target")), lambda s: s >= min_score).select(
+        "repo", "id", "session_id", "turn", "score"
     )
     best = Window.partitionBy("repo", "id").orderBy(F.desc("score"), "session_id", "turn")
     top = scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= n).drop("nth")
