@@ -19,6 +19,8 @@ SECRET_RULES = [
     ("Anthropic API Key", r"sk-ant-[A-Za-z0-9_-]{20,}", False),
     ("OpenAI API Key", r"sk-[A-Za-z0-9]{20,}", False),
 ]
+# No secret rule can match a text that holds none of these, in any case.
+SECRET_HINTS = ["akia", "secret", "api_key", "api-key", "apikey", "password", "passwd", "token", "private key-----", "ghp_", "ghs_", "xox", "eyj", "sk-"]
 FORBIDDEN_RULES = [
     (r"\.env(?:\.|$)", "environment file with potential secrets"),
     (r"credentials\.\w+$", "credentials file"),
@@ -50,12 +52,15 @@ def matched_rules(text: Column) -> Column:
 def scan_secrets(files: DataFrame, text: str = "content", keep: list[str] = ("repo", "path")) -> DataFrame:
     """(keep..., line, rule, excerpt): each finding of a repo once, at its first place.
 
-    Whole texts are tried against the rules in the scan, and only texts with a hit are taken apart into lines.
+    Whole texts are tried in the scan, first for the words a rule needs, then against the rules; only texts with a
+    hit are taken apart into lines.
     """
     from codeatlas.sources.corpus import explode_lines
 
     any_rule = reduce(lambda a, b: a | b, [F.col(text).rlike(_java(p, i)) for _, p, i in SECRET_RULES])
-    lines = explode_lines(files.filter(any_rule), text, list(keep))
+    low = F.lower(text)
+    hinted = reduce(lambda a, b: a | b, [low.contains(h) for h in SECRET_HINTS])
+    lines = explode_lines(files.filter(hinted & any_rule), text, list(keep))
     found = lines.withColumn("rule", F.explode(matched_rules(F.col("text")))).withColumn("excerpt", excerpt(F.col("text")))
     place = F.struct(*[c for c in keep if c != "repo"], "line")
     first = found.groupBy("repo", "rule", "excerpt").agg(F.min(place).alias("at"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codeatlas.plans.registry import table
+from codeatlas.plans.registry import spread, table
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -221,7 +221,7 @@ files AS (
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(spark, sf, "documents").select(
         F.col("source").alias("repo"), "doc_id",
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
         F.col("lang").alias("language"), F.col("n_chars").alias("size"), F.col("text").alias("content"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeatlas.operators import analyse as N, extract_lines as E, extract_trace as X, graph as G, resolve as P, style as Y
 from codeatlas.plans import adapters as A
 from codeatlas.plans.config_queries import lines, text
-from codeatlas.plans.registry import query, table
+from codeatlas.plans.registry import query, spread, table
 from codeatlas.session import cut
 
 # Per part: its key, two keys it refers to, and its paths.
@@ -29,7 +29,7 @@ PY, JAVA, SQL = "'py/fn_' || p || '.py'", "'java/Fn' || p || '.java'", "'models/
 def parts(spark, sf):
     n = table(spark, sf, "part").agg(F.count("*")).scalar()
     p = F.col("p_partkey")
-    return table(spark, sf, "part").select(
+    return spread(spark, sf, "part").select(
         F.lit("shop").alias("repo"), p.alias("p"), ((p * p + 7) % n).alias("c1"), ((p * 31 + 5) % n).alias("c2"), (p % 4).alias("d")
     ).withColumn("d1", F.col("c1") % 4)
 
