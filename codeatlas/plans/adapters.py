@@ -47,8 +47,11 @@ def _id(kind: str, col: str) -> Column:
 
 
 def fk_edges(spark: SparkSession, sf: str) -> DataFrame:
-    def part_of(name, src, dst, kind):
-        return table(spark, sf, name).select(
+    def part_of(name, src, dst, kind, repeats=False):
+        keys = table(spark, sf, name).select(src[1], dst[1])
+        # Only the order -> part / supplier edges can repeat, so only they pay for a distinct, on the plain keys.
+        keys = keys.distinct() if repeats else keys
+        return keys.select(
             F.lit("shop").alias("repo"), _id(*src).alias("src"), _id(*dst).alias("dst"), F.lit(kind).alias("type")
         )
 
@@ -57,9 +60,8 @@ def fk_edges(spark: SparkSession, sf: str) -> DataFrame:
         part_of("customer", ("customer", "c_custkey"), ("nation", "c_nationkey"), "depends-on"),
         part_of("supplier", ("supplier", "s_suppkey"), ("nation", "s_nationkey"), "depends-on"),
         part_of("orders", ("order", "o_orderkey"), ("customer", "o_custkey"), "depends-on"),
-        # Only the order -> part / supplier edges can repeat, so only they pay for a distinct.
-        part_of("lineitem", ("order", "l_orderkey"), ("part", "l_partkey"), "reads").distinct(),
-        part_of("lineitem", ("order", "l_orderkey"), ("supplier", "l_suppkey"), "writes").distinct(),
+        part_of("lineitem", ("order", "l_orderkey"), ("part", "l_partkey"), "reads", repeats=True),
+        part_of("lineitem", ("order", "l_orderkey"), ("supplier", "l_suppkey"), "writes", repeats=True),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -11,7 +11,7 @@ from codeatlas.functions.text import extension, split_lines
 
 # Directories no index looks into, and extensions of files that are not text.
 IGNORED_DIRS = [
-    "node_modules", "dist", "build", ".git", ".jam", "coverage", "__pycache__", ".next", ".nuxt", "target", "out",
+    "node_modules", "dist", "build", ".git", "coverage", "__pycache__", ".next", ".nuxt", "target", "out",
     ".venv", "venv",
 ]
 BINARY_EXTENSIONS = [
