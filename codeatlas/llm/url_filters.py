@@ -69,7 +69,7 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, key: str = "page
     intervals = validity_intervals(entries)
     seen = captures.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url"), F.col(f"`{fetched}`").alias("_at"))
     last = seen.agg(F.max("_at")).first()[0]  # one value: nothing need be known past the last capture
-    end = F.add_months(F.trunc(F.lit(last), "month"), 1).cast("timestamp")
+    end = F.add_months(F.trunc(F.lit(last).cast("timestamp"), "month"), 1).cast("timestamp")
     spans = intervals.withColumn("_last", F.least(F.coalesce("valid_to", end), end)).filter(F.col("_last") > F.col("valid_from"))
     months = cut(
         spans.withColumn("_month", F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc("_last", "month"), F.expr("interval 1 month"))))
