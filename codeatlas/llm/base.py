@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BLANK = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = "\t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.translate(text, UPPER, LOWER)
+def word_list(text: Column, lower: bool = False) -> Column:
+    """Words of a text in order (with `lower`, A-Z in lower case); no words for null.
 
+    Every blank is made a space first, so that the cut needs no pattern.
+    """
+    upper, low = (UPPER, LOWER) if lower else ("", "")
+    spaced = F.translate(F.coalesce(text, F.lit("")), upper + BLANKS, low + " " * len(BLANKS))
+    return F.array_remove(F.split(spaced, " "), "")
 
-def word_list(text: Column) -> Column:
-    """Words of a text in order; no words for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
+
+def once(value: Column) -> Column:
+    """The value as a generator of one row: what stands above it reads it, and can't compute it again."""
+    return F.explode(F.array(value))
 
 
 def digest(*parts: Column) -> list[Column]:

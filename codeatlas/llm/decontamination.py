@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeatlas.llm.base import BLANK, lower_ascii
+from codeatlas.llm.base import once, word_list
 from codeatlas.session import cut
 
 SHINGLE = 5
@@ -14,13 +14,9 @@ BROADCAST_ROWS = 200_000
 SALTS = 8
 
 
-def _tokens(text: Column) -> Column:
-    return F.split(F.btrim(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), BLANK)
-
-
 def _shingles(words: Column, k: int, make) -> Column:
-    """One value for each run of k words; none where there are fewer words."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: make(*[F.element_at(words, i + j) for j in range(k)])))
+    """One value for each run of k words, of which there must be one."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: make(*[F.get(words, i + j) for j in range(k)]))
 
 
 def _hash(*words: Column) -> Column:
@@ -31,6 +27,10 @@ def _pair(*words: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *words).alias("h1"), F.xxhash64(F.lit(2), *words).alias("h2"))
 
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _need(n: Column, percent: int) -> Column:
     """Fewest of n shingles that are `percent` of them."""
     return F.ceil(n * percent / F.lit(100)).cast("long")
@@ -59,11 +59,10 @@ def contained_items(
     texts = docs.select(F.col(f"`{key}`").alias("_doc"), F.col(f"`{text}`").alias("_text")).filter("_doc IS NOT NULL AND _text IS NOT NULL")
     wanted = items.select(F.col(f"`{item_key}`").alias("_item"), F.col(f"`{text}`").alias("_text")).filter("_item IS NOT NULL AND _text IS NOT NULL")
 
-    item_words = wanted.select("_item", _tokens(F.col("_text")).alias("_w"))
-    item_sets = cut(
-        item_words.select("_item", F.explode(_shingles(F.col("_w"), k, lambda *w: F.struct(_hash(*w).alias("h"), _pair(*w).alias("p")))).alias("s"))
-        .select("_item", "s.h", "s.p.h1", "s.p.h2").distinct()
-    )
+    item_words = wanted.select("_item", once(word_list(F.col("_text"), lower=True)).alias("_w")).filter(F.size("_w") >= k)
+    item_hashed = item_words.select("_item", "_w", once(_hashed(F.col("_w"))).alias("_v"))
+    parts = F.arrays_zip(_shingles(F.col("_v"), k, _hash).alias("h"), _shingles(F.col("_w"), k, _pair).alias("p"))
+    item_sets = cut(item_hashed.select("_item", F.explode(parts).alias("s")).select("_item", "s.h", "s.p.h1", "s.p.h2").distinct())
     sizes = item_sets.groupBy("_item").agg(F.count(F.lit(1)).alias("n_item"), F.sort_array(F.collect_set("h")).alias("_hashes"))
     signed = sizes.withColumn("need", _need(F.col("n_item"), percent)).withColumn("_kept", F.slice("_hashes", F.lit(1), (F.col("n_item") - F.col("need") + 1).cast("int")))
     signatures = cut(signed.select("_item", "need", F.explode("_kept").alias("h")))
@@ -76,9 +75,10 @@ def contained_items(
         .select(F.explode(F.sequence(F.col("_least"), F.lit(31))).alias("_class"), "_top").groupBy("_class").agg(F.max("_top").alias("_ceiling"))
     )
 
-    worded = texts.select("_doc", _tokens(F.col("_text")).alias("_w")).filter(F.size("_w") >= k).withColumn("_n", F.size("_w") - (k - 1))
-    classed = worded.withColumn("_class", F.floor(F.log2(F.col("_n"))).cast("int")).join(F.broadcast(ceilings), "_class")
-    hashes = classed.select("_doc", "_n", "_ceiling", F.explode(_shingles(F.col("_w"), k, _hash)).alias("h")).filter(F.col("h") <= F.col("_ceiling")).select("_doc", "_n", "h")
+    worded = texts.select("_doc", once(word_list(F.col("_text"), lower=True)).alias("_w")).filter(F.size("_w") >= k)
+    hashed = worded.select("_doc", once(_hashed(F.col("_w"))).alias("_v")).withColumn("_n", F.size("_v") - (k - 1))
+    classed = hashed.withColumn("_class", F.floor(F.log2(F.col("_n"))).cast("int")).join(F.broadcast(ceilings), "_class")
+    hashes = classed.select("_doc", "_n", "_ceiling", F.explode(_shingles(F.col("_v"), k, _hash)).alias("h")).filter(F.col("h") <= F.col("_ceiling")).select("_doc", "_n", "h")
     if n_signatures <= BROADCAST_ROWS:
         met = hashes.join(F.broadcast(signatures), "h")
     else:
@@ -87,8 +87,8 @@ def contained_items(
     candidates = cut(met.filter(F.col("_n") >= F.col("need")).select("_doc", "_item").distinct())
 
     chosen = cut(candidates.select("_doc").distinct())
-    found = texts.join(chosen, "_doc", "left_semi").select("_doc", _tokens(F.col("_text")).alias("_w"))
-    parts = found.select("_doc", F.explode(F.array_distinct(_shingles(F.col("_w"), k, _pair))).alias("p")).select("_doc", "p.h1", "p.h2").distinct()
+    found = texts.join(chosen, "_doc", "left_semi").select("_doc", once(word_list(F.col("_text"), lower=True)).alias("_w")).filter(F.size("_w") >= k)
+    parts = found.select("_doc", F.explode(_shingles(F.col("_w"), k, _pair)).alias("p")).select("_doc", "p.h1", "p.h2").distinct()
     asked = candidates.join(item_sets.select("_item", "h1", "h2"), "_item")
     shared = asked.join(parts, ["_doc", "h1", "h2"]).groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("n_shared"))
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeatlas.llm.base import BLANK
+from codeatlas.llm.base import word_list
 from codeatlas.session import cut
 
 WEIGHTS = (3, 1, 2)
@@ -15,8 +15,7 @@ SEED = "mix-1"
 
 def text_size(text: Column) -> Column:
     """Number of words; 0 for null."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, BLANK))).cast("long")
+    return F.size(word_list(text)).cast("long")
 
 
 def fill_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = MAX_COPIES) -> DataFrame:
