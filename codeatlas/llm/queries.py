@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from codeatlas.llm import queries_dedup, queries_native  # noqa: F401
+from codeatlas.llm import queries_dedup, queries_models, queries_native  # noqa: F401
 from codeatlas.llm.registry import ORACLES, QUERIES  # noqa: F401
