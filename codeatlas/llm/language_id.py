@@ -23,6 +23,7 @@ SAMPLE_BYTES = 16384
 BUCKETS = 1 << 14
 SEQUENCES, LENGTH, EPOCHS = 2500, 32, 3
 UNKNOWN = "und"
+MIN_SCORE = 0.4
 
 
 def training_sample(docs: DataFrame, may_learn: Column, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], list[str]]:
@@ -134,7 +135,17 @@ def identify(docs: DataFrame, model: dict, carry: list[str], text: str = "text")
     without a letter, and any text where the model knows no language, get `und` and 0.  Repeated rows and empty frames need no
     care, as each row is judged alone.
     """
-    picked = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text"))
+    others = [c for c in carry if c not in (text, "lang_pred", "score")]
+    picked = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
     found = picked.mapInArrow(_predict_rows(model), f"{fields}, lang_pred string, score double")
-    return found.drop("_text")
+    return found.select(*[F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in [c for c in carry if c in others or c == text]], "lang_pred", "score")
+
+
+def drop_unidentified(docs: DataFrame, may_learn: Column, text: str = "text", least: float = MIN_SCORE, **names) -> DataFrame:
+    """`docs` without the rows whose language can't be told: `und`, or a score below `least`.  The model is learned from their own
+    labels where `may_learn` holds."""
+    model = train(*training_sample(docs, may_learn, text=text, **names))
+    found = identify(docs.withColumnsRenamed({c: f"_given_{c}" for c in ("lang_pred", "score")}), model, [c if c not in ("lang_pred", "score") else f"_given_{c}" for c in docs.columns], text)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({f"_given_{c}": c for c in ("lang_pred", "score")}).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -52,6 +52,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     )
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """`docs` with one document of each group of near copies, that with the least key; of rows that repeat a key one stays, rows with a
+    null key all stay."""
+    found = cut(near_duplicates(docs, key, text, **options).filter(F.col(key).isNotNull()))
+    gone = found.filter("NOT kept").select(key).distinct()
+    rest = docs.join(cut(gone), key, "left_anti").select(*docs.columns)
+    twice = cut(found.filter("kept").groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key))
+    if not twice.count():
+        return rest
+    return rest.join(twice, key, "left_anti").select(*docs.columns).unionByName(rest.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates([key]))
+
+
 def _linked(named: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of the classes in shared buckets (rep, bucket, members)."""
     ids = cut(members.groupBy("rep").agg(F.sum("members").alias("weight")))

@@ -83,3 +83,14 @@ def systematic_copies(docs: DataFrame, source: str = "source", text: str = "text
     ranked = ranked.withColumn("_rate", rate).withColumn("_rank", F.col("_before") + F.col("_row")).withColumn("_offset", _offset(F.col("source")))
     copies = F.floor(F.col("_offset") + F.col("_rate") * F.col("_rank")) - F.floor(F.col("_offset") + F.col("_rate") * (F.col("_rank") - 1))
     return ranked.select(F.col("_key").alias(key), "size", "source", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`docs` with each row as often as the mix takes it, and `copy` counting from 1.
+
+    Rows of one key are taken alike; rows with a null key, which can't be told apart, are taken once each.
+    """
+    copies = systematic_copies(docs, source, text, key).filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("copies").alias("_copies"))
+    joined = docs.drop("copy").join(cut(copies), key, "left").filter(F.col(key).isNull() | (F.col("_copies") > 0))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_copies", F.lit(1).cast("long"))))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], again.alias("copy"))
