@@ -181,8 +181,21 @@ def align(a: Shape, b: Shape, depth: int = 60) -> tuple[int, list[tuple[int, int
     return total + best[n][m], pairs
 
 
+def line_part(node: Node) -> list[Node]:
+    """A block and the elements inside its lines."""
+    found, stack = [], [node]
+    while stack:
+        at = stack.pop()
+        found.append(at)
+        stack.extend(k for k in reversed(at.kids) if not isinstance(k, str) and k.tag in INLINE)
+    return found
+
+
 def own_text(shape: Shape) -> str:
-    return " ".join(" ".join(k for k in node.kids if isinstance(k, str)) for node in shape.nodes)
+    """Text of a block without the blocks in it; empty for what stands inside a line, which goes with its block."""
+    if shape.nodes[0].tag in INLINE:
+        return ""
+    return plain(" ".join(k for node in shape.nodes for part in line_part(node) for k in part.kids if isinstance(k, str)))
 
 
 def plain(text: str) -> str:
@@ -202,7 +215,7 @@ class Aligner:
                 self.references.clear()
                 self.pairs.clear()
             top, spelling, shapes = shape_of(parse(page))
-            self.references[page] = top, spelling, [plain(own_text(s)) for s in shapes]
+            self.references[page] = top, spelling, [own_text(s) for s in shapes]
         return self.references[page]
 
     def match(self, page: str, reference: str):
@@ -228,7 +241,7 @@ def constant_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if page is None or reference is None or page == reference:
                 continue
             _, shapes, pairs, texts = aligner.match(page, reference)
-            found = [(pairs[s.number], plain(own_text(s))) for s in shapes if s.number in pairs]
+            found = [(pairs[s.number], own_text(s)) for s in shapes if s.number in pairs]
             found = [(place, text) for place, text in found if text or texts[place]]
             if all(text == texts[place] for place, text in found):
                 continue
@@ -305,7 +318,7 @@ def text_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             root, shapes, pairs, known = aligner.match(page, reference)
             fixed = set(constant)
-            drop = {id(n) for s in shapes if pairs.get(s.number) in fixed and plain(own_text(s)) == known[pairs[s.number]] for n in s.nodes}
+            drop = {id(n) for s in shapes if pairs.get(s.number) in fixed and own_text(s) == known[pairs[s.number]] for block in s.nodes for n in line_part(block)}
             text = main_text(root, drop)
             texts.append(text or main_text(root, set()))  # a page made of template only is its own content
         yield frame.drop(columns=["html", "reference", "constant"]).assign(text=texts)
