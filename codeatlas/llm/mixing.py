@@ -11,6 +11,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_COPIES = 2.0
 SEED = "mix-1"
+HASH_DIGITS = 3
+"""Hexadecimal digits of a hash that part the documents of one source and size into 4096 groups."""
 
 
 def text_size(text: Column) -> Column:
@@ -60,27 +62,28 @@ def systematic_copies(docs: DataFrame, source: str = "source", text: str = "text
     Null text has size 0; null is a source of its own; null ids stand first; repeated rows are documents of their own;
     an empty frame gives no rows; sources without any word have target 0 and no copies.
 
-    Ranks come from a range partitioning of (source, size, hash, id) with a count per partition and source carried on, so
-    a source with any share of the rows is spread over many tasks.
+    A rank is the number of documents of the source that are smaller, plus those of the same size whose hash begins with
+    less, plus the rank among those that agree in both.  The first two come from counts, whose running sums span the distinct
+    sizes of a source and the beginnings of hashes, so a source, or copies of one text, with any share of the rows are
+    spread over many tasks.
     """
-    spark = docs.sparkSession
-    sized = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").alias("source"), text_size(F.col(f"`{text}`")).alias("size"))
-    sized = sized.withColumn("_hash", F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("_key").cast("string"), F.lit("")))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["source", "size", "_hash", "_key"]
-    placed = cut(sized.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    named = placed.withColumn("_null", F.col("source").isNull()).withColumn("_name", F.coalesce("source", F.lit("")))
-    counts = named.groupBy("_null", "_name", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
-    ahead = Window.partitionBy("_null", "_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = counts.select("_null", "_name", "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    sources = counts.groupBy("_null", "_name").agg(F.sum("_words").alias("source_size"))
-    sources = sources.withColumn("source", F.when(~F.col("_null"), F.col("_name")))
-    targets = fill_targets(sources).select("_null", "_name", "source_size", "target")
-    inside = Window.partitionBy("_null", "_name", "_part").orderBy("size", "_hash", "_key")
-    steps = carried.join(targets, ["_null", "_name"])
-    ranked = named.withColumn("_row", F.row_number().over(inside)).join(steps, ["_null", "_name", "_part"])
+    sized = cut(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").alias("source"), text_size(F.col(f"`{text}`")).alias("size")))
+    hashed = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("_key").cast("string"), F.lit(""))))
+    tagged = sized.select("_key", "size", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_name"), hashed.alias("_hash"))
+    tagged = tagged.withColumn("_bin", F.substring("_hash", 1, HASH_DIGITS))
+    own, same = ["_null", "_name"], ["_null", "_name", "size"]
+    bins = tagged.groupBy(*same, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = bins.groupBy(*same).agg(F.sum("_n").alias("_n"))
+    smaller = Window.partitionBy(*own).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    less = Window.partitionBy(*same).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sources = sizes.groupBy(*own).agg(F.sum(F.col("size") * F.col("_n")).alias("source_size")).withColumn("source", F.when(~F.col("_null"), F.col("_name")))
+    targets = fill_targets(sources).select(*own, "source", "source_size", "target")
+    levels = sizes.select(*same, F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_smaller")).join(targets, own)
+    steps = bins.select(*same, "_bin", F.coalesce(F.sum("_n").over(less), F.lit(0)).alias("_less")).join(levels, same)
+    inside = Window.partitionBy(*same, "_bin").orderBy("_hash", "_key")
+    ranked = tagged.withColumn("_row", F.row_number().over(inside)).join(steps, [*same, "_bin"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = ranked.withColumn("_rate", rate).withColumn("_rank", F.col("_before") + F.col("_row")).withColumn("_offset", _offset(F.col("source")))
+    ranked = ranked.withColumn("_rate", rate).withColumn("_rank", F.col("_smaller") + F.col("_less") + F.col("_row")).withColumn("_offset", _offset(F.col("source")))
     copies = F.floor(F.col("_offset") + F.col("_rate") * F.col("_rank")) - F.floor(F.col("_offset") + F.col("_rate") * (F.col("_rank") - 1))
     return ranked.select(F.col("_key").alias(key), "size", "source", "source_size", "target", copies.cast("long").alias("copies"))
 
