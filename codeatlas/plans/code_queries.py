@@ -61,6 +61,58 @@ def ts_files(spark, sf):
     )
 
 
+def js_files(spark, sf):
+    """A function in a function, a call after it, and calls that stand in a comment or a template only."""
+    p, c1, c2, d, d1 = refs()
+    return _file(
+        parts(spark, sf), text("web/o", p, ".js"), "javascript",
+        text("function outer", p, "(a) {"),
+        text("  function inner", p, "(b) {"),
+        text("    if (b) { first_", c1, "(b); }"),
+        "  }",
+        "  /* dead(1) {",
+        "     dead(2) */",
+        "  const t = `${a} ghost(1) {",
+        "    ghost(2)`;",
+        text("  second_", c2, "('} lost(3)');"),
+        "}",
+        text("last_", p, "();"),
+    )
+
+
+def nested_py_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
+    return _file(
+        parts(spark, sf), text("py/outer_", p, ".py"), "python",
+        text("def outer_", p, "(a):"),
+        '    """Says dead(1).',
+        "",
+        'dead(2)"""',
+        text("    def inner_", p, "(b):"),
+        text("        return first_", c1, "("),
+        "  b)",
+        "",
+        text("    return second_", c2, "(a)"),
+        text("last_", p, "()"),
+    )
+
+
+def nested_java_files(spark, sf):
+    p, c1, c2, d, d1 = refs()
+    return _file(
+        parts(spark, sf), text("java/Outer", p, ".java"), "java",
+        text("public class Outer", p, " {"),
+        text("  void run", p, "() {"),
+        "    task.add(new Runnable() {",
+        text("      public void go", p, "() { first_", c1, "(); }"),
+        "    });",
+        "    /* dead(1); } */",
+        text("    second_", c2, "();"),
+        "  }",
+        "}",
+    )
+
+
 def py_files(spark, sf):
     p, c1, c2, d, d1 = refs()
     return _file(
@@ -209,63 +261,77 @@ def _records(rows: str) -> str:
 
 
 def _shown(df):
-    return df.select("repo", "file", "record_type", "name", "kind", "line", "signature", "return_type", "caller", "source_module", "alias")
+    return df.select("repo", "file", "language", "record_type", "name", "kind", "line", "end_line", "signature", "return_type", "caller", "source_module", "alias")
 
 
 NONE = "NULL::VARCHAR"
 
 
-def _row(file, kind, name, what=NONE, line="NULL", sig=NONE, ret=NONE, caller=NONE, module=NONE, alias=NONE, where=""):
+LANGUAGES = {"src": "typescript", "web": "javascript", "py": "python", "java": "java", "models": "sql"}
+JS, PY_OUTER, JAVA_OUTER = "'web/o' || p || '.js'", "'py/outer_' || p || '.py'", "'java/Outer' || p || '.java'"
+
+
+def _row(file, kind, name, what=NONE, line="NULL", sig=NONE, ret=NONE, caller=NONE, module=NONE, alias=NONE, where="", end="NULL::INTEGER"):
+    language = LANGUAGES[file.strip("'").split("/")[0]]
     return (
-        f"SELECT repo, {file} AS file, '{kind}' AS record_type, {name} AS name, {what} AS kind, {line} AS line, {sig} AS signature, "
+        f"SELECT repo, {file} AS file, '{language}' AS language, '{kind}' AS record_type, {name} AS name, {what} AS kind, {line} AS line, {end} AS end_line, {sig} AS signature, "
         f"{ret} AS return_type, {caller} AS caller, {module} AS source_module, {alias} AS alias FROM p {where}"
     )
 
 
 @query("c7_extract_trace_ts", _records(" UNION ALL ".join([
-    _row(TS, "symbol", "'fn_' || p", "'function'", 4, "'(a: number)'", "'string'"),
-    _row(TS, "symbol", "'K' || p", "'class'", 9),
-    _row(TS, "symbol", "'run' || p", "'method'", 10, "'(q: string)'"),
+    _row(TS, "symbol", "'fn_' || p", "'function'", 4, "'(a: number)'", "'string'", end=8),
+    _row(TS, "symbol", "'K' || p", "'class'", 9, end=11),
+    _row(TS, "symbol", "'run' || p", "'method'", 10, "'(q: string)'", end=10),
     _row(TS, "call", "'fn_' || c1", "'direct'", 5, caller="'fn_' || p"),
     _row(TS, "call", "'fn_' || c2", "'direct'", 7, caller="'fn_' || p"),
     _row(TS, "call", "'fn_' || c1", "'direct'", 10, caller="'run' || p"),
     _row(TS, "call", "'get'", "'direct'", 12, caller="'<module>'"),
     _row(TS, "import", "'fn_' || c1", module="'../' || d1 || '/fn_' || c1 || '.js'", alias="'other'"),
     _row(TS, "import", "'lib'", module="'lib' || (p % 10) || '/deep'"),
+    _row(JS, "symbol", "'outer' || p", "'function'", 1, "'(a)'", end=10), _row(JS, "symbol", "'inner' || p", "'function'", 2, "'(b)'", end=4),
+    _row(JS, "call", "'first_' || c1", "'direct'", 3, caller="'inner' || p"), _row(JS, "call", "'second_' || c2", "'direct'", 9, caller="'outer' || p"),
+    _row(JS, "call", "'last_' || p", "'direct'", 11, caller="'<module>'"),
 ])))
 def c7(spark, sf):
-    return _shown(X.extract_trace_ts(ts_files(spark, sf)))
+    return _shown(X.extract_trace_ts(ts_files(spark, sf).unionByName(js_files(spark, sf))))
 
 
 @query("c8_extract_trace_py", _records(" UNION ALL ".join([
-    _row(PY, "symbol", "'fn_' || p", "'function'", 3, "'(a, b=1)'"), _row(PY, "symbol", "'K' || p", "'class'", 7),
-    _row(PY, "symbol", "'run_' || p", "'function'", 9, "'(self)'"),
+    _row(PY, "symbol", "'fn_' || p", "'function'", 3, "'(a, b=1)'", end=5), _row(PY, "symbol", "'K' || p", "'class'", 7, end=10),
+    _row(PY, "symbol", "'run_' || p", "'function'", 9, "'(self)'", end=10),
     _row(PY, "call", "'route'", "'direct'", 3, caller="'fn_' || p"), _row(PY, "call", "'f'", "'direct'", 5, caller="'fn_' || p"),
     _row(PY, "call", "'save_' || p", "'direct'", 5, caller="'fn_' || p"), _row(PY, "call", "'Column'", "'direct'", 8, caller="'<module>'"),
     _row(PY, "call", "'go'", "'direct'", 10, caller="'run_' || p"), _row(PY, "call", "'main_' || p", "'direct'", 11, caller="'<module>'"),
     _row(PY, "call", "'getenv'", "'direct'", 12, caller="'<module>'"),
     _row(PY, "import", "'fn_' || c1", module="'.fn_' || c1", alias="'f'"), _row(PY, "import", "'helper'", module="'.fn_' || c1"),
     _row(PY, "import", "'os.path'", module="'os.path'", alias="'p'"),
+    _row(PY_OUTER, "symbol", "'outer_' || p", "'function'", 1, "'(a)'", end=9), _row(PY_OUTER, "symbol", "'inner_' || p", "'function'", 5, "'(b)'", end=7),
+    _row(PY_OUTER, "call", "'first_' || c1", "'direct'", 6, caller="'inner_' || p"), _row(PY_OUTER, "call", "'second_' || c2", "'direct'", 9, caller="'outer_' || p"),
+    _row(PY_OUTER, "call", "'last_' || p", "'direct'", 10, caller="'<module>'"),
 ])))
 def c8(spark, sf):
-    return _shown(X.extract_trace_py(py_files(spark, sf)))
+    return _shown(X.extract_trace_py(py_files(spark, sf).unionByName(nested_py_files(spark, sf))))
 
 
 @query("c9_extract_trace_java", _records(" UNION ALL ".join([
-    _row(JAVA, "symbol", "'Fn' || p", "'class'", 3), _row(JAVA, "symbol", "'Fn' || p", "'method'", 4, "'(int x)'"),
-    _row(JAVA, "symbol", "'run' || p", "'method'", 5, "'(int a, String b)'", "'List<String>'"),
+    _row(JAVA, "symbol", "'Fn' || p", "'class'", 3, end=11), _row(JAVA, "symbol", "'Fn' || p", "'method'", 4, "'(int x)'", end=4),
+    _row(JAVA, "symbol", "'run' || p", "'method'", 5, "'(int a, String b)'", "'List<String>'", end=10),
     _row(JAVA, "call", "'init' || p", "'direct'", 4, caller="'Fn' || p"),
     _row(JAVA, "call", "'proc_' || c2", "'cross-language'", 5, caller="'run' || p"),
     _row(JAVA, "call", "'upd_' || c1", "'cross-language'", 8, caller="'run' || p"),
     _row(JAVA, "call", "'execute'", "'direct'", 8, caller="'run' || p"), _row(JAVA, "call", "'call' || p", "'direct'", 9, caller="'run' || p"),
     _row(JAVA, "import", "'Fn' || c1", module="'com.shop.Fn' || c1"),
+    _row(JAVA_OUTER, "symbol", "'Outer' || p", "'class'", 1, end=9), _row(JAVA_OUTER, "symbol", "'run' || p", "'method'", 2, "'()'", "'void'", end=8),
+    _row(JAVA_OUTER, "symbol", "'go' || p", "'method'", 4, "'()'", "'void'", end=4), _row(JAVA_OUTER, "call", "'add'", "'direct'", 3, caller="'run' || p"),
+    _row(JAVA_OUTER, "call", "'first_' || c1", "'direct'", 4, caller="'go' || p"), _row(JAVA_OUTER, "call", "'second_' || c2", "'direct'", 7, caller="'run' || p"),
 ])))
 def c9(spark, sf):
-    return _shown(X.extract_trace_java(java_files(spark, sf)))
+    return _shown(X.extract_trace_java(java_files(spark, sf).unionByName(nested_java_files(spark, sf))))
 
 
 @query("c10_extract_trace_sql", _records(" UNION ALL ".join([
-    _row(SQL, "symbol", "'proc_' || p", "'procedure'", 1), _row(SQL, "symbol", "'v_' || p", "'view'", 6),
+    _row(SQL, "symbol", "'proc_' || p", "'procedure'", 1, end=5), _row(SQL, "symbol", "'v_' || p", "'view'", 6, end=9),
     _row(SQL, "call", "'proc_' || c1", "'cross-language'", 4, caller="'proc_' || p"),
 ])))
 def c10(spark, sf):
