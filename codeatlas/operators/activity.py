@@ -70,15 +70,15 @@ def stale_branches(
     )
 
 
-def _sample(commits: DataFrame) -> DataFrame:
+def _sample(commits: DataFrame, newest_messages: int) -> DataFrame:
     newest = Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("hash"))
     one = commits.select("repo", "hash", "ts", "subject").distinct()
-    return one.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= SAMPLE)
+    return one.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= newest_messages)
 
 
-def commit_convention(commits: DataFrame) -> DataFrame:
+def commit_convention(commits: DataFrame, newest_messages: int = SAMPLE) -> DataFrame:
     """(repo, format, ticket_pattern, types) of repos with a clear convention among their newest messages."""
-    sample = _sample(commits)
+    sample = _sample(commits, newest_messages)
     counts = sample.groupBy("repo").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("subject").rlike(CONVENTIONAL)).alias("typed"),
@@ -104,9 +104,9 @@ def commit_convention(commits: DataFrame) -> DataFrame:
     ).filter("format is not null")
 
 
-def commit_style(commits: DataFrame, branches: DataFrame | None = None) -> DataFrame:
+def commit_style(commits: DataFrame, branches: DataFrame | None = None, newest_messages: int = SAMPLE) -> DataFrame:
     """(repo, commit_convention, branch_pattern): conventional when half of the newest messages are."""
-    sample = _sample(commits).groupBy("repo").agg(
+    sample = _sample(commits, newest_messages).groupBy("repo").agg(
         F.count("*").alias("n"), F.count_if(F.col("subject").rlike(CONVENTIONAL_STYLE)).alias("typed")
     )
     style = F.when((F.col("typed") > 0) & (F.col("typed") >= F.col("n") * 0.5), "conventional").otherwise("freeform")

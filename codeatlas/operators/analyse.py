@@ -344,8 +344,7 @@ def analyze_docker(files: DataFrame, merged: bool = False) -> DataFrame:
 
 
 def analyze_openapi(files: DataFrame, merged: bool = False) -> DataFrame:
-    first = F.array_join(F.slice(split_lines("content"), 1, 10), "\n")
-    src = files.filter(first.rlike(r"(?m)^(?:openapi|swagger)\s*:")).withColumn(
+    src = files.filter(F.col("content").rlike(r"(?m)^(?:openapi|swagger)\s*:")).withColumn(
         "_top", blocks(F.regexp_replace("content", r"(?m)^\s*#.*$", ""), 0)
     )
     top = lambda word: F.filter("_top", lambda b: b.rlike(rf"^{word}\s*:"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codeatlas.functions.scan import keep_where
 from codeatlas.functions.text import EDGE, basename, split_lines, trim, words_pattern
+from codeatlas.sources.corpus import glob_pattern
 
 # Marker words, branch tokens, and the tiers of the mood.
 MARKERS = "TODO|FIXME|HACK|XXX|NOTE|WARN|BUG|OPTIMIZE|REVIEW"
@@ -99,16 +100,19 @@ def churn(commits: DataFrame, as_of: Column, days: int = 90, k: int = 10) -> Dat
 
 
 def search_text(
-    files: DataFrame, query: str, *, regex: bool = False, suffix: str | None = None, max_per_file: int | None = None,
-    max_total: int | None = 20,
+    files: DataFrame, query: str, *, regex: bool = False, glob: str | None = None, max_per_file: int | None = None,
+    max_total: int | None = None,
 ) -> DataFrame:
-    """(repo, path, line, text) of matching lines, in path order; plain search ignores case.
+    """(repo, path, line, text) of matching lines, in path order if `max_total` is given; plain search ignores case.
+
+    `glob` picks files: `*` stays within a directory, `**` does not; without a slash it is tried on the file's name.
 
     Matches are taken inside the file's own line array, so only hits leave the scan and no window is needed for the
     limit per file.
     """
-    if suffix is not None:
-        files = files.filter(F.col("path").endswith(suffix))
+    if glob is not None:
+        at = F.col("path") if "/" in glob else basename("path")
+        files = files.filter(at.rlike(f"^{glob_pattern(glob)}$"))
     hit = (lambda x: x["text"].rlike(query)) if regex else (lambda x: F.lower(x["text"]).contains(query.lower()))
     numbered = F.transform(split_lines("content"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
     found = F.filter(numbered, hit)

@@ -90,7 +90,9 @@ def graph_query(nodes: DataFrame, edges: DataFrame, term: str, node_type: str |
 def multi_query(results: list[DataFrame], edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Union of several node results, one row per id, and the edges among them."""
     shared = [c for c in results[0].columns if all(c in r.columns for r in results)]
-    merged = reduce(DataFrame.unionByName, [r.select(shared) for r in results]).dropDuplicates(["repo", "id"])
+    union = reduce(DataFrame.unionByName, [r.select(shared) for r in results])
+    rest = [c for c in shared if c not in ("repo", "id")]
+    merged = union.groupBy("repo", "id").agg(F.max(F.struct(*rest)).alias("_row")).select("repo", "id", "_row.*").select(shared) if rest else union.distinct()
     return merged, induced_edges(edges, merged)
 
 
@@ -203,13 +205,11 @@ def architecture_slice(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
 
 
 def deps_slice(nodes: DataFrame, edges: DataFrame, focus: str | None = None) -> DataFrame:
-    """Distinct dependency edges (src, dst) among all nodes, or among a focus and what it points to."""
+    """Distinct dependency edges (src, dst) among all nodes, or among a focus and what it points to (none if it is unknown)."""
     shown = nodes.select("repo", "id")
     if focus is not None:
         at = shown.filter(F.col("id") == focus)
-        near = neighbors(nodes, edges, at, "outgoing").select("repo", "id").unionByName(at)
-        # an unknown focus shows everything
-        shown = near if not at.isEmpty() else shown
+        shown = neighbors(nodes, edges, at, "outgoing").select("repo", "id").unionByName(at)
     wanted = edges.filter(F.col("type").isin(DEPENDENCY_TYPES))
     return induced_edges(wanted, shown).select("repo", "src", "dst").distinct()
 
@@ -286,13 +286,14 @@ def deps_summary(files: DataFrame, edges: DataFrame, components: DataFrame) -> D
     return f.join(e, "repo", "left").join(c, "repo", "left").fillna(0, ["imports", "cycles"])
 
 
-def class_inventory(symbols: DataFrame, classes: int = 20, interfaces: int = 15, enums: int = 10) -> DataFrame:
-    """(repo, module, kind, name, place): the first symbols of each kind per module, each kind with its own size."""
+def class_inventory(symbols: DataFrame, classes: int | None = None, interfaces: int | None = None, enums: int | None = None) -> DataFrame:
+    """(repo, module, kind, name, place): the symbols of each kind per module, the first ones only of a kind given a size."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("repo", "module", "kind").orderBy("name", "file")
-    parts = [
-        symbols.filter(F.col("kind") == kind).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= size)
-        for kind, size in (("class", classes), ("interface", interfaces), ("enum", enums))
-    ]
-    return reduce(DataFrame.unionByName, parts).select("repo", "module", "kind", "name", "place")
+    sizes = {"class": classes, "interface": interfaces, "enum": enums}
+    placed = symbols.filter(F.col("kind").isin(list(sizes))).withColumn("place", F.row_number().over(w))
+    for kind, size in sizes.items():
+        if size is not None:
+            placed = placed.filter((F.col("kind") != kind) | (F.col("place") <= size))
+    return placed.select("repo", "module", "kind", "name", "place")

@@ -23,34 +23,44 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _folded(parts: list[DataFrame]) -> list[DataFrame]:
+    return [cut(_union(parts))] if len(parts) > _FOLD_EVERY else parts
+
+
+def _numbers(names: DataFrame) -> DataFrame:
+    """(repo, <name>, num): a number for each distinct row, in the order of the rows, written so that it is fixed.
+
+    Loops then move eight bytes a node instead of its id, and the smallest number is the smallest name.
+    """
+    return cut(names.distinct().orderBy(*names.columns).withColumn("num", F.monotonically_increasing_id()))
+
+
 def reach(
     edges: DataFrame, starts: DataFrame, *, direction: str = "incoming", max_depth: int | None = None
 ) -> DataFrame:
     """(repo, origin, id, depth): every id reachable from each start, the start itself left out.
 
-    `starts` has (repo, id).  `incoming` walks edges backwards (who depends on me), `outgoing` forwards.
+    `starts` has (repo, id).  `incoming` walks edges backwards (who depends on me), `outgoing` forwards.  The result is the
+    closure, origins times what they reach: ask for a set of starts, not for all nodes of a large graph.
     """
     near, far = ("dst", "src") if direction == "incoming" else ("src", "dst")
-    steps = cut(edges.select("repo", F.col(near).alias("id"), F.col(far).alias("next")))
-    frontier = cut(
-        starts.select("repo", F.col("id").alias("origin"), "id").distinct().withColumn("depth", F.lit(0))
-    )
+    pairs = edges.select("repo", F.col(near).alias("id"), F.col(far).alias("next"))
+    asked = starts.select("repo", "id").distinct()
+    nums = _numbers(pairs.select("repo", "id").unionByName(pairs.select("repo", F.col("next").alias("id"))).unionByName(asked))
+    told = lambda df, name, out: df.join(nums.select("repo", F.col("id").alias(name), F.col("num").alias(out)), ["repo", name])
+    steps = cut(told(told(pairs.distinct(), "id", "a"), "next", "b").select("a", "b"))
+    frontier = cut(told(asked, "id", "a").select(F.col("a").alias("o"), "a", F.lit(0).alias("depth")))
     seen, depth = [frontier], 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+    while (max_depth is None or depth < max_depth) and frontier.count():
         depth += 1
-        found = (
-            steps.join(frontier.select("repo", "id", "origin"), ["repo", "id"])
-            .select("repo", "origin", F.col("next").alias("id"))
-            .distinct()
-        )
-        if len(seen) > _FOLD_EVERY:
-            seen = [cut(_union(seen))]
-        known = _union(seen).select("repo", "origin", "id")
-        frontier = cut(
-            found.join(known, ["repo", "origin", "id"], "left_anti").withColumn("depth", F.lit(depth))
-        )
+        found = steps.join(frontier.select("a", "o"), "a").select("o", F.col("b").alias("a")).distinct()
+        seen = _folded(seen)
+        known = _union(seen).select("o", "a")
+        frontier = cut(found.join(known, ["o", "a"], "left_anti").withColumn("depth", F.lit(depth)))
         seen.append(frontier)
-    return _union(seen).filter("depth > 0")
+    hits = _union(seen).filter("depth > 0")
+    to = nums.select(F.col("num").alias("a"), "repo", "id")
+    return hits.join(to, "a").join(nums.select(F.col("num").alias("o"), F.col("id").alias("origin")), "o").select("repo", "origin", "id", "depth")
 
 
 def impact_subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -59,85 +69,87 @@ def impact_subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataF
     return nodes.join(hits, ["repo", "id"])
 
 
-def upstream_chain(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth: int = 10) -> DataFrame:
+def upstream_chain(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth: int | None = None) -> DataFrame:
     """Transitive callers by name: (repo, root, name, parent, branch, depth, file, line, language).
 
     Breadth first, so `depth` is the least one; of several parents at that depth the smallest name is kept and
-    `branch` is the first-level caller the row hangs under.
+    `branch` is the first-level caller the row hangs under.  With a bound on the depth, `cut` tells the roots that have callers
+    beyond it.
     """
     who = symbols.select(
         "repo", F.col("id").alias("caller_id"), F.col("name").alias("caller"),
         F.struct("id", "file", "line", "language").alias("info"),
     )
-    steps = cut(
+    asked = names.select("repo", "name").distinct()
+    sites = cut(
         calls.select("repo", "callee_name", "caller_id").distinct()
         .join(who, ["repo", "caller_id"])
         .groupBy("repo", F.col("callee_name").alias("name"), "caller")
         .agg(F.min("info").alias("info"))
     )
-    nothing = F.lit(None).cast("string")
-    frontier = cut(
-        names.select("repo", F.col("name").alias("root"), "name").distinct().select(
-            "repo", "root", "name", nothing.alias("parent"), nothing.alias("branch"), F.lit(0).alias("depth"),
-            nothing.alias("file"), F.lit(None).cast("int").alias("line"), nothing.alias("language"),
-        )
-    )
-    seen = [frontier]
-    for level in range(1, depth + 1):
-        if frontier.isEmpty():
-            break
+    nums = _numbers(sites.select("repo", "name").unionByName(sites.select("repo", F.col("caller").alias("name"))).unionByName(asked))
+    number = lambda df, name, out: df.join(nums.select("repo", F.col("name").alias(name), F.col("num").alias(out)), ["repo", name])
+    steps = cut(number(number(sites, "name", "a"), "caller", "b").select("a", "b", "info"))
+    frontier = cut(number(asked, "name", "a").select(F.col("a").alias("o"), "a", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("branch"), F.lit(0).alias("depth")))
+    seen, level = [frontier], 0
+    while (depth is None or level < depth) and frontier.count():
+        level += 1
         found = (
-            steps.join(frontier.select("repo", "root", "name", "branch"), ["repo", "name"])
-            .groupBy("repo", "root", F.col("caller").alias("name"))
-            .agg(F.min(F.struct(F.col("name").alias("parent"), "branch", "info")).alias("best"))
-            .select(
-                "repo", "root", "name", "best.parent", F.coalesce("best.branch", "name").alias("branch"),
-                F.lit(level).alias("depth"), "best.info.file", F.col("best.info.line").cast("int").alias("line"),
-                "best.info.language",
-            )
+            steps.select("a", "b").join(frontier.select("o", "a", "branch"), "a").groupBy("o", F.col("b").alias("a"))
+            .agg(F.min(F.col("a")).alias("parent"), F.min_by("branch", "a").alias("branch"))
         )
-        known = _union(seen).select("repo", "root", "name")
-        frontier = cut(found.join(known, ["repo", "root", "name"], "left_anti"))
+        seen = _folded(seen)
+        fresh = found.join(_union(seen).select("o", "a"), ["o", "a"], "left_anti")
+        frontier = cut(fresh.select("o", "a", "parent", F.coalesce("branch", "a").alias("branch"), F.lit(level).alias("depth")))
         seen.append(frontier)
-    return _union(seen).filter("depth > 0")
-
-
-def shortest_paths(nodes: DataFrame, edges: DataFrame, src: str, targets: list[str]) -> DataFrame:
+    named = lambda df, num, out: df.join(nums.select(F.col("num").alias(num), F.col("name").alias(out)), num)
+    hits = _union(seen).filter("depth > 0").join(steps.select(F.col("a").alias("parent"), F.col("b").alias("a"), "info"), ["parent", "a"])
+    hits = hits.join(nums.select(F.col("num").alias("o"), "repo", F.col("name").alias("root")), "o")
+    if depth is not None:
+        beyond = steps.select("a", "b").join(frontier.select("o", "a"), "a").select("o", F.col("b").alias("a")).distinct()
+        cut_roots = beyond.join(_union(seen).select("o", "a"), ["o", "a"], "left_anti").select("o").distinct().withColumn("_cut", F.lit(True))
+        hits = hits.join(cut_roots, "o", "left").withColumn("cut", F.coalesce("_cut", F.lit(False)))
+    out = named(named(named(hits.withColumnsRenamed({"a": "n1", "parent": "n2", "branch": "n3"}), "n1", "name"), "n2", "parent"), "n3", "branch")
+    more = [] if depth is None else ["cut"]
+    return out.select("repo", "root", "name", "parent", "branch", "depth", "info.file", F.col("info.line").cast("int").alias("line"), "info.language", *more)
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, src: str, targets: list[str] | DataFrame) -> DataFrame:
     """(repo, src, dst, path, length): one shortest outgoing path per reachable target; none gives no row.
 
-    Each level keeps one parent per node (the smallest id), and paths are only put together for the targets, by
-    walking the levels back: no path is carried through the search.
+    `targets` are ids, or a table (repo, id).  Each level keeps one parent per node (the smallest id).  Paths are only put
+    together for the targets, in one walk from the last level to the first that takes up the targets of each level on its way.
     """
     steps = cut(edges.select("repo", F.col("src").alias("id"), F.col("dst").alias("next")))
     known_nodes = nodes.select("repo", "id")
     nothing = F.lit(None).cast("string")
     levels = [cut(known_nodes.filter(F.col("id") == src).select("repo", "id", nothing.alias("parent")))]
-    wanted = known_nodes.filter(F.col("id").isin(targets)).join(levels[0].select("repo"), "repo", "left_semi")
-    todo = wanted.count()
-    todo -= levels[0].filter(F.col("id").isin(targets)).count()
-    while todo > 0 and not levels[-1].isEmpty():
+    wanted = known_nodes.filter(F.col("id").isin(targets)) if isinstance(targets, list) else known_nodes.join(targets.select("repo", "id").distinct(), ["repo", "id"], "left_semi")
+    wanted = cut(wanted.join(levels[0].select("repo"), "repo", "left_semi"))
+    reached = lambda level: level.join(wanted, ["repo", "id"], "left_semi")
+    todo = wanted.count() - reached(levels[0]).count()
+    seen = [levels[0].select("repo", "id")]
+    while todo > 0 and levels[-1].count():
         found = (
             steps.join(levels[-1].select("repo", "id"), ["repo", "id"])
             .groupBy("repo", F.col("next").alias("id"))
             .agg(F.min("id").alias("parent"))
         )
-        known = _union(levels).select("repo", "id")
-        levels.append(cut(found.join(known, ["repo", "id"], "left_anti")))
-        todo -= levels[-1].filter(F.col("id").isin(targets)).join(known_nodes, ["repo", "id"], "left_semi").count()
-    answers = []
-    for length, level in enumerate(levels):
-        rows = level.filter(F.col("id").isin(targets)).join(known_nodes, ["repo", "id"], "left_semi").select(
-            "repo", F.col("id").alias("dst"), "parent", F.array("id").alias("path")
-        )
-        for back in reversed(levels[:length]):
-            up = back.select("repo", F.col("id").alias("parent"), F.col("parent").alias("above"))
-            rows = rows.join(up, ["repo", "parent"]).select(
-                "repo", "dst", F.col("above").alias("parent"), F.concat(F.array("parent"), "path").alias("path")
-            )
-        answers.append(
-            rows.select("repo", F.lit(src).alias("src"), "dst", "path", F.lit(length).alias("length"))
-        )
-    return _union(answers)
+        seen = _folded(seen)
+        levels.append(cut(found.join(_union(seen), ["repo", "id"], "left_anti")))
+        seen.append(levels[-1].select("repo", "id"))
+        todo -= reached(levels[-1]).count()
+    rows = None
+    for length in range(len(levels) - 1, -1, -1):
+        level = levels[length]
+        if rows is not None:
+            up = level.select("repo", F.col("id").alias("parent"), F.col("parent").alias("above"))
+            rows = rows.join(up, ["repo", "parent"]).select("repo", "dst", F.col("above").alias("parent"), F.concat(F.array("parent"), "path").alias("path"), "length")
+        here = reached(level).select("repo", F.col("id").alias("dst"), "parent", F.array("id").alias("path"), F.lit(length).alias("length"))
+        rows = here if rows is None else rows.unionByName(here)
+        if length % _FOLD_EVERY == 0 and length:
+            rows = cut(rows)
+    return rows.select("repo", F.lit(src).alias("src"), "dst", "path", "length")
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -238,28 +250,39 @@ def cycles(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- topological levels
 
 
-def topo_levels(ids: DataFrame, deps: DataFrame) -> DataFrame:
+def topo_levels(ids: DataFrame, deps: DataFrame, rounds: int = 4) -> DataFrame:
     """(repo, id, level, cyclic): prerequisites before dependents; level is null for ids held up by a cycle.
 
-    `deps` has (repo, id, prereq).  Each round releases the ids whose prerequisites are all done.
+    `deps` has (repo, id, prereq).  Every id carries the number of its open prerequisites; a level is what has none left, and
+    takes one off its dependents for each.  Several levels are worked out per written table.
     """
     known = ids.select("repo", "id").distinct()
-    open_deps = cut(
+    needs = cut(
         deps.select("repo", "id", "prereq").distinct()
         .join(known.withColumnRenamed("id", "prereq"), ["repo", "prereq"], "left_semi")
     )
-    waiting, done, level = cut(known), [], 0
+    missing = needs.groupBy("repo", "id").agg(F.count("*").alias("missing"))
+    state = cut(
+        known.join(missing, ["repo", "id"], "left")
+        .select("repo", "id", F.coalesce("missing", F.lit(0)).alias("missing")).withColumn("level", F.when(F.col("missing") == 0, 0))
+    )
+    done, level = [], 0
     while True:
-        blocked = open_deps.select("repo", "id").distinct()
-        ready = cut(waiting.join(blocked, ["repo", "id"], "left_anti"))
-        if ready.isEmpty():
+        for _ in range(rounds):
+            off = needs.join(state.filter(F.col("level") == level).select("repo", F.col("id").alias("prereq")), ["repo", "prereq"])
+            off = off.groupBy("repo", "id").agg(F.count("*").alias("off"))
+            level += 1
+            left = F.col("missing") - F.coalesce("off", F.lit(0))
+            state = state.join(off, ["repo", "id"], "left").select(
+                "repo", "id", left.alias("missing"), F.coalesce("level", F.when(left == 0, level)).alias("level")
+            )
+        state = cut(state)
+        finished = state.filter(F.col("level") < level)
+        done = _folded([*done, finished.select("repo", "id", "level")])
+        # The newest level is still to be taken off its dependents.
+        newest = state.filter((F.col("level") == level) | F.col("level").isNull())
+        if not state.filter(F.col("level") == level).count():
             break
-        done.append(ready.withColumn("level", F.lit(level)).withColumn("cyclic", F.lit(False)))
-        waiting = cut(waiting.join(ready, ["repo", "id"], "left_anti"))
-        open_deps = cut(
-            open_deps.join(ready.withColumnRenamed("id", "prereq"), ["repo", "prereq"], "left_anti")
-        )
-        level += 1
-    stuck = waiting.withColumn("level", F.lit(None).cast("int")).withColumn("cyclic", F.lit(True))
-    return _union([*done, stuck])
-
+        state = newest
+    stuck = state.filter("level IS NULL").select("repo", "id", "level")
+    return _union([*done, stuck]).withColumn("cyclic", F.col("level").isNull())

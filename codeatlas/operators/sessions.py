@@ -85,7 +85,8 @@ def newest_sessions(messages: DataFrame, k: int = 20) -> DataFrame:
 
 
 def related_exchanges(
-    questions: DataFrame, messages: DataFrame, n: int = 3, min_score: float = 0.15, recent: int | None = 20
+    questions: DataFrame, messages: DataFrame, n: int = 3, min_score: float = 0.15, recent: int | None = None,
+    shown: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(repo, id, session_id, turn, question, answer, score): the best earlier exchanges for each question (repo, id, text).
 
@@ -110,17 +111,21 @@ def related_exchanges(
         .filter(F.col("reach") >= F.col("width") * min_score - 1e-9)
         .select("repo", "id", "word")
     )
-    candidates = kept.join(words, ["repo", "word"]).select("repo", "id", "session_id", "turn").distinct()
+    # An exchange with more distinct words than the question's words could outweigh is no candidate either.
+    most = asked.select("repo", "id", (F.size("query") / F.lit(max(min_score, 1e-9)) + 1e-9).alias("most"))
+    wide = known.select("repo", "session_id", "turn", F.size(F.array_distinct("target")).alias("wide"))
+    candidates = (
+        kept.join(most, ["repo", "id"]).join(words.join(wide, ["repo", "session_id", "turn"]), ["repo", "word"]).filter(F.col("wide") <= F.col("most"))
+        .select("repo", "id", "session_id", "turn").distinct()
+    )
     met = candidates.join(asked, ["repo", "id"]).join(known, ["repo", "session_id", "turn"])
     scored = keep_where(met, "score", overlap_score(F.col("query"), F.col("target")), lambda s: s >= min_score).select(
         "repo", "id", "session_id", "turn", "score"
     )
     best = Window.partitionBy("repo", "id").orderBy(F.desc("score"), "session_id", "turn")
     top = scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= n).drop("nth")
-    return top.join(pairs, ["repo", "session_id", "turn"]).select(
-        "repo", "id", "session_id", "turn", F.left("question", F.lit(500)).alias("question"),
-        F.left("answer", F.lit(1500)).alias("answer"), "score",
-    )
+    cut = lambda c, i: F.col(c) if shown is None else F.left(c, F.lit(shown[i])).alias(c)
+    return top.join(pairs, ["repo", "session_id", "turn"]).select("repo", "id", "session_id", "turn", cut("question", 0), cut("answer", 1), "score")
 
 
 def rank_symbols(symbols: DataFrame, query: str, k: int = 20) -> DataFrame:

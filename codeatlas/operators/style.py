@@ -229,14 +229,14 @@ def detect_frameworks(files: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [p.select("repo", "framework") for p in parts]).distinct()
 
 
-def modules(files: DataFrame, symbols: int = 20) -> DataFrame:
-    """(repo, module, file_count, exported_symbols): modules by size with the first names they export."""
+def modules(files: DataFrame, symbols: int | None = None) -> DataFrame:
+    """(repo, module, file_count, exported_symbols): modules by size with the names they export, the first ones if a size is given."""
     from pyspark.sql import Window
 
     sized = files.groupBy("repo", module_of(F.col("path")).alias("module")).agg(F.count("*").alias("file_count"))
     exported = exported_symbols(files).select("repo", module_of(F.col("file")).alias("module"), "name").distinct()
     w = Window.partitionBy("repo", "module").orderBy("name")
-    first = exported.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= symbols)
+    first = exported if symbols is None else exported.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= symbols)
     names = first.groupBy("repo", "module").agg(F.array_sort(F.collect_list("name")).alias("exported_symbols"))
     return sized.join(names, ["repo", "module"], "left").select(
         "repo", "module", "file_count", F.coalesce("exported_symbols", F.array().cast("array<string>")).alias("exported_symbols")

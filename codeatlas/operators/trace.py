@@ -20,11 +20,11 @@ def lookup(symbols: DataFrame, *, name: str | None = None, file: str | None = No
     return symbols
 
 
-def candidates(symbols: DataFrame, term: str, k: int = 10) -> DataFrame:
-    """Up to k symbols whose name holds the term in any case; nothing when the exact name exists."""
+def candidates(symbols: DataFrame, term: str, k: int | None = None) -> DataFrame:
+    """Symbols (the first k, if given) whose name holds the term in any case; nothing when the exact name exists."""
     hit = symbols.agg(F.coalesce(F.bool_or(F.col("name") == term), F.lit(False))).scalar()
     like = symbols.filter(F.lower("name").contains(term.lower())).filter(~hit)
-    return like.orderBy("repo", "name", "id").limit(k)
+    return like if k is None else like.orderBy("repo", "name", "id").limit(k)
 
 
 def callers(symbols: DataFrame, calls: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -196,20 +196,23 @@ def caller_multiplicity(sites: DataFrame) -> DataFrame:
     return sites.groupBy("repo", "callee", "caller", "file").agg(F.count("*").alias("sites"), F.min("line").alias("first_line"))
 
 
-def _first_k(df: DataFrame, key: str, order: list[str], k: int, section: str, label: Column) -> DataFrame:
+def _first_k(df: DataFrame, key: str, order: list[str], k: int | None, section: str, label: Column) -> DataFrame:
     w = Window.partitionBy("repo", key).orderBy(*order)
     sizes = df.groupBy("repo", key).agg(F.count("*").alias("total"))
-    first = df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    first = df.withColumn("place", F.row_number().over(w))
+    if k is not None:
+        first = first.filter(F.col("place") <= k)
     return first.join(sizes, ["repo", key]).select(
         "repo", F.col(key).alias("name"), F.lit(section).alias("section"), "place", label.alias("item"),
-        F.greatest(F.col("total") - k, F.lit(0)).alias("more"),
+        (F.lit(0).cast("long") if k is None else F.greatest(F.col("total") - k, F.lit(0))).alias("more"),
     )
 
 
 def trace_summary(
-    symbols: DataFrame, calls: DataFrame, imports: DataFrame, names: DataFrame, k: int = 10, roots: int = 5, depth: int = 10
+    symbols: DataFrame, calls: DataFrame, imports: DataFrame, names: DataFrame, k: int | None = None,
+    roots: int | None = None, depth: int | None = None,
 ) -> DataFrame:
-    """(repo, name, section, place, item, more): the first k callers, callees and importers and the first chain roots.
+    """(repo, name, section, place, item, more): callers, callees, importers and chain roots, the first k (roots) if given.
 
     `more` is how many further rows the section has; a chain root also tells how many callers hang under it.
     """

@@ -61,9 +61,11 @@ def scan_secrets(files: DataFrame, text: str = "content", keep: list[str] = ("re
     low = F.lower(text)
     hinted = reduce(lambda a, b: a | b, [low.contains(h) for h in SECRET_HINTS])
     lines = explode_lines(files.filter(hinted & any_rule), text, list(keep))
-    found = lines.withColumn("rule", F.explode(matched_rules(F.col("text")))).withColumn("excerpt", excerpt(F.col("text")))
+    found = lines.withColumn("rule", F.explode(matched_rules(F.col("text"))))
     place = F.struct(*[c for c in keep if c != "repo"], "line")
-    first = found.groupBy("repo", "rule", "excerpt").agg(F.min(place).alias("at"))
+    # Findings are told apart by the whole line (128 bits of hash); the excerpt is for show.
+    whole = found.withColumn("_h1", F.xxhash64(F.lit(1), "text")).withColumn("_h2", F.xxhash64(F.lit(2), "text"))
+    first = whole.groupBy("repo", "rule", "_h1", "_h2").agg(F.min(place).alias("at"), F.first(excerpt(F.col("text"))).alias("excerpt"))
     return first.select("repo", "at.*", "rule", "excerpt")
 
 

@@ -106,17 +106,17 @@ def h5(spark, sf):
 @query("h6_commit_style", "WITH " + SUBJECT_SQL + r""",
 s AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash DESC) AS nth FROM talk),
 c AS (SELECT repo, count(*) AS n, count(*) FILTER (WHERE regexp_matches(subject, '^feat(\(.+?\))?:')) AS typed FROM s WHERE nth <= 20 GROUP BY repo),
-b AS (SELECT 'p' || user_id AS repo, bool_or(event_type = 'purchase') AS f, bool_or(event_type = 'signup') AS g FROM events
-      WHERE event_type IN ('purchase', 'signup', 'error') AND CAST(json_extract_string(props, '$.k') AS INTEGER) < 3 GROUP BY 1)
+b AS (SELECT 'p' || user_id AS repo, bool_or(event_type = 'purchase' AND k % 7 = 0) AS f, bool_or(event_type = 'signup' AND k % 5 = 0) AS g
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY 1)
 SELECT c.repo, CASE WHEN typed > 0 AND typed >= n * 0.5 THEN 'conventional' ELSE 'freeform' END AS commit_convention,
   CASE WHEN f THEN 'feat/<name>' WHEN g THEN 'gitflow' WHEN f IS NOT NULL THEN '<type>/<name>' ELSE 'unknown' END AS branch_pattern
 FROM c LEFT JOIN b USING (repo)""")
 def h6(spark, sf):
     kind = F.col("event_type")
-    made = table(spark, sf, "events").filter("event_type in ('purchase', 'signup', 'error')")
-    branches = made.filter(F.get_json_object("props", "$.k").cast("int") < 3).select(
+    k = F.get_json_object("props", "$.k").cast("int")
+    branches = table(spark, sf, "events").select(
         F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("repo"),
-        F.when(kind == "purchase", "feature/x").when(kind == "signup", "release/1").otherwise("wip").alias("branch"),
+        F.when((kind == "purchase") & (k % 7 == 0), "feature/x").when((kind == "signup") & (k % 5 == 0), "release/1").otherwise("wip").alias("branch"),
     )
     return H.commit_style(talk(spark, sf), branches)
 
@@ -227,7 +227,8 @@ def related_sql(recent: str, score: str) -> str:
     return PAIRS_SQL + f""",
 newest AS (SELECT session_id FROM messages GROUP BY 1 ORDER BY max(ts) DESC, session_id {recent}),
 t AS (SELECT *, {_words('question', L.SEARCH_STOP_WORDS, '_.-')} AS target FROM pairs WHERE session_id IN (SELECT session_id FROM newest)),
-q AS (SELECT item_id AS id, {_words('text', L.SEARCH_STOP_WORDS, '_.-')} AS query FROM benchmark),
+asked AS (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations WHERE role = 'user'),
+q AS (SELECT id, {_words('text', L.SEARCH_STOP_WORDS, '_.-')} AS query FROM asked),
 s AS (
   SELECT q.id, t.*, CASE WHEN len(query) = 0 OR len(target) = 0 THEN 0.0 ELSE
     round(len(list_filter(query, lambda w: list_contains(target, w))) / len(list_distinct(list_concat(query, target))), 6) END AS score
@@ -238,17 +239,21 @@ FROM r WHERE nth <= 3"""
 
 
 def questions(spark, sf):
-    return table(spark, sf, "benchmark").select(F.lit("chat").alias("repo"), F.col("item_id").alias("id"), "text")
+    """Benchmark items and all that users said."""
+    said = table(spark, sf, "conversations").filter("role = 'user'")
+    return table(spark, sf, "benchmark").select(F.lit("chat").alias("repo"), F.col("item_id").alias("id"), "text").unionByName(
+        said.select(F.lit("chat").alias("repo"), (1000000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    )
 
 
-@query("l4_related_exchanges", related_sql("LIMIT 20", "0.02"))
+@query("l4_related_exchanges", related_sql("LIMIT 20", "0.15"))
 def l4(spark, sf):
-    return L.related_exchanges(questions(spark, sf), A.messages(spark, sf), min_score=0.02)
+    return L.related_exchanges(questions(spark, sf), A.messages(spark, sf), min_score=0.15, recent=20, shown=(500, 1500))
 
 
-@query("l4_related_exchanges_all", related_sql("", "0.05"))
+@query("l4_related_exchanges_all", related_sql("", "0.15"))
 def l4_all(spark, sf):
-    return L.related_exchanges(questions(spark, sf), A.messages(spark, sf), min_score=0.05, recent=None)
+    return L.related_exchanges(questions(spark, sf), A.messages(spark, sf), min_score=0.15, shown=(500, 1500))
 
 
 @query("l5_rank_symbols", """

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codeatlas.plans.registry import spread, table
+from codeatlas.plans.registry import table
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -135,15 +135,16 @@ symbols AS (
          CASE p_partkey % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'java' WHEN 2 THEN 'python' ELSE 'sql' END AS language
   FROM part),
 sites AS (
-  SELECT *, (l_partkey * 31 + l_suppkey) % (SELECT count(*) FROM part) AS callee FROM lineitem WHERE l_quantity >= 49),
+  SELECT *, (l_partkey * 31 + l_suppkey * 7 + l_orderkey) % (10 * (SELECT count(*) FROM part)) AS callee,
+         (l_orderkey * 17 + l_linenumber * 5 + l_partkey) % (10 * (SELECT count(*) FROM part)) AS toucher FROM lineitem),
 calls AS (
   SELECT 'shop' AS repo, l_orderkey * 10 + l_linenumber AS id, l_partkey AS caller_id, 'fn_' || callee AS callee_name,
          p_brand AS file, l_linenumber AS line, 'order ' || l_orderkey AS arguments,
          CASE WHEN l_partkey % 4 <> callee % 4 THEN 'cross-language' ELSE 'direct' END AS kind
   FROM sites JOIN part ON p_partkey = l_partkey),
 columns_ AS (
-  SELECT 'shop' AS repo, l_orderkey * 10 + l_linenumber AS id, l_partkey AS symbol_id, 't' || (l_suppkey % 20) AS table_name,
-         'c' || (l_orderkey % 25) AS column_name,
+  SELECT 'shop' AS repo, l_orderkey * 10 + l_linenumber AS id, toucher AS symbol_id, 't' || l_suppkey AS table_name,
+         'c' || (l_orderkey % 97) AS column_name,
          CASE l_returnflag WHEN 'A' THEN 'INSERT' WHEN 'N' THEN 'SELECT' ELSE 'UPDATE' END AS operation
   FROM sites),
 imports AS (
@@ -169,10 +170,12 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sites(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "part").agg(F.count("*")).scalar()
-    return table(spark, sf, "lineitem").filter("l_quantity >= 49").select(
+    """Every line item is a call site and a touch of a column; nine in ten names are of code outside the index."""
+    names = table(spark, sf, "part").agg(F.count("*")).scalar() * 10
+    return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
-        ((F.col("l_partkey") * 31 + F.col("l_suppkey")) % n).alias("callee"),
+        ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 7 + F.col("l_orderkey")) % names).alias("callee"),
+        ((F.col("l_orderkey") * 17 + F.col("l_linenumber") * 5 + F.col("l_partkey")) % names).alias("toucher"),
     )
 
 
@@ -196,9 +199,9 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def columns(spark: SparkSession, sf: str) -> DataFrame:
     return _sites(spark, sf).select(
-        F.lit("shop").alias("repo"), _row_id().alias("id"), F.col("l_partkey").alias("symbol_id"),
-        F.concat(F.lit("t"), (F.col("l_suppkey") % 20).cast("string")).alias("table_name"),
-        F.concat(F.lit("c"), (F.col("l_orderkey") % 25).cast("string")).alias("column_name"),
+        F.lit("shop").alias("repo"), _row_id().alias("id"), F.col("toucher").alias("symbol_id"),
+        F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("table_name"),
+        F.concat(F.lit("c"), (F.col("l_orderkey") % 97).cast("string")).alias("column_name"),
         F.when(F.col("l_returnflag") == "A", "INSERT").when(F.col("l_returnflag") == "N", "SELECT")
         .otherwise("UPDATE").alias("operation"),
     )
@@ -223,7 +226,7 @@ files AS (
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         F.col("source").alias("repo"), "doc_id",
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
         F.col("lang").alias("language"), F.col("n_chars").alias("size"), F.col("text").alias("content"),

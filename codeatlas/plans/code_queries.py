@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeatlas.operators import analyse as N, extract_lines as E, extract_trace as X, graph as G, resolve as P, style as Y
 from codeatlas.plans import adapters as A
 from codeatlas.plans.config_queries import lines, text
-from codeatlas.plans.registry import query, spread, table
+from codeatlas.plans.registry import query, table
 from codeatlas.session import cut
 
 # Per part: its key, two keys it refers to, and its paths.
@@ -29,7 +29,7 @@ PY, JAVA, SQL = "'py/fn_' || p || '.py'", "'java/Fn' || p || '.java'", "'models/
 def parts(spark, sf):
     n = table(spark, sf, "part").agg(F.count("*")).scalar()
     p = F.col("p_partkey")
-    return spread(spark, sf, "part").select(
+    return table(spark, sf, "part").select(
         F.lit("shop").alias("repo"), p.alias("p"), ((p * p + 7) % n).alias("c1"), ((p * 31 + 5) % n).alias("c2"), (p % 4).alias("d")
     ).withColumn("d1", F.col("c1") % 4)
 
@@ -547,7 +547,7 @@ k AS (SELECT repo, d::VARCHAR AS module, 'K' || p AS name, row_number() OVER (PA
 SELECT repo, module, 'class' AS kind, name, CAST(place AS INTEGER) AS place FROM k WHERE place <= 20""")
 def e28(spark, sf):
     symbols = E.exported_symbols(ts_files(spark, sf)).withColumn("module", G.module_of(F.col("file")))
-    return G.class_inventory(symbols)
+    return G.class_inventory(symbols, classes=20)
 
 
 @query("e16_parse_enrichment", """
@@ -703,7 +703,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY name) AS nth FRO
 SELECT repo, module, (SELECT count(*) FROM p WHERE p.d::VARCHAR = r.module) AS file_count, string_agg(name, ',' ORDER BY name) AS exported_symbols
 FROM r WHERE nth <= 20 GROUP BY 1, 2""")
 def b18(spark, sf):
-    return Y.modules(ts_files(spark, sf)).withColumn("exported_symbols", F.array_join("exported_symbols", ","))
+    return Y.modules(ts_files(spark, sf), symbols=20).withColumn("exported_symbols", F.array_join("exported_symbols", ","))
 
 
 @query("b18_page_modules", r"""

@@ -137,13 +137,12 @@ def a9(spark, sf):
 
 @query("s13_unused_dependencies", "WITH " + DEPS_ROWS + """,
 d AS (SELECT DISTINCT repo, name, section FROM deps WHERE section = 'dependencies' OR (section = 'devDependencies' AND name NOT LIKE 'eslint%')),
-used AS (SELECT 'pkg' || l_suppkey AS name FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'A'
-         UNION SELECT 'lib' || (l_orderkey % 8) FROM lineitem)
+used AS (SELECT 'pkg' || (l_suppkey * 2) AS name FROM lineitem UNION SELECT 'lib' || (l_orderkey % 8) FROM lineitem)
 SELECT repo, name, section FROM d WHERE name NOT IN (SELECT name FROM used)""")
 def s13(spark, sf):
     declared = manifests.read_manifests(manifest_files(spark, sf)).select("repo", "name", "section").distinct()
     item = table(spark, sf, "lineitem")
-    used = item.filter("l_quantity >= 49 and l_returnflag = 'A'").select(text("pkg", F.col("l_suppkey")).alias("name")).unionByName(
+    used = item.select(text("pkg", F.col("l_suppkey") * 2).alias("name")).unionByName(
         item.select(text("lib", F.col("l_orderkey") % 8).alias("name"))
     ).distinct()
     repos = declared.select("repo").distinct()
@@ -153,13 +152,13 @@ def s13(spark, sf):
 
 @query("s13_parts_never_returned", """
 SELECT 'shop' AS repo, 'c' || p_partkey AS name, 'dependencies' AS section FROM part
-WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40)""")
+WHERE p_partkey NOT IN (SELECT 3 * l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
 def s13_parts(spark, sf):
     declared = table(spark, sf, "part").select(
         F.lit("shop").alias("repo"), text("c", F.col("p_partkey")).alias("name"), F.lit("dependencies").alias("section")
     )
-    returned = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 40")
-    return C.unused_dependencies(declared, returned.select(F.lit("shop").alias("repo"), text("c", F.col("l_partkey")).alias("name")))
+    returned = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+    return C.unused_dependencies(declared, returned.select(F.lit("shop").alias("repo"), text("c", F.col("l_partkey") * 3).alias("name")))
 
 
 @query("s14_dependency_counts", "WITH " + DEPS_ROWS + "SELECT repo, section, count(*) AS dependencies FROM deps GROUP BY 1, 2")

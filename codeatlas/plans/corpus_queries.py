@@ -109,7 +109,7 @@ def b5(spark, sf):
 @query("b6_search_text", LINES + """
 SELECT repo, path, line, text FROM lines WHERE contains(lower(text), 'license') ORDER BY repo, path, line LIMIT 20""")
 def b6(spark, sf):
-    return B.search_text(A.files(spark, sf), "License")
+    return B.search_text(A.files(spark, sf), "License", max_total=20)
 
 
 @query("b6_search_regex", LINES + r""",

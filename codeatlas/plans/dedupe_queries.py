@@ -165,9 +165,9 @@ _RULES = " UNION ALL ".join(f"SELECT {_sql_text(n)} AS rule, {_sql_text(('(?i)'
 @query("s1_scan_secrets", LINES + f""",
 rules AS ({_RULES}),
 hit AS (
-  SELECT repo, path, line, rule, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS excerpt
+  SELECT repo, path, line, rule, text, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS excerpt
   FROM lines JOIN rules ON regexp_matches(text, re)),
-f AS (SELECT *, row_number() OVER (PARTITION BY repo, rule, excerpt ORDER BY path, line) AS r FROM hit)
+f AS (SELECT *, row_number() OVER (PARTITION BY repo, rule, text ORDER BY path, line) AS r FROM hit)
 SELECT repo, path, line, rule, excerpt FROM f WHERE r = 1""")
 def s1(spark, sf):
     return V.scan_secrets(A.files(spark, sf))

@@ -97,26 +97,31 @@ def a6_edges(spark, sf):
     return graphs(spark, sf)[1]
 
 
+AGES = [2024, 2021, 2020]
+
+
 @query("a7_stream_index", LINES + rf"""
 SELECT repo, path AS file, line, upper(regexp_extract(text, '(?i)\b({MARKER_WORDS})\b[:\s-]*(.*)', 1)) AS type,
   trim(regexp_extract(text, '(?i)\b({MARKER_WORDS})\b[:\s-]*(.*)', 2), {TRIM}) AS text
 FROM lines WHERE regexp_matches(text, '(?i)\b({MARKER_WORDS})\b')""")
 def a7(spark, sf):
-    """The documents as a stream of files; their markers, indexed batch by batch and read back."""
-    schema = table(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    files = docs.select(
+    """The documents as a stream of files that arrive in three batches, each older than the one before; their markers, indexed
+    batch by batch and read back."""
+    landing, sink = scratch_path(spark, "landing"), scratch_path(spark, "stream")
+    files = table(spark, sf, "documents").select(
         F.col("source").alias("repo"),
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
-        F.lit("2024-01-01").cast("timestamp").alias("mtime"), F.col("text").alias("content"),
+        F.element_at(F.array(*[F.lit(f"{y}-01-01").cast("timestamp") for y in AGES]), (F.col("doc_id") % len(AGES) + 1).cast("int")).alias("mtime"),
+        F.col("text").alias("content"),
     )
 
     def extract(batch):
         lines = S.explode_lines(batch, "content", ["repo", "path"])
         return {"markers": B.scan_markers(lines, pattern=MARKER_WORDS).withColumnRenamed("path", "file")}
 
-    sink = scratch_path(spark, "stream")
-    T.stream_index(files, sink, extract).awaitTermination()
+    for number, year in enumerate(AGES):
+        files.filter(F.year("mtime") == year).write.parquet(f"{landing}/{number}")
+        T.stream_index(spark.readStream.schema(files.schema).parquet(f"{landing}/*"), sink, extract).awaitTermination()
     return T.current_index(spark, sink, ["markers"])["markers"]
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +27,3 @@ def query(name: str, sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-SMALL_PER_CORE = 32 * 1024 * 1024
-
-
-def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table for text-heavy work, on all cores.
-
-    A small local file often is one row group and so one task.  It is dealt out over the cores while it is under
-    32 MB per core; larger inputs come in many row groups and are left as they are.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    path = Path(f"{sf_dir}/{name}.parquet")
-    if path.is_file() and path.stat().st_size < SMALL_PER_CORE * cores:
-        return df.repartition(cores)
-    return df

@@ -11,14 +11,13 @@ from codeatlas.plans.registry import query
 WITH = "WITH RECURSIVE " + A.TRACE_SQL
 
 HOT_SQL = """,
-hot AS (SELECT callee_name AS name FROM calls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)
+hot AS (SELECT DISTINCT name FROM symbols WHERE file = 'Brand#7' AND line <= 5)
 """
 
 
-def hottest(spark, sf, k: int = 20):
-    """The most called names: the ones a reviewer asks about first."""
-    counted = A.calls(spark, sf).groupBy("repo", F.col("callee_name").alias("name")).agg(F.count("*").alias("n"))
-    return counted.orderBy(F.desc("n"), "name").limit(k).select("repo", "name")
+def changed_names(spark, sf):
+    """The names declared at the top of one file: what a reviewer of a change to it asks about."""
+    return T.lookup(A.symbols(spark, sf), file="Brand#7").filter("line <= 5").select("repo", "name").distinct()
 
 
 @query("d1_lookup", WITH + "SELECT * FROM symbols WHERE file = 'Brand#7'")
@@ -28,7 +27,7 @@ def d1(spark, sf):
 
 @query("d2_candidates", WITH + "SELECT repo, id, name, file FROM symbols WHERE lower(name) LIKE '%n\\_19%' ESCAPE '\\' ORDER BY repo, name, id LIMIT 10")
 def d2(spark, sf):
-    return T.candidates(A.symbols(spark, sf), "N_19").select("repo", "id", "name", "file")
+    return T.candidates(A.symbols(spark, sf), "N_19", 10).select("repo", "id", "name", "file")
 
 
 @query("d3_callers", WITH + """
@@ -58,7 +57,7 @@ step AS (
   FROM calls c JOIN symbols s ON s.id = c.caller_id GROUP BY 1, 2),
 up(root, name, depth) AS (
   SELECT name, name, 0 FROM hot
-  UNION SELECT root, caller, depth + 1 FROM up JOIN step USING (name) WHERE depth < 10),
+  UNION SELECT root, caller, depth + 1 FROM up JOIN step USING (name) WHERE depth < 40),
 best AS (SELECT root, name, min(depth) AS depth FROM up GROUP BY 1, 2),
 tree AS (
   SELECT b.root, b.name, b.depth, min({'parent': p.name, 'info': step.info}) AS m
@@ -71,7 +70,7 @@ tree AS (
 SELECT 'shop' AS repo, root, name, m.parent AS parent, CAST(depth AS INTEGER) AS depth, m.info.file AS file,
        m.info.line AS line, m.info.language AS language FROM tree""")
 def d6(spark, sf):
-    return R.upstream_chain(A.symbols(spark, sf), A.calls(spark, sf), hottest(spark, sf)).drop("branch")
+    return R.upstream_chain(A.symbols(spark, sf), A.calls(spark, sf), changed_names(spark, sf)).drop("branch")
 
 
 @query("d7_direct_callers", WITH + """
@@ -85,7 +84,7 @@ TOUCH_SQL = """,
 touch AS (
   SELECT symbol_id, table_name, column_name, min(operation) AS operation,
          bool_or(operation IN ('UPDATE', 'INSERT', 'DELETE')) AS writes, bool_or(operation IN ('SELECT', 'READ')) AS reads
-  FROM columns_ GROUP BY 1, 2, 3),
+  FROM columns_ WHERE symbol_id IN (SELECT id FROM symbols) GROUP BY 1, 2, 3),
 changed AS (SELECT id FROM symbols WHERE file = 'Brand#7')
 """
 
@@ -173,7 +172,7 @@ sec AS (
   FROM tree WHERE depth = 1)
 SELECT 'shop' AS repo, name, section, CAST(place AS INTEGER) AS place, item, greatest(total - k, 0) AS more FROM sec WHERE place <= k""")
 def d13(spark, sf):
-    return T.trace_summary(A.symbols(spark, sf), A.calls(spark, sf), A.imports(spark, sf), hottest(spark, sf))
+    return T.trace_summary(A.symbols(spark, sf), A.calls(spark, sf), A.imports(spark, sf), changed_names(spark, sf), k=10, roots=5)
 
 
 @query("c19_bind_ids", WITH + """

@@ -19,7 +19,6 @@ BINARY_EXTENSIONS = [
     ".gz", ".pdf", ".exe", ".dll", ".so", ".dylib", ".lock", ".bin",
 ]
 TEST_SUFFIXES = [".test.ts", ".test.tsx", ".spec.ts", ".spec.tsx", ".d.ts"]
-MAX_BYTES = 1024 * 1024
 
 
 def read_corpus(
@@ -49,17 +48,18 @@ def read_corpus(
     return out.filter(F.col("language").isNotNull()) if known_only else out
 
 
-def store_corpus(files: DataFrame, root: str, files_per_language: int = 256) -> None:
+def store_corpus(files: DataFrame, root: str, rows_per_file: int = 100_000) -> None:
     """Write a `files` table by language, so that a job for one language reads that language's files only.
 
-    `operators.extract_trace` and `operators.analyse` filter on the language once per extractor; over a stored corpus
-    these filters prune directories and all of them together read the corpus once.
+    `operators.analyse` filters on the language once per analyser; over a stored corpus these filters prune directories and
+    all of them together read the corpus once.  The rebalance hint cuts a language of any size into writers of the session's
+    advisory partition size.
     """
-    spread = F.pmod(F.xxhash64("repo", "path"), F.lit(files_per_language))
-    files.repartition("language", spread).write.mode("overwrite").partitionBy("language").parquet(root)
+    balanced = files.hint("rebalance", F.col("language"))
+    balanced.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("language").parquet(root)
 
 
-def _glob_regex(glob: str) -> str:
+def glob_pattern(glob: str) -> str:
     """`*` stays within a directory, `**` does not; everything else is literal."""
     pieces = re.split(r"(\*\*|\*)", glob)
     return "".join({"**": ".*", "*": "[^/]*"}.get(p) or re.escape(p) for p in pieces if p)
@@ -69,7 +69,7 @@ def excluded(path: Column, globs: list[str]) -> Column:
     """A glob hits the whole path, the path as a directory, its beginning, or any part of it as plain text."""
     hit = F.lit(False)
     for glob in globs:
-        hit = hit | path.rlike(f"^(?:{_glob_regex(glob)})/?$") | path.startswith(re.sub(r"\*$", "", glob)) | path.contains(glob)
+        hit = hit | path.rlike(f"^(?:{glob_pattern(glob)})/?$") | path.startswith(re.sub(r"\*$", "", glob)) | path.contains(glob)
     return hit
 
 
@@ -77,10 +77,10 @@ def prune_paths(
     files: DataFrame,
     ignore_dirs: list[str] = IGNORED_DIRS,
     globs: list[str] = (),
-    max_bytes: int | None = MAX_BYTES,
+    max_bytes: int | None = None,
     skip_tests: bool = True,
 ) -> DataFrame:
-    """Drop ignored directories, excluded globs, tests and declarations, binaries and oversized files.
+    """Drop ignored directories, excluded globs, tests and declarations, binaries and, with `max_bytes`, larger files.
 
     Everything looks at path and size only, so a scan prunes before it touches contents.
     """

@@ -68,10 +68,8 @@ def write_index(tables: dict[str, DataFrame], root: str, version: int = INDEX_VE
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         if by_repo:
-            # spread a large repo over several files instead of one writer task per repo
-            writer = df.repartition("repo", F.pmod(F.xxhash64(*df.columns[1:2]), F.lit(32))).write.mode("overwrite").partitionBy("repo").option(
-                "partitionOverwriteMode", "dynamic"
-            )
+            # the hint cuts a repo of any size into writers of the session's advisory partition size
+            writer = df.hint("rebalance", F.col("repo")).write.mode("overwrite").partitionBy("repo").option("partitionOverwriteMode", "dynamic")
         writer.parquet(f"{root}/{name}")
     spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{root}/_version")
 

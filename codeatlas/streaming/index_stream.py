@@ -7,8 +7,10 @@ hide a newer one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +20,7 @@ from codeatlas.functions.languages import language_of
 def stream_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Streaming `files` table (repo, path, language, mtime, content) of a tree <root>/<repo>/<path> that grows."""
     raw = spark.readStream.text(root, wholetext=True, recursiveFileLookup=True)
-    rel = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"{root.rstrip('/')}/(.*)$", 1)
+    rel = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"{re.escape(root.rstrip('/'))}/(.*)$", 1)
     return (
         raw.select(rel.alias("rel"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("content"))
         .select(
@@ -29,22 +31,32 @@ def stream_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_index(
-    files: DataFrame, sink: str, extract: Callable[[DataFrame], dict[str, DataFrame]], delay: str = "1 hour", once: bool = True
+    files: DataFrame, sink: str, extract: Callable[[DataFrame], dict[str, DataFrame]], once: bool = True
 ) -> StreamingQuery:
     """Run `extract(files)` on every micro-batch of (repo, path, mtime, ...) and add its tables to the index at `sink`.
 
-    Tables need the columns repo and file.  A version delivered twice within the delay is taken once.
+    Tables need the columns repo and file.  The age of a file is no event time, so nothing is ever late: a version that comes
+    twice in a batch is taken once, and one that an earlier batch has brought is skipped.
     """
-    fresh = files.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["repo", "path", "mtime"])
 
     def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.dropDuplicates(["repo", "path", "mtime"])
+        try:
+            known = spark.read.parquet(f"{sink}/files").filter(F.col("batch") < number)
+        except AnalysisException:  # the first batch
+            known = None
+        if known is not None:
+            batch = batch.join(known.select("repo", F.col("file").alias("path"), "mtime"), ["repo", "path", "mtime"], "left_anti")
         batch = batch.persist()  # read by every table of the batch
-        versions = batch.select("repo", F.col("path").alias("file"), "mtime")
-        for name, rows in {"files": versions, **extract(batch)}.items():
-            rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
-        batch.unpersist()
+        try:
+            versions = batch.select("repo", F.col("path").alias("file"), "mtime")
+            for name, rows in {**extract(batch), "files": versions}.items():
+                rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
 
-    writer = fresh.writeStream.foreachBatch(add).option("checkpointLocation", f"{sink}/_progress")
+    writer = files.writeStream.foreachBatch(add).option("checkpointLocation", f"{sink}/_progress")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

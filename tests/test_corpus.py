@@ -58,7 +58,7 @@ def test_debt_and_mood(spark, files):
 def test_search_limits(files):
     f = files({"a.md": "Needle\nneedle\nNEEDLE", "b.ts": "x needle"})
     assert rows(B.search_text(f, "needle", max_per_file=2), "path", "line") == [("a.md", 1), ("a.md", 2), ("b.ts", 1)]
-    assert B.search_text(f, "needle", suffix=".ts").count() == 1
+    assert B.search_text(f, "needle", glob="**/*.ts").count() == 1
     assert B.search_text(f, "^x n", regex=True).count() == 1
 
 
