@@ -2,52 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codeatlas.functions.text import split_lines, word_tokens
 from codeatlas.session import cut
 
+SALTS = 8
 
-@F.pandas_udf(T.StringType())
-def _blank_block_comments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Texts without their block comments, line numbers kept; one opener per line is looked at."""
 
-    def clean(text):
-        if text is None:
-            return None
-        out, inside = [], False
-        for line in text.split("\n"):
-            if inside:
-                _, closed, line = line.partition("*/")
-                inside = not closed
-            before, opened, rest = line.partition("/*")
-            if opened:
-                _, closed, after = rest.partition("*/")
-                line, inside = (before + after, inside) if closed else (before, True)
-            out.append(line)
-        return "\n".join(out)
+# Fixed value: a block comment, open to the end if nothing closes it, or a stretch without one.
+BLOCK_COMMENT = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
 
-    for texts in batches:
-        yield texts.map(clean, na_action="ignore")
 
+def _no_blocks(text: Column) -> Column:
+    """The text without its block comments; their line breaks stay, so lines keep their numbers."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?:{BLOCK_COMMENT}|[^/]++|/)"), F.lit(0))
+    clean = F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("/*"), F.regexp_replace(x, r"[^\n]", "")).otherwise(x)), "")
+    return F.when(text.contains("/*"), clean).otherwise(text)
 
-def strip_comments(text: Column) -> Column:
-    """Lines of a text without comments.
 
-    Only texts that hold a block opener visit Python; all others get a null there and stay in the JVM.  A `#` opens
-    a comment unless a quote stands before it.
-    """
-    no_blocks = F.coalesce(_blank_block_comments(F.when(text.contains("/*"), text)), text)
+def strip_comments(text: Column) -> Column:
+    """Lines of a text without comments.  A `#` opens a comment unless a quote stands before it."""
 
     def strip(line):
         head = F.substring_index(line, "//", 1)
         before = F.substring_index(head, "#", 1)
         return F.when(before.contains('"') | before.contains("'"), head).otherwise(before)
 
-    return F.transform(split_lines(no_blocks), strip)
+    return F.transform(split_lines(_no_blocks(text)), strip)
 
 
 def tokenize(files: DataFrame, keep: list[str] = ("repo", "path")) -> DataFrame:
@@ -119,9 +101,9 @@ def duplicate_pairs(
 
     Blocks with the same tokens form a class.  Every block with a twin that does not overlap it is paired once: with
     the first block of its class or, where it overlaps that one, with the last (if it overlaps both, it overlaps the
-    whole class and has no twin).  Blocks of one bucket that spell the same characters with other tokens are compared
-    through the first block of each class.  All further pairs follow from these, and a class of n copies costs n rows
-    instead of n*n/2.  Only hashes are shuffled; texts are read again for buckets with several spellings, if any.
+    whole class and has no twin).  Classes of one bucket, which spell the same characters with other tokens, are all compared
+    with each other, through blocks that don't overlap.  All further pairs follow from these, and a class of n copies costs n
+    rows instead of n*n/2.  A class meets its blocks in `SALTS` parts, so that a block copied everywhere is no single join key.  Only hashes are shuffled; texts are read again for buckets with several spellings, if any.
     """
     scope = [] if across_repos else ["repo"]
     blocks = cut(_blocks(files, min_lines, stride))
@@ -140,7 +122,11 @@ def duplicate_pairs(
         return (a["repo"] == b["repo"]) & (a["file"] == b["file"]) & (F.abs(a["start"] - b["start"]) < min_lines)
 
     pairs = (
-        dense.join(classes.filter("n > 1").select(*scope, "exact", "first", "last"), [*scope, "exact"])
+        dense.withColumn("_salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
+        .join(
+            classes.filter("n > 1").select(*scope, "exact", "first", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")),
+            [*scope, "exact", "_salt"],
+        )
         .select(
             F.when(~overlaps(F.col("at"), F.col("first")), F.col("first"))
             .when(~overlaps(F.col("at"), F.col("last")), F.col("last")).alias("a"),
@@ -152,22 +138,25 @@ def duplicate_pairs(
     )
     mixed = cut(classes.filter("mixed"))
     if not mixed.isEmpty():
-        leads = mixed.groupBy(*scope, "bucket").agg(F.min("first").alias("lead"))
-        spelled = mixed.join(leads, [*scope, "bucket"]).select("lead", "first").filter("lead <> first")
-        ends = spelled.select(F.col("lead").alias("at")).unionByName(spelled.select(F.col("first").alias("at"))).distinct()
+        one = mixed.select(*scope, "bucket", F.col("exact").alias("exact_a"), F.col("first").alias("fa"), F.col("last").alias("la"))
+        two = mixed.select(*scope, "bucket", F.col("exact").alias("exact_b"), F.col("first").alias("fb"), F.col("last").alias("lb"))
+        # A bucket holds as many classes as there are ways to cut the same characters, whatever the number of copies.
+        spelled = one.join(two, [*scope, "bucket"]).filter("exact_a < exact_b").select("exact_a", "exact_b", "fa", "la", "fb", "lb")
+        apart = F.coalesce(*[F.when(~overlaps(F.col(x), F.col(y)), F.struct(F.col(x).alias("a"), F.col(y).alias("b"))) for x, y in (("fa", "fb"), ("fa", "lb"), ("la", "fb"), ("la", "lb"))])
+        spelled = cut(spelled.withColumn("pair", apart).filter("pair IS NOT NULL").select("exact_a", "exact_b", "fa", "fb", "pair"))
+        ends = spelled.select(F.col("fa").alias("at")).unionByName(spelled.select(F.col("fb").alias("at"))).distinct()
         sources = files.join(ends.select("at.repo", F.col("at.file").alias("path")).distinct(), ["repo", "path"], "left_semi")
         windows = token_windows(tokenize(sources), min_lines, stride).select(
             F.struct("repo", F.col("path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end")).alias("at"),
             "tokens", F.unhex(F.md5(F.array_join("tokens", "\x01"))).alias("exact"),
         )
-        texts = windows.join(mixed.select("exact").distinct(), "exact", "left_semi").drop("exact").dropDuplicates(["at"])
+        texts = windows.join(mixed.select("exact").distinct(), "exact", "left_semi").groupBy("exact").agg(F.first("tokens").alias("tokens"))
         other = (
-            spelled.join(texts.select(F.col("at").alias("first"), F.col("tokens").alias("tokens_b")), "first")
-            .join(texts.select(F.col("at").alias("lead"), F.col("tokens").alias("tokens_a")), "lead")
+            spelled.join(texts.select(F.col("exact").alias("exact_a"), F.col("tokens").alias("tokens_a")), "exact_a")
+            .join(texts.select(F.col("exact").alias("exact_b"), F.col("tokens").alias("tokens_b")), "exact_b")
             .withColumn("similarity", jaccard(F.col("tokens_a"), F.col("tokens_b")))
             .filter(F.col("similarity") >= threshold)
-            .filter(~overlaps(F.col("lead"), F.col("first")))
-            .select(F.col("lead").alias("a"), F.col("first").alias("b"), "similarity")
+            .select(F.least("pair.a", "pair.b").alias("a"), F.greatest("pair.a", "pair.b").alias("b"), "similarity")
         )
         pairs = pairs.unionByName(other)
     return pairs.select(

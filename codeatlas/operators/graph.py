@@ -14,6 +14,9 @@ FLOW_TYPES = ["reads", "writes", "publishes", "subscribes"]
 SHALLOW_TOKENS, DEEP_TOKENS = 200, 600
 SHALLOW_OUTPUT, DEEP_OUTPUT = 100, 300
 
+SALTS = 64
+
+
 
 def build_graph(node_parts: list[DataFrame], edge_parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Union analyser outputs.  Of nodes with one id the last part wins (then the last path); edges stay a bag."""
@@ -163,20 +166,24 @@ def budget_select(ranked: DataFrame, budget: int, depth: str = "shallow", order:
     """Items in rank order until the first that would overflow the budget: input columns + (cost, running).
 
     `ranked` has (repo, id, rank, length).  Every item costs at least its output allowance, so no more than
-    budget / allowance items per repo can be chosen; only that many, the first by rank, reach the running sum.
+    budget / allowance items per repo can be chosen.  That many are kept of each of `SALTS` parts of a repo, and only those meet in
+    one task for the running sum.
     """
     from pyspark.sql import Window
 
     output = SHALLOW_OUTPUT if depth == "shallow" else DEEP_OUTPUT
     order = order or [F.col("rank"), F.col("id")]
+    most = budget // output + 1
+    part = Window.partitionBy("repo", "_part").orderBy(*order)
     w = Window.partitionBy("repo").orderBy(*order)
+    some = ranked.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("_place", F.row_number().over(part)).filter(F.col("_place") <= most)
     return (
-        ranked.withColumn("_place", F.row_number().over(w))
-        .filter(F.col("_place") <= budget // output + 1)
+        some.withColumn("_place", F.row_number().over(w))
+        .filter(F.col("_place") <= most)
         .withColumn("cost", prompt_cost(F.col("length"), depth))
         .withColumn("running", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .filter(F.col("running") <= budget)
-        .drop("_place")
+        .drop("_place", "_part")
     )
 
 

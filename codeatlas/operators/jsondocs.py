@@ -1,21 +1,16 @@
-"""Operators over JSON document columns."""
+"""Operators over JSON document columns, on Spark's variant type: documents are taken apart level by level in the JVM."""
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from codeatlas.session import cut
 
-def _rows(*names: str) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-
-
-LEAVES = _rows("path", "value")
-CHANGES = _rows("path", "change", "old", "new")
+LEVELS = 4
+"""Levels of a document that are taken apart per written table; flatter documents need one."""
 
 
 def json_path(col: Column | str, path: str) -> Column:
@@ -31,89 +26,89 @@ def json_canonical(col: Column | str) -> Column:
     return F.to_json(F.try_parse_json(F.col(col) if isinstance(col, str) else col))
 
 
-def _text(value) -> str:
-    """A leaf or subtree as JSON; whole floats are written like integers."""
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        value = int(value)
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-
-def _children(value, path):
-    if isinstance(value, list):
-        return [(f"{path}[{i}]", i, v) for i, v in enumerate(value)]
-    return [(f"{path}.{k}" if path else k, k, v) for k, v in value.items()]
+def _text(value: Column) -> Column:
+    """A leaf or subtree as JSON; numbers lose zeros at the end of their fraction."""
+    said = F.to_json(value)
+    return F.regexp_replace(F.regexp_replace(said, r"^(-?\d+)\.0+$", "$1"), r"^(-?\d+\.\d*?[1-9])0+$", "$1")
 
 
-def _leaves(value, path=""):
-    if not isinstance(value, (dict, list)):
-        return [{"path": path or "$", "value": _text(value)}]
-    return [leaf for at, _, v in _children(value, path) for leaf in _leaves(v, at)]
+def _listed(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
-def _changes(a, b, path=""):
-    if isinstance(a, (dict, list)) and isinstance(b, (dict, list)):
-        listed = isinstance(a, list) and isinstance(b, list)
-        left = {str(k): (at, v) for at, k, v in _children(a, path)}
-        right = {str(k): (at, v) for at, k, v in _children(b, path)}
-        out = []
-        for key in {**left, **right}:
-            where = (left.get(key) or right.get(key))[0] if listed else (f"{path}.{key}" if path else key)
-            if key not in left:
-                out.append({"path": where, "change": "added", "old": None, "new": _text(right[key][1])})
-            elif key not in right:
-                out.append({"path": where, "change": "removed", "old": _text(left[key][1]), "new": None})
-            else:
-                out.extend(_changes(left[key][1], right[key][1], where))
-        return out
-    if type(a) is type(b) and a == b or (_text(a) == _text(b)):
-        return []
-    return [{"path": path or "$", "change": "changed", "old": _text(a), "new": _text(b)}]
+def _children(value: Column) -> Column:
+    """Children of an object by key or of an array by index, as a map; null for a scalar."""
+    keyed = F.try_variant_get(value, "$", "map<string,variant>")
+    index = F.transform(_listed(value), lambda _, i: i.cast("string"))
+    return F.coalesce(keyed, F.map_from_arrays(index, _listed(value)))
 
 
-def _load(text):
-    try:
-        return json.loads(text), True
-    except (TypeError, ValueError):
-        return None, False
+def _below(path: Column, key: Column, listed: Column) -> Column:
+    return F.when(listed, F.concat(path, F.lit("["), key, F.lit("]"))).when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
 
 
-@F.pandas_udf(LEAVES)
-def _flatten(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for docs in batches:
-        loaded = (_load(d) for d in docs)
-        yield pd.Series([_leaves(v) if ok else None for v, ok in loaded])
+def _rounds(rows: DataFrame, step) -> DataFrame:
+    """Steps that open every open row, until none is left; a written table after each few levels."""
+    done = []
+    while True:
+        for _ in range(LEVELS):
+            rows = step(rows)
+        rows = cut(rows)
+        done.append(rows.filter("NOT open"))
+        rows = rows.filter("open")
+        if not rows.count():
+            return reduce(DataFrame.unionByName, done)
 
 
-@F.pandas_udf(CHANGES)
-def _diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        rows = []
-        for a, b in zip(left, right):
-            (x, okx), (y, oky) = _load(a), _load(b)
-            rows.append(_changes(x, y) if okx and oky else None)
-        yield pd.Series(rows)
+def json_flatten(docs: DataFrame, col: str = "json", key: str = "key") -> DataFrame:
+    """(repo, key, path, value): one row per leaf; a scalar document is `$`, empty containers vanish, and a document that can't be
+    read is one row at `$` without value."""
+    parsed = docs.select("repo", F.col(key).alias("_key"), F.lit("").alias("path"), F.try_parse_json(col).alias("v"))
+    start = parsed.withColumn("open", F.coalesce(_children(F.col("v")).isNotNull(), F.lit(False)))
 
+    def step(rows):
+        listed = _listed(F.col("v")).isNotNull()
+        child = lambda k, v: F.struct(_below(F.col("path"), k, listed).alias("path"), v.alias("v"), _children(v).isNotNull().alias("open"))
+        inner = F.transform(F.map_entries(_children(F.col("v"))), lambda e: child(e["key"], e["value"]))
+        same = F.array(F.struct("path", "v", "open"))
+        return rows.select("repo", "_key", F.explode(F.when(F.col("open"), inner).otherwise(same)).alias("r")).select("repo", "_key", "r.*")
 
-def json_flatten(docs: DataFrame, col: str = "json", key: str = "key") -> DataFrame:
-    """(repo, key, path, value): one row per leaf; a scalar document is `$`, empty containers vanish."""
-    return docs.select("repo", key, F.explode(_flatten(F.col(col))).alias("leaf")).select("repo", key, "leaf.path", "leaf.value")
+    leaves = _rounds(start, step)
+    return leaves.select("repo", F.col("_key").alias(key), F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), _text(F.col("v")).alias("value"))
 
 
 def json_diff(left: DataFrame, right: DataFrame, col: str = "json", key: str = "key") -> DataFrame:
     """(repo, key, path, change, old, new) between two snapshots of keyed documents.
 
-    An added or removed subtree is one row at its top; a document on one side only is a row at `$`.  Documents with the
-    same text are dropped in the JVM, and only differing pairs are compared value by value.
+    An added or removed subtree is one row at its top; a document on one side only is a row at `$`; a pair of which one can't be
+    read (null text included) is a row `unreadable` at `$`.  Documents with the same text are dropped first.  The children of two
+    containers are matched by key inside their row, so pairs meet in one join only.
     """
-    a = left.select("repo", key, F.col(col).alias("_a"))
-    b = right.select("repo", key, F.col(col).alias("_b"))
-    both = a.join(b, ["repo", key], "full")
-    nothing = F.lit(None).cast("string")
-    one_sided = both.filter(F.col("_a").isNull() != F.col("_b").isNull()).select(
-        "repo", key, F.lit("$").alias("path"), F.when(F.col("_a").isNull(), "added").otherwise("removed").alias("change"),
+    side = lambda df, name: df.select("repo", F.col(key).alias("_key"), F.col(col).alias(name), F.lit(True).alias(f"_in{name}"))
+    both = side(left, "_a").join(side(right, "_b"), ["repo", "_key"], "full")
+    alone = both.filter("_in_a IS NULL OR _in_b IS NULL").select(
+        "repo", "_key", F.lit("$").alias("path"), F.when(F.col("_in_a").isNull(), "added").otherwise("removed").alias("change"),
         json_canonical("_a").alias("old"), json_canonical("_b").alias("new"),
     )
-    differing = both.filter(F.col("_a") != F.col("_b")).select("repo", key, F.explode(_diff("_a", "_b")).alias("c"))
-    return one_sided.unionByName(differing.select("repo", key, "c.path", "c.change", "c.old", "c.new"))
-
-
+    parsed = both.filter("_in_a AND _in_b AND NOT (_a <=> _b)").select("repo", "_key", F.try_parse_json("_a").alias("a"), F.try_parse_json("_b").alias("b"))
+    broken = F.col("a").isNull() | F.col("b").isNull()
+    unread = parsed.filter(broken).select("repo", "_key", F.lit("$").alias("path"), F.lit("unreadable").alias("change"), F.to_json("a").alias("old"), F.to_json("b").alias("new"))
+    opened = lambda a, b: F.coalesce(_children(a).isNotNull() & _children(b).isNotNull(), F.lit(False))
+    start = parsed.filter(~broken).select("repo", "_key", F.lit("").alias("path"), "a", "b", opened(F.col("a"), F.col("b")).alias("open"))
+
+    def step(rows):
+        listed = _listed(F.col("a")).isNotNull() & _listed(F.col("b")).isNotNull()
+        pairs = F.map_entries(F.map_zip_with(_children(F.col("a")), _children(F.col("b")), lambda _, x, y: F.struct(x.alias("a"), y.alias("b"))))
+        inner = F.transform(pairs, lambda e: F.struct(
+            _below(F.col("path"), e["key"], listed).alias("path"), e["value"]["a"].alias("a"), e["value"]["b"].alias("b"),
+            opened(e["value"]["a"], e["value"]["b"]).alias("open"),
+        ))
+        same = F.array(F.struct("path", "a", "b", "open"))
+        return rows.select("repo", "_key", F.explode(F.when(F.col("open"), inner).otherwise(same)).alias("r")).select("repo", "_key", "r.*")
+
+    ends = _rounds(start, step).select(
+        "repo", "_key", F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), _text(F.col("a")).alias("old"), _text(F.col("b")).alias("new")
+    ).filter("NOT (old <=> new)")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    told = ends.select("repo", "_key", "path", change.alias("change"), "old", "new")
+    return alone.unionByName(unread).unionByName(told).select("repo", F.col("_key").alias(key), "path", "change", "old", "new")

@@ -281,24 +281,25 @@ def repeated_requests(requests: DataFrame) -> DataFrame:
     return requests.groupBy("repo", "key").agg(F.count("*").alias("requests"))
 
 
+PIECES = 64
+
+
 def cache_lookup(requests: DataFrame, entries: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """(repo, id, key, hit, hit_ts, age): the latest entry of the key at or before the request, if young enough.
 
-    Time is cut into stretches of one lifetime: an entry can only serve its own stretch and the next.  So the search
-    runs per key and stretch, plus the last entry of the stretch before, and a key with a third of all requests is
-    spread over its stretches.
+    Time is cut into pieces of a lifetime.  The search runs per key and piece; the last entry before a piece comes from a table with
+    one row per key and piece, so a key with a third of all requests is spread over its pieces, however busy a lifetime is.
     """
     second = lambda ts: F.unix_micros(ts.cast("timestamp"))
     told = entries.select("repo", "key", F.col("created_at").alias("ts"), F.lit(True).alias("entry"), F.lit(None).cast("long").alias("id"))
     asked = requests.select("repo", "key", F.col("created_at").alias("ts"), F.lit(False).alias("entry"), "id")
-    both = told.unionByName(asked).withColumn("us", second(F.col("ts"))).withColumn(
-        "slot", F.floor(F.col("us") / (ttl_seconds * 1_000_000))
-    )
+    piece = F.greatest(F.lit(1), F.lit(ttl_seconds * 1_000_000) / PIECES)
+    both = told.unionByName(asked).withColumn("us", second(F.col("ts"))).withColumn("slot", F.floor(F.col("us") / piece))
     earlier = Window.partitionBy("repo", "key", "slot").orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     here = both.withColumn("near", F.max(F.when(F.col("entry"), F.col("ts"))).over(earlier)).filter(~F.col("entry"))
-    before = told.select("repo", "key", "ts").groupBy(
-        "repo", "key", (F.floor(second(F.col("ts")) / (ttl_seconds * 1_000_000)) + 1).alias("slot")
-    ).agg(F.max("ts").alias("far"))
+    slots = both.groupBy("repo", "key", "slot").agg(F.max(F.when(F.col("entry"), F.col("ts"))).alias("newest"))
+    ahead = Window.partitionBy("repo", "key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = slots.select("repo", "key", "slot", F.max("newest").over(ahead).alias("far"))
     found = here.join(before, ["repo", "key", "slot"], "left").withColumn("at", F.coalesce("near", "far"))
     age = (F.col("us") - second(F.col("at"))) / 1_000_000
     hit = F.coalesce(age <= ttl_seconds, F.lit(False))

@@ -77,6 +77,31 @@ def f4(spark, sf):
     return D.duplicate_pairs(word_files(spark, sf), across_repos=True)
 
 
+SPELLINGS = {"0c": (2, 3), "1a": None, "2b": (0, 1), "3d": (0, 2)}
+
+
+def spelled_files(spark, sf):
+    """Four files a supplier, one token a line, of the same characters: a boundary between two tokens stands elsewhere."""
+    k = F.col("s_suppkey").cast("string")
+    parts = []
+    for name, shift in SPELLINGS.items():
+        tokens = [F.concat(F.lit(f"w{i}k"), k, F.lit("e")) for i in range(1, 19)]
+        if shift:
+            at, n = shift[0], shift[1] - shift[0]
+            tokens[at], tokens[at + 1] = F.concat(tokens[at], F.left(tokens[at + 1], F.lit(n))), F.substring(tokens[at + 1], n + 1, 40)
+        parts.append(table(spark, sf, "supplier").select(
+            F.lit("s").alias("repo"), F.concat(k, F.lit(f"_{name}.txt")).alias("path"), F.concat_ws("\n", *tokens).alias("content")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("f4_spelled_pairs", """
+SELECT s_suppkey || '_' || x || '.txt' AS file_a, s_suppkey || '_' || y || '.txt' AS file_b, 1 AS start_a, 18 AS end_b, 18 AS lines, 16 / 20.0::DOUBLE AS similarity
+FROM supplier, (VALUES ('0c', '1a'), ('1a', '2b'), ('1a', '3d'), ('2b', '3d')) v(x, y)""")
+def f4_spelled(spark, sf):
+    """Blocks of the same characters cut into other tokens: every two that agree in four of five tokens."""
+    return D.duplicate_pairs(spelled_files(spark, sf)).select("file_a", "file_b", "start_a", "end_b", "lines", "similarity")
+
+
 @query("f5_duplicate_report", PAIRS_SQL + """,
 k AS (SELECT *, list_sort([concat_ws(':', repo_a, file_a, start_a // 6), concat_ws(':', repo_b, file_b, start_b // 6)]) AS key FROM pairs),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY similarity DESC, lines DESC, repo_a, file_a, start_a, repo_b, file_b, start_b) AS r FROM k)
