@@ -189,6 +189,20 @@ def a12(spark, sf):
     return logs.read_sessions(m.select(doc.alias("json")))
 
 
+@query("a12_whole_sessions", MESSAGES + """
+SELECT session_id::VARCHAR AS session_id, 'all' AS name, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn, role, text) - 1 AS INTEGER) AS turn, role, text,
+  max(ts) OVER (PARTITION BY session_id) AS ts FROM messages""")
+def a12_whole(spark, sf):
+    """Each conversation as one session document, read back message by message."""
+    m = A.messages(spark, sf)
+    per = m.groupBy("session_id").agg(F.max("ts").alias("ts"), F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("said"))
+    doc = F.to_json(F.struct(
+        F.col("session_id").cast("string").alias("id"), F.lit("all").alias("name"), F.col("ts").cast("string").alias("updatedAt"),
+        F.transform("said", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"),
+    ))
+    return logs.read_sessions(per.select(doc.alias("json")))
+
+
 @query("l1_session_list", MESSAGES + """
 SELECT repo, session_id, count(*) AS messages, min(ts) AS created, max(ts) AS updated FROM messages GROUP BY 1, 2""")
 def l1(spark, sf):

@@ -279,7 +279,7 @@ def _row(file, kind, name, what=NONE, line="NULL", sig=NONE, ret=NONE, caller=NO
     )
 
 
-@query("c7_extract_trace_ts", _records(" UNION ALL ".join([
+C7_ROWS = [
     _row(TS, "symbol", "'fn_' || p", "'function'", 4, "'(a: number)'", "'string'", end=8),
     _row(TS, "symbol", "'K' || p", "'class'", 9, end=11),
     _row(TS, "symbol", "'run' || p", "'method'", 10, "'(q: string)'", end=10),
@@ -292,12 +292,15 @@ def _row(file, kind, name, what=NONE, line="NULL", sig=NONE, ret=NONE, caller=NO
     _row(JS, "symbol", "'outer' || p", "'function'", 1, "'(a)'", end=10), _row(JS, "symbol", "'inner' || p", "'function'", 2, "'(b)'", end=4),
     _row(JS, "call", "'first_' || c1", "'direct'", 3, caller="'inner' || p"), _row(JS, "call", "'second_' || c2", "'direct'", 9, caller="'outer' || p"),
     _row(JS, "call", "'last_' || p", "'direct'", 11, caller="'<module>'"),
-])))
+]
+
+
+@query("c7_extract_trace_ts", _records(" UNION ALL ".join(C7_ROWS)))
 def c7(spark, sf):
     return _shown(X.extract_trace_ts(ts_files(spark, sf).unionByName(js_files(spark, sf))))
 
 
-@query("c8_extract_trace_py", _records(" UNION ALL ".join([
+C8_ROWS = [
     _row(PY, "symbol", "'fn_' || p", "'function'", 3, "'(a, b=1)'", end=5), _row(PY, "symbol", "'K' || p", "'class'", 7, end=10),
     _row(PY, "symbol", "'run_' || p", "'function'", 9, "'(self)'", end=10),
     _row(PY, "call", "'route'", "'direct'", 3, caller="'fn_' || p"), _row(PY, "call", "'f'", "'direct'", 5, caller="'fn_' || p"),
@@ -309,12 +312,15 @@ def c7(spark, sf):
     _row(PY_OUTER, "symbol", "'outer_' || p", "'function'", 1, "'(a)'", end=9), _row(PY_OUTER, "symbol", "'inner_' || p", "'function'", 5, "'(b)'", end=7),
     _row(PY_OUTER, "call", "'first_' || c1", "'direct'", 6, caller="'inner_' || p"), _row(PY_OUTER, "call", "'second_' || c2", "'direct'", 9, caller="'outer_' || p"),
     _row(PY_OUTER, "call", "'last_' || p", "'direct'", 10, caller="'<module>'"),
-])))
+]
+
+
+@query("c8_extract_trace_py", _records(" UNION ALL ".join(C8_ROWS)))
 def c8(spark, sf):
     return _shown(X.extract_trace_py(py_files(spark, sf).unionByName(nested_py_files(spark, sf))))
 
 
-@query("c9_extract_trace_java", _records(" UNION ALL ".join([
+C9_ROWS = [
     _row(JAVA, "symbol", "'Fn' || p", "'class'", 3, end=11), _row(JAVA, "symbol", "'Fn' || p", "'method'", 4, "'(int x)'", end=4),
     _row(JAVA, "symbol", "'run' || p", "'method'", 5, "'(int a, String b)'", "'List<String>'", end=10),
     _row(JAVA, "call", "'init' || p", "'direct'", 4, caller="'Fn' || p"),
@@ -325,15 +331,21 @@ def c8(spark, sf):
     _row(JAVA_OUTER, "symbol", "'Outer' || p", "'class'", 1, end=9), _row(JAVA_OUTER, "symbol", "'run' || p", "'method'", 2, "'()'", "'void'", end=8),
     _row(JAVA_OUTER, "symbol", "'go' || p", "'method'", 4, "'()'", "'void'", end=4), _row(JAVA_OUTER, "call", "'add'", "'direct'", 3, caller="'run' || p"),
     _row(JAVA_OUTER, "call", "'first_' || c1", "'direct'", 4, caller="'go' || p"), _row(JAVA_OUTER, "call", "'second_' || c2", "'direct'", 7, caller="'run' || p"),
-])))
+]
+
+
+@query("c9_extract_trace_java", _records(" UNION ALL ".join(C9_ROWS)))
 def c9(spark, sf):
     return _shown(X.extract_trace_java(java_files(spark, sf).unionByName(nested_java_files(spark, sf))))
 
 
-@query("c10_extract_trace_sql", _records(" UNION ALL ".join([
+C10_ROWS = [
     _row(SQL, "symbol", "'proc_' || p", "'procedure'", 1, end=5), _row(SQL, "symbol", "'v_' || p", "'view'", 6, end=9),
     _row(SQL, "call", "'proc_' || c1", "'cross-language'", 4, caller="'proc_' || p"),
-])))
+]
+
+
+@query("c10_extract_trace_sql", _records(" UNION ALL ".join(C10_ROWS)))
 def c10(spark, sf):
     return _shown(X.extract_trace_sql(sql_files(spark, sf)).filter("record_type <> 'column'"))
 
@@ -368,6 +380,16 @@ def trace_index(spark, sf):
     return out
 
 
+@query("c7_c10_index_calls", _records(" UNION ALL ".join([*C7_ROWS, *C8_ROWS, *C9_ROWS, *C10_ROWS])).replace("SELECT * FROM r", """
+SELECT repo, file, language, caller, name AS callee, line, kind FROM r WHERE record_type = 'call' AND caller <> '<module>'"""))
+def index_calls(spark, sf):
+    """The calls of the index of all languages, with the names behind their ids."""
+    files = all_files(spark, sf).unionByName(js_files(spark, sf)).unionByName(nested_py_files(spark, sf)).unionByName(nested_java_files(spark, sf))
+    tables = X.split_records(cut(X.extract_trace(files)))
+    owner = tables["symbols"].select("repo", F.col("id").alias("caller_id"), F.col("name").alias("caller"), "language")
+    return tables["calls"].join(owner, ["repo", "caller_id"]).select("repo", "file", "language", "caller", F.col("callee_name").alias("callee"), "line", "kind")
+
+
 @query("c11_resolve_imports", WITH + f"""
 SELECT repo, {TS} AS file, '../' || d1 || '/fn_' || c1 || '.js' AS raw, 'src/' || d1 || '/fn_' || c1 || '.ts' AS resolved FROM p""")
 def c11(spark, sf):
@@ -550,6 +572,25 @@ def e28(spark, sf):
     return G.class_inventory(symbols, classes=20)
 
 
+@query("e28_all_kinds", WITH + """,
+k AS (SELECT repo, d::VARCHAR AS module, unnest(['K', 'I', 'E']) AS t, p FROM p)
+SELECT repo, module, CASE t WHEN 'K' THEN 'class' WHEN 'I' THEN 'interface' ELSE 'enum' END AS kind, t || p AS name,
+  CAST(row_number() OVER (PARTITION BY d_.module, d_.t ORDER BY t || p) AS INTEGER) AS place FROM k d_""")
+def e28_kinds(spark, sf):
+    p, d = F.col("p"), F.col("d")
+    files = _file(parts(spark, sf), text("src/", d, "/t_", p, ".ts"), "typescript", text("export class K", p, " {}"), text("export interface I", p, " {}"), text("export enum E", p, " { A }"))
+    return G.class_inventory(E.exported_symbols(files).withColumn("module", G.module_of(F.col("file"))))
+
+
+@query("e22_resolved_imports", WITH + f"""
+SELECT DISTINCT repo, {TS} AS src, 'src/' || d1 || '/fn_' || c1 || '.ts' AS dst FROM p""")
+def e22_resolved(spark, sf):
+    """The import graph from import statements over path resolution."""
+    files = ts_files(spark, sf)
+    resolved = P.resolve_imports(P.extract_imports(files), files)
+    return G.import_graph(resolved.select("repo", F.col("file").alias("src"), F.col("resolved").alias("dst")), files)
+
+
 @query("e16_parse_enrichment", """
 WITH e AS (SELECT event_id, event_type AS t, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 SELECT 'app' AS repo, 'n' || event_id AS node_id, CASE WHEN k % 4 <> 3 THEN 'does ' || t END AS purpose,

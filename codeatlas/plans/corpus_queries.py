@@ -8,6 +8,7 @@ from codeatlas.functions import languages as L
 from codeatlas.operators import corpus_stats as B
 from codeatlas.plans import adapters as A
 from codeatlas.plans.registry import query, table
+from codeatlas.session import scratch_path
 from codeatlas.sources import corpus as S
 
 WITH = "WITH " + A.FILES_SQL
@@ -28,6 +29,17 @@ def a1(spark, sf):
     return A.files(spark, sf).select("repo", "path", "language", "size", F.md5("content").alias("digest"))
 
 
+@query("a1_read_corpus", "SELECT source AS repo, doc_id, octet_length(encode(text)) + 1 AS size, sha256(text || chr(10)) AS digest FROM documents")
+def a1_read(spark, sf):
+    """The documents written as a tree of files, one each below its source, and read as a corpus."""
+    root = scratch_path(spark, "corpus")
+    docs = table(spark, sf, "documents").select("text", F.col("source").alias("repo"), F.col("doc_id").alias("doc"))
+    docs.write.partitionBy("repo", "doc").text(root)
+    found = S.read_corpus(spark, root, known_only=False)
+    number = F.regexp_extract("path", r"^doc=(\d+)/[^/]*\.txt$", 1).cast("long")
+    return found.select(F.substring_index("repo", "=", -1).alias("repo"), number.alias("doc_id"), "size", F.sha2("content", 256).alias("digest"))
+
+
 @query("a2_prune_paths", WITH + """
 SELECT repo, path FROM files WHERE NOT contains(path, 'src7/') AND NOT regexp_matches(path, '^src1[^/]*/fr/.*$')
   AND NOT starts_with(path, 'src2/de') AND size <= 5000""")

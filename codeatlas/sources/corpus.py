@@ -60,9 +60,9 @@ def store_corpus(files: DataFrame, root: str, rows_per_file: int = 100_000) -> N
 
 
 def glob_pattern(glob: str) -> str:
-    """`*` stays within a directory, `**` does not; everything else is literal."""
-    pieces = re.split(r"(\*\*|\*)", glob)
-    return "".join({"**": ".*", "*": "[^/]*"}.get(p) or re.escape(p) for p in pieces if p)
+    """`*` stays within a directory, `**` does not, `**/` is any number of directories; everything else is literal."""
+    pieces = re.split(r"(\*\*/|\*\*|\*)", glob)
+    return "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*"}.get(p) or re.escape(p) for p in pieces if p)
 
 
 def excluded(path: Column, globs: list[str]) -> Column:

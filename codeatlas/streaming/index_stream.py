@@ -18,8 +18,11 @@ from codeatlas.functions.languages import language_of
 
 
 def stream_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Streaming `files` table (repo, path, language, mtime, content) of a tree <root>/<repo>/<path> that grows."""
-    raw = spark.readStream.text(root, wholetext=True, recursiveFileLookup=True)
+    """Streaming `files` table (repo, path, language, mtime, content) of a tree <root>/<repo>/<path> that grows.
+
+    The source would leave out files much older than the newest it has seen; here a checkout may bring files of any age.
+    """
+    raw = spark.readStream.option("maxFileAge", "365000d").text(root, wholetext=True, recursiveFileLookup=True)
     rel = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"{re.escape(root.rstrip('/'))}/(.*)$", 1)
     return (
         raw.select(rel.alias("rel"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("content"))

@@ -177,3 +177,26 @@ def test_stored_corpus_prunes_by_language(spark, files, tmp_path):
     assert rows(back.filter("language = 'python'"), "path", "content") == [("b.py", "y")]
     plan = back.filter("language = 'python'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(language" in plan
+
+
+def test_secrets_that_agree_in_their_first_eighty_characters(files):
+    from codeatlas.operators import verify as V
+
+    start = 'api_key = "' + "sk_live_" + "a1B2" * 20
+    found = V.scan_secrets(files({"a.ts": start + 'x1Y2"', "b.ts": start + 'z3W4"', "c.ts": start + 'x1Y2"'}))
+    assert found.select("path", "rule").distinct().filter("path = 'b.ts'").count() >= 1
+    assert found.filter("path = 'c.ts'").count() == 0
+
+
+def test_all_spellings_of_a_block_are_compared(files):
+    words = [f"w{i}k" for i in range(18)]
+    moved = lambda at, n: [*words[:at], words[at] + words[at + 1][:n], words[at + 1][n:], *words[at + 2:]]
+    texts = {"a": moved(4, 1), "b": words, "c": moved(0, 1), "d": moved(0, 2)}
+    found = D.duplicate_pairs(files({f"{k}.ts": "\n".join(v) for k, v in texts.items()}))
+    assert rows(found, "file_a", "file_b") == [("a.ts", "b.ts"), ("b.ts", "c.ts"), ("b.ts", "d.ts"), ("c.ts", "d.ts")]
+
+
+def test_a_block_in_a_third_of_all_files(files):
+    block = "\n".join(f"x{i}" for i in range(18))
+    found = D.duplicate_pairs(files({**{f"hot{n:03d}.ts": block for n in range(60)}, **{f"own{n}.ts": block.replace("x", f"y{n}_") for n in range(100)}}))
+    assert {r.file_b for r in found.collect()} == {f"hot{n:03d}.ts" for n in range(1, 60)} and {r.file_a for r in found.collect()} == {"hot000.ts"}

@@ -229,3 +229,76 @@ def test_analyze_openapi(graph):
     assert set(nodes) == {"file:api.yaml", "endpoint:GET /users", "endpoint:DELETE /z/{id}", "schema:User", "schema:Addr"}
     assert {e for e in edges if e[1] == "depends-on"} == {("schema:User", "depends-on", "schema:Addr")}
     assert graph(N.analyze_openapi, "x.yaml", "kind: other\npaths:\n  /a:\n    get:")[0] == {}
+
+
+def test_calls_belong_to_the_function_that_holds_them(files):
+    ts = """function outer() {
+  const inner = (a) => {
+    first();
+  };
+  /* dead(1); {
+  dead(2) */ second("} lost(1)");
+  const t = `x ghost(1) {
+    ghost(2)`;
+  class K {
+    run() { third(); }
+    field = fourth();
+  }
+  const one = (x) => fifth(x);
+  sixth();
+}
+// function gone() {
+top();
+"""
+    got = X.extract_trace(files({"a.ts": ts, "b.js": ts.replace("outer", "outer2")}))
+    assert told(got.filter("language = 'typescript'"), "call", "caller", "name", "line") == [
+        ("<module>", "top", 17), ("inner", "first", 3), ("one", "fifth", 13), ("outer", "fourth", 11), ("outer", "second", 6), ("outer", "sixth", 14), ("run", "third", 10)]
+    assert told(got.filter("language = 'javascript'"), "symbol", "name", "line", "end_line") == [
+        ("K", 9, 12), ("inner", 2, 4), ("one", 13, 13), ("outer2", 1, 15), ("run", 10, 10)]
+
+
+def test_python_scopes_close_by_indentation(files):
+    py = '''def outer(a):
+    """Doc dead(1)
+dead(2) """
+    def inner():
+        return first(
+  a)
+    # dead(3)
+
+    class C:
+        x = second()
+    return third()
+fourth()
+'''
+    got = X.extract_trace_py(files({"a.py": py}))
+    assert told(got, "call", "caller", "name", "line") == [("<module>", "fourth", 12), ("inner", "first", 5), ("outer", "second", 10), ("outer", "third", 11)]
+    assert told(got, "symbol", "name", "line", "end_line") == [("C", 9, 10), ("inner", 4, 6), ("outer", 1, 11)]
+
+
+def test_java_scopes_and_abstract_methods(files):
+    java = """interface I {
+  void plain();
+  int other(int a);
+}
+class A {
+  int run() {
+    list.each(new F() {
+      void go() { first(); }
+    });
+    String s = \"\"\"
+      ghost(1); {
+      \"\"\";
+    return second();
+  }
+  int field = third();
+}
+"""
+    got = X.extract_trace_java(files({"A.java": java}))
+    assert told(got, "call", "caller", "name", "line") == [("<module>", "third", 15), ("go", "first", 8), ("run", "each", 7), ("run", "second", 13)]
+    assert told(got, "symbol", "name", "line", "end_line") == [("A", 5, 16), ("I", 1, 4), ("go", 8, 8), ("other", 3, 3), ("plain", 2, 2), ("run", 6, 14)]
+
+
+def test_openapi_key_may_stand_anywhere(files):
+    text = "".join(f"# line {i}\n" for i in range(30)) + "openapi: 3.0.0\npaths:\n  /a:\n    get:\n      x: 1\n"
+    assert N.analyze_openapi(files({"a.yaml": text})).count() > 0

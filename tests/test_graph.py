@@ -146,3 +146,26 @@ def test_token_estimate_and_stats(nodes, edges):
 def test_module_edges_skip_same_module(spark, edges):
     m = spark.createDataFrame([("r", "a", "x"), ("r", "b", "x"), ("r", "c", "y")], "repo string, id string, module string")
     assert rows(G.module_edges(edges([("a", "b"), ("a", "c"), ("b", "c"), ("c", "q")]), m)) == [("r", "x", "y", 2), ("r", "y", "root", 1)]
+
+
+def test_a_long_path_and_a_long_chain(spark):
+    from codeatlas.operators import reach as R
+
+    chain = spark.createDataFrame([("r", f"n{i:03d}", f"n{i + 1:03d}", "x") for i in range(50)], "repo string, src string, dst string, type string")
+    nodes = spark.createDataFrame([("r", f"n{i:03d}") for i in range(51)], "repo string, id string")
+    targets = spark.createDataFrame([("r", "n050"), ("r", "n017"), ("r", "none")], "repo string, id string")
+    found = {r.dst: (r.path, r.length) for r in R.shortest_paths(nodes, chain, "n000", targets).collect()}
+    assert found == {"n050": ([f"n{i:03d}" for i in range(51)], 50), "n017": ([f"n{i:03d}" for i in range(18)], 17)}
+    deps = spark.createDataFrame([("r", f"m{i}", f"m{i - 1}") for i in range(1, 100)] + [("r", "c1", "c2"), ("r", "c2", "c1")], "repo string, id string, prereq string")
+    ids = spark.createDataFrame([("r", f"m{i}") for i in range(100)] + [("r", "c1"), ("r", "c2")], "repo string, id string")
+    levels = {r.id: (r.level, r.cyclic) for r in R.topo_levels(ids, deps, rounds=8).collect()}
+    assert levels == {**{f"m{i}": (i, False) for i in range(100)}, "c1": (None, True), "c2": (None, True)}
+
+
+def test_budget_of_a_repo_with_equal_ranks(spark):
+    from codeatlas.operators import graph as G
+
+    ranked = spark.createDataFrame([("r", f"i{n:04d}", 1, 40) for n in range(3000)] + [("s", "a", 1, 40)], "repo string, id string, rank int, length int")
+    chosen = G.budget_select(ranked, 5000)
+    cost = chosen.first()["cost"]
+    assert [r.id for r in chosen.filter("repo = 'r'").orderBy("running").collect()] == [f"i{n:04d}" for n in range(5000 // cost)]

@@ -80,7 +80,7 @@ def test_commands(spark, command, tier):
 def test_json(spark):
     doc = '{"b": {"x": [1, {"y": null}], "e": {}}, "a": 2.0}'
     df = spark.createDataFrame([("r", 1, doc), ("r", 2, "5"), ("r", 3, "oops")], "repo string, key int, json string")
-    assert rows(J.json_flatten(df), "key", "path", "value") == [(1, "a", "2"), (1, "b.x[0]", "1"), (1, "b.x[1].y", "null"), (2, "$", "5")]
+    assert rows(J.json_flatten(df), "key", "path", "value") == [(1, "a", "2"), (1, "b.x[0]", "1"), (1, "b.x[1].y", "null"), (2, "$", "5"), (3, "$", None)]
     path = df.filter("key = 1").select(J.json_path("json", "b.x[0]"), J.json_path("json", "b.x[9].y"), J.json_canonical("json")).first()
     assert (path[0], path[1]) == ("1", None) and path[2].startswith('{"a":2')
     new = spark.createDataFrame([("r", 1, '{"b": {"x": [1], "n": {"m": 1}}, "a": "2"}'), ("r", 4, "1")], "repo string, key int, json string")
@@ -242,3 +242,58 @@ def test_convert_round_trip(spark, tmp_path):
 
 def test_shared_dir_follows_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_json_documents_that_are_broken_deep_or_missing(spark):
+    from codeatlas.operators import jsondocs as J
+
+    deep, deepest = '{"a":' * 40 + "[1,2.50]" + "}" * 40, "[" * 5000 + "]" * 5000
+    frame = lambda rows_: spark.createDataFrame([("r", k, t) for k, t in rows_], "repo string, key int, json string")
+    docs = frame([(1, deep), (2, "{broken"), (3, None), (4, deepest), (5, '{"x": {}, "y": [], "z": 1.0}'), (6, "[]")])
+    path = ".".join(["a"] * 40)
+    assert rows(J.json_flatten(docs), "key", "path", "value") == [
+        (1, f"{path}[0]", "1"), (1, f"{path}[1]", "2.5"), (2, "$", None), (3, "$", None), (4, "$", None), (5, "z", "1")]
+    old = frame([(1, deep), (2, "{broken"), (3, '{"a":1}'), (4, '{"a":[1,{"b":2}],"c":3}'), (5, None), (7, '{"k":[1,2]}')])
+    new = frame([(1, deep.replace("2.50", "3")), (2, '{"a":1}'), (4, '{"a":[1,{"b":{"d":4}},5],"c":3.0}'), (5, None), (6, "[1]"), (7, '{"k":{"0":1,"1":9}}')])
+    assert rows(J.json_diff(old, new), "key", "path", "change", "old", "new") == [
+        (1, f"{path}[1]", "changed", "2.5", "3"), (2, "$", "unreadable", None, '{"a":1}'), (3, "$", "removed", '{"a":1}', None), (4, "a[1].b", "changed", "2", '{"d":4}'),
+        (4, "a[2]", "added", None, "5"), (6, "$", "added", None, "[1]"), (7, "k.1", "changed", "2", "9")]
+
+
+def test_files_that_come_in_any_order_of_age_are_all_indexed(spark, tmp_path):
+    import os
+
+    from codeatlas.streaming import index_stream as T
+
+    root, sink = tmp_path / "tree", str(tmp_path / "index")
+    extract = lambda batch: {"sizes": batch.select("repo", batch["path"].alias("file"), "mtime")}
+    for name, age in (("a", 1_717_200_000), ("b", 1_577_836_800), ("c", 1_609_459_200)):
+        (root / "repo").mkdir(parents=True, exist_ok=True)
+        at = root / "repo" / f"{name}.ts"
+        at.write_text(f"const {name} = 1;\n")
+        os.utime(at, (age, age))
+        T.stream_index(T.stream_corpus(spark, str(root)), sink, extract).awaitTermination()
+    now = T.current_index(spark, sink, ["sizes"])
+    assert rows(now["sizes"], "file") == [("a.ts",), ("b.ts",), ("c.ts",)] and now["files"].count() == 3
+
+
+def test_a_key_with_a_third_of_all_requests(spark):
+    from datetime import datetime, timedelta
+
+    from codeatlas.operators import sessions as L
+
+    start = datetime(2024, 1, 1)
+    at = lambda s: start + timedelta(seconds=s)
+    entries = spark.createDataFrame([("r", "hot", at(7 * n)) for n in range(300)] + [("r", f"k{n}", at(n)) for n in range(300)], "repo string, key string, created_at timestamp")
+    asked = [(n, "hot" if n % 3 == 0 else f"k{n}", 3 * n + 1) for n in range(900)]
+    requests = spark.createDataFrame([("r", k, at(s), i) for i, k, s in asked], "repo string, key string, created_at timestamp, id long")
+    found = {r.id: (r.hit, r.age) for r in L.cache_lookup(requests, entries, 60).collect()}
+    stored = {}
+    for n in range(300):
+        stored.setdefault("hot", []).append(7 * n)
+        stored.setdefault(f"k{n}", []).append(n)
+    for i, key, second in asked:
+        before = [e for e in stored.get(key, []) if e <= second]
+        age = second - max(before) if before else None
+        hit = age is not None and age <= 60
+        assert found[i] == (hit, float(age) if hit else None)

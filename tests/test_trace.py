@@ -119,3 +119,14 @@ def test_summary(spark, chain):
     assert {(r["section"], r["item"], r["more"]) for r in got.collect()} == {
         ("callers", "processData at processData.ts:5", 0), ("imports", "z.ts from ./s", 0), ("chain", "processData at processData.ts:3 (2 upstream)", 0),
     }
+
+
+def test_a_bounded_chain_tells_which_roots_were_cut(spark):
+    from codeatlas.operators import reach as R
+
+    symbols = spark.createDataFrame([("r", i, f"f{i}", "f.ts", i, "typescript") for i in range(6)], "repo string, id long, name string, file string, line int, language string")
+    calls = spark.createDataFrame([("r", f"f{i}", i + 1) for i in range(4)] + [("r", "f5", 0)], "repo string, callee_name string, caller_id long")
+    names = spark.createDataFrame([("r", "f0"), ("r", "f3")], "repo string, name string")
+    told = {(r.root, r.name): r.cut for r in R.upstream_chain(symbols, calls, names, depth=2).collect()}
+    assert told == {("f0", "f1"): True, ("f0", "f2"): True, ("f3", "f4"): False}
+    assert "cut" not in R.upstream_chain(symbols, calls, names).columns and R.upstream_chain(symbols, calls, names).count() == 5
