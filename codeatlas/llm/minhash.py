@@ -11,7 +11,7 @@ from codeatlas.session import cut
 BANDS = 45
 ROWS = 6
 """45 bands of 6 bins: two sets of similarity 0.8 share no band with probability (1 - 0.8**6)**45 = 1e-6; of 0.3, with 0.97."""
-BLOCK = 256
+BLOCK = 128
 SALTS = 16
 
 

@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeatlas.llm.crf import Adam
+from codeatlas.llm.minhash_kernels import shingle_sets, similarity_sketches
 from codeatlas.llm.textscan import buffers, slices
 from codeatlas.llm.wordgrams import Words, document_counts, find, pick
 
@@ -173,10 +174,26 @@ def lexicon_of(w: Words, label: np.ndarray, chosen: np.ndarray, least: int = 4)
     return w.hashes[known], (np.clip(odds, -3, 5) * n / (n + 8.0) / 2)[known]
 
 
+def first_of_copies(texts: list[str], bands: int = 16, rows: int = 4) -> np.ndarray:
+    """Places of the texts that share no band of their similarity sketch with an earlier one: near copies would make words of one text
+    look like words of many."""
+    owner, hashes = shingle_sets(pa.array(texts, pa.string()), 2)
+    sketch = similarity_sketches(owner, hashes, len(texts), bands * rows).reshape(len(texts), bands, rows)
+    seen, kept = set(), []
+    for i in range(len(texts)):
+        keys = {(b, sketch[i, b].tobytes()) for b in range(bands)}
+        if not keys & seen:
+            kept.append(i)
+        seen |= keys
+    return np.array(kept, np.int64)
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 11) -> Network:
     """A network from labelled texts.  The lexicon that a text is trained with is weighed on the other half of the texts, so that
     the network learns how far a lexicon can be trusted; in use, the lexicon of all texts stands in.  A text is as toxic as its worst
-    window: each epoch learns the worst window of every text and, of clean texts, another one."""
+    window: each epoch learns the worst window of every text and, of clean texts, another one.  Near copies are taken once."""
+    single = first_of_copies(texts)
+    texts, toxic = [texts[i] for i in single], [toxic[i] for i in single]
     label = np.array(toxic, np.int64)
     rng = np.random.RandomState(seed)
     w = Words(*buffers(pa.array(texts, pa.string())))
@@ -187,11 +204,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Network:
     if len(set(toxic)) < 2 or not len(w.hashes):
         net.w["out"][:], net.w["out_b"][:] = 0, -5.0  # nothing to learn from: nothing is toxic
         return net
-    others = []  # worth of each distinct word in the eyes of the half that a text is not in
-    for i in (0, 1):
-        known, worth = lexicon_of(w, label, half != i)
-        others.append(np.append(worth, 0)[find(known, w.hashes)].astype(np.float32))
-    others = np.stack(others)
+    # The lexicon of the half that a text is not in, and the worth it gives each distinct word.
+    apart = [lexicon_of(w, label, half != i) for i in (0, 1)]
+    others = np.stack([np.append(worth, 0)[find(known, w.hashes)].astype(np.float32) for known, worth in apart])
     lists, begin = w.lists(BUCKETS)
     runs = np.maximum(4 * np.diff(w.places) - 6, 1)
     names = Network.NAMES
@@ -220,9 +235,32 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Network:
             slopes["spelling"][-1] = 0
             rule.step([slopes[k] + 1e-4 * net.w[k] for k in names])
             net.w["spelling"][-1] = 0
+    whole = net.lexicon, net.worth
+    worst = np.full(len(label), -np.inf)
+    for i in (0, 1):
+        net.lexicon, net.worth = apart[i][0], np.append(apart[i][1], 0).astype(np.float32)
+        text, _, _, score = net.score(w)
+        mine = half[text] == i
+        np.maximum.at(worst, text[mine], score[mine])
+    net.lexicon, net.worth = whole
+    net.w["out_b"] -= np.float32(best_cut(worst[np.isfinite(worst)], label[np.isfinite(worst)]) - np.log(THRESHOLD / (1 - THRESHOLD)))
     return net
 
 
+def best_cut(scores: np.ndarray, label: np.ndarray, cost: float = 3.0) -> float:
+    """Score from which on a text is called toxic: the middle of the widest gap among those cuts that lose least, a clean text called
+    toxic counting `cost` times a toxic one missed (each as a share of its class)."""
+    order = np.argsort(scores, kind="stable")
+    s, y = scores[order], label[order]
+    missed = np.concatenate(([0], np.cumsum(y == 1))) / max(1, (y == 1).sum())
+    accused = np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0])) / max(1, (y == 0).sum())
+    loss = missed + cost * accused
+    edge = np.concatenate(([s[0] - 1], s, [s[-1] + 1]))
+    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    at = best[np.argmax(edge[best + 1] - edge[best])]
+    return float((edge[at] + edge[at + 1]) / 2)
+
+
 def _score_rows(net: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in slices(batches, "_text"):
