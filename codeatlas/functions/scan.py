@@ -29,9 +29,15 @@ def first_seen(values: Column, key: str | None = None) -> Column:
     """Array without repeats, first occurrence kept; structs are told apart by one of their fields."""
     if key is None:
         return F.array_distinct(values)
-    return F.filter(
-        values, lambda x, i: F.array_position(F.transform(values, lambda y: y[key]), x[key]) == (i + 1).cast("long")
-    )
+
+    def firsts(all_values):
+        keyed = F.array_sort(F.transform(all_values, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"))))
+        heads = lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"]))
+        places = F.transform(F.transform(F.array(keyed), heads)[0], lambda x: x["i"])
+        return F.transform(F.array_sort(places), lambda p: F.get(all_values, p))
+
+    # Held by a lambda's name, the array is built once however often it is looked into.
+    return F.transform(F.array(values), firsts)[0]
 
 
 def numbered(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ homonyms stay apart; `merged=True` names them by kind and name only.  Edges whos
 
 from __future__ import annotations
 
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,8 +88,28 @@ def _all(pattern: str, group: int = 1, text: Column | str = "content") -> Column
     return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(pattern), F.lit(group))
 
 
-def _emit(files: DataFrame, *records: Column) -> DataFrame:
-    return files.select("repo", F.explode(F.concat(*records)).alias("r")).select("repo", "r.*")
+class Plan(NamedTuple):
+    """What an analyser makes of a file: columns worked out once, then the records; `only` picks the files it is meant for."""
+
+    records: list[Column]
+    steps: list[tuple[str, Column]] = []
+    only: Column | None = None
+
+
+def _emit(files: DataFrame, plans: list[tuple[Column, Plan]]) -> DataFrame:
+    """Records of all files in one pass; each file takes the plan whose condition it meets."""
+    chosen = None
+    for hit, plan in plans:
+        for name, value in plan.steps:
+            files = files.withColumn(name, F.when(hit, value))
+        records = F.concat(*plan.records)
+        records = records if plan.only is None else F.when(plan.only, records)
+        chosen = F.when(hit, records) if chosen is None else chosen.when(hit, records)
+    return files.select("repo", F.explode(chosen).alias("r")).select("repo", "r.*")
+
+
+def _alone(files: DataFrame, plan: Plan) -> DataFrame:
+    return _emit(files, [(F.lit(True), plan)])
 
 
 def _one(*records: Column) -> Column:
@@ -116,13 +136,16 @@ def guessed_import(path: Column, raw: Column) -> Column:
 
 
 def analyze_ts(files: DataFrame, merged: bool = False) -> DataFrame:
+    return _alone(files, ts_plan(merged))
+
+
+def ts_plan(merged: bool) -> Plan:
     ext = extension("path")
     language = F.when(ext.isin(".ts", ".tsx"), "typescript").otherwise("javascript")
-    src = files.withColumn("lang", language).withColumn("tsx", ext == ".tsx")
-    with_lang = lambda r: r.withField("language", F.col("lang"))
+    with_lang = lambda r: r.withField("language", F.col("_lang"))
     symbols = []
     for kind, pattern in TS_SYMBOLS:
-        framework = F.when(F.col("tsx"), "react") if kind == "function" else None
+        framework = F.when(F.col("_tsx"), "react") if kind == "function" else None
         symbols.append(F.flatten(_members(kind, pattern, framework, merged, with_lang)))
     imports = F.filter(F.concat(*[_all(p) for p in IMPORT_PATTERNS]), lambda x: x.startswith(".") | x.startswith("/"))
     import_edges = F.transform(imports, lambda x: edge("imports", file_id(), file_id(guessed_import(F.col("path"), x))))
@@ -134,7 +157,7 @@ def analyze_ts(files: DataFrame, merged: bool = False) -> DataFrame:
         ),
     )
     config = F.transform(F.array_distinct(_all(PROCESS_ENV)), lambda n: node("config", n))
-    return _emit(src, _one(with_lang(node("file", F.col("path")))), *symbols, import_edges, routes, config)
+    return Plan([_one(with_lang(node("file", F.col("path")))), *symbols, import_edges, routes, config], [("_lang", language), ("_tsx", ext == ".tsx")])
 
 
 def _members(kind: str, pattern: str, framework, merged: bool, finish) -> Column:
@@ -151,6 +174,10 @@ def _members(kind: str, pattern: str, framework, merged: bool, finish) -> Column
 
 
 def analyze_py(files: DataFrame, merged: bool = False) -> DataFrame:
+    return _alone(files, py_plan(merged))
+
+
+def py_plan(merged: bool) -> Plan:
     framework = F.when(F.col("content").rlike(AIRFLOW), "airflow").when(F.col("content").rlike(SPARK), "spark")
     imports = F.filter(F.concat(_all(PY_IMPORT, 1), _all(PY_IMPORT, 2)), lambda x: x != "")
     import_edges = F.transform(imports, lambda x: edge("imports", file_id(), F.concat(F.lit("file:"), x)))
@@ -183,20 +210,23 @@ def analyze_py(files: DataFrame, merged: bool = False) -> DataFrame:
 
     django = F.when(F.col("path").endswith("urls.py"), _all(DJANGO_PATH)).otherwise(F.array().cast("array<string>"))
     env = F.filter(F.array_distinct(F.transform(matches("content", PY_ENV, "a", "b"), lambda m: F.concat(m["a"], m["b"]))), lambda n: n != "")
-    return _emit(
-        files,
+    return Plan([
         _one(node("file", F.col("path"), language="python", framework=framework)), import_edges,
         F.flatten(F.transform(bodies, of_class)), F.flatten(F.transform(names, of_function)),
         F.flatten(F.transform(matches("content", FLASK_ROUTE, "route", "methods"), routes)),
         F.transform(django, lambda p: node("endpoint", F.concat(F.lit("GET "), p), framework="django", metadata=facts(path=p))),
         F.transform(env, lambda n: node("config", n)),
-    )
+    ])
 
 
 # ---------------------------------------------------------------- SQL
 
 
 def analyze_sql(files: DataFrame, merged: bool = False) -> DataFrame:
+    return _alone(files, sql_plan(merged))
+
+
+def sql_plan(merged: bool) -> Plan:
     layer = F.when(F.col("path").contains("models/staging/"), "staging").when(F.col("path").contains("models/marts/"), "mart")
     table = lambda n: F.concat(F.lit("table:"), n)
     creates = matches("content", SQL_CREATE, "name", "rest")
@@ -221,47 +251,50 @@ def analyze_sql(files: DataFrame, merged: bool = False) -> DataFrame:
             lambda r: edge("depends-on", table(F.regexp_extract(p, SQL_CREATE, 1)), table(r)),
         ),
     ).otherwise(F.array().cast(f"array<{RECORD}>"))))
-    src = (
-        files.withColumn("_made", F.transform(creates, lambda m: F.upper(m["name"])))
-        .withColumn("_in", _all(rf"(?i)INSERT\s+INTO\s+{_Q}(\w+)"))
-        .withColumn("_from", F.transform(
+    steps = [
+        ("_made", F.transform(creates, lambda m: F.upper(m["name"]))),
+        ("_in", _all(rf"(?i)INSERT\s+INTO\s+{_Q}(\w+)")),
+        ("_from", F.transform(
             first_seen(F.transform(
                 F.filter(_all(rf"(?i)\bFROM\s+{_Q}(\w+)"), lambda n: ~F.upper(n).isin(SQL_NOT_TABLES)),
                 lambda n: F.struct(n.alias("n"), F.upper(n).alias("u"))), "u"),
-            lambda s: s["n"]))
-        .withColumn("_new", F.filter(
+            lambda s: s["n"])),
+        ("_new", F.filter(
             first_seen(F.transform(F.concat("_in", "_from"), lambda n: F.struct(n.alias("n"), F.upper(n).alias("u"))), "u"),
-            lambda s: ~F.array_contains(F.col("_made"), s["u"])))
-    )
+            lambda s: ~F.array_contains(F.col("_made"), s["u"]))),
+    ]
     refs = F.transform(_all(r"\{\{\s*ref\s*\(\s*['\"]([^'\"]+)['\"]\s*\)\s*\}\}"), lambda m: edge("depends-on", file_id(), F.concat(F.lit("file:"), m, F.lit(".sql"))))
     sources = F.transform(
         matches("content", r"\{\{\s*source\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*['\"]([^'\"]+)['\"]\s*\)\s*\}\}", "source", "table"),
         lambda m: edge("reads", file_id(), table(F.concat_ws(".", m["source"], m["table"]))),
     )
-    return _emit(
-        src, _one(node("file", F.col("path"), language="sql", metadata=facts(dbtLayer=layer))), created, alters, references,
+    return Plan([
+        _one(node("file", F.col("path"), language="sql", metadata=facts(dbtLayer=layer))), created, alters, references,
         F.transform("_new", lambda s: node("table", s["n"], language="sql")),
         F.transform("_in", lambda n: edge("writes", file_id(), table(n))), F.transform("_from", lambda n: edge("reads", file_id(), table(n))),
         refs, sources,
-    )
+    ], steps)
 
 
 # ---------------------------------------------------------------- COBOL
 
 
 def analyze_cobol(files: DataFrame, merged: bool = False) -> DataFrame:
+    return _alone(files, cobol_plan(merged))
+
+
+def cobol_plan(merged: bool) -> Plan:
     program = F.coalesce(capture("content", r"(?i)PROGRAM-ID\s*\.\s*(\S+?)\s*\."), F.col("path"))
     framework = F.when(F.col("content").rlike(r"(?i)EXEC\s+CICS"), "cics")
     target = lambda n: F.concat(F.lit("file:"), n)
-    src = files.withColumn("_sql", _all(r"(?i)EXEC\s+SQL([\s\S]*?)END-EXEC"))
     mention = lambda body, pattern, op: F.transform(
         F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda n: F.struct(F.upper(n).alias("n"), F.lit(op).alias("op"))
     )
-    src = src.withColumn("_tables", F.flatten(F.transform("_sql", lambda b: F.concat(
+    steps = [("_sql", _all(r"(?i)EXEC\s+SQL([\s\S]*?)END-EXEC")), ("_tables", F.flatten(F.transform("_sql", lambda b: F.concat(
         mention(b, r"(?i)\bFROM\s+(\w+)", "reads"), mention(b, r"(?i)\bJOIN\s+(\w+)", "reads"),
         mention(b, r"(?i)\bINSERT\s+INTO\s+(\w+)", "writes"), mention(b, r"(?i)\bUPDATE\s+(\w+)", "writes"),
         mention(b, r"(?i)\bDELETE\s+FROM\s+(\w+)", "writes"),
-    ))))
+    ))))]
     table = lambda n: F.concat(F.lit("table:"), n)
     touched = F.transform("_tables", lambda t: edge("reads", file_id(), table(t["n"])).withField("type", t["op"]))
     sections = F.filter(
@@ -273,8 +306,8 @@ def analyze_cobol(files: DataFrame, merged: bool = False) -> DataFrame:
         at = member_id("function", s, merged)
         return F.array(node("function", s, id=at, language="cobol", metadata=facts(sectionType=F.lit("SECTION"))), edge("contains", file_id(), at))
 
-    return _emit(
-        src, _one(node("file", program, id=file_id(), language="cobol", framework=framework, metadata=facts(programId=program))),
+    return Plan([
+        _one(node("file", program, id=file_id(), language="cobol", framework=framework, metadata=facts(programId=program))),
         F.transform(_all(r"(?im)^\s*COPY\s+(\S+)"), lambda n: edge("imports", file_id(), target(n))),
         F.transform(_all(r"(?i)\bCALL\s+['\"]([^'\"]+)['\"]"), lambda n: edge("calls", file_id(), target(n))),
         F.transform(F.array_distinct(F.transform("_tables", lambda t: t["n"])), lambda n: node("table", n)), touched,
@@ -282,13 +315,17 @@ def analyze_cobol(files: DataFrame, merged: bool = False) -> DataFrame:
         F.flatten(F.transform(records, lambda n: F.array(
             node("external", n, language="cobol", metadata=facts(fdType=F.lit("file-descriptor"))),
             edge("contains", file_id(), F.concat(F.lit("external:"), n))))),
-    )
+    ], steps)
 
 
 # ---------------------------------------------------------------- Docker
 
 
 def analyze_docker(files: DataFrame, merged: bool = False) -> DataFrame:
+    return _alone(files, docker_plan(merged))
+
+
+def docker_plan(merged: bool) -> Plan:
     name = basename("path")
     is_file = (name == "Dockerfile") | name.startswith("Dockerfile.")
     nothing = F.array().cast("array<string>")
@@ -299,11 +336,10 @@ def analyze_docker(files: DataFrame, merged: bool = False) -> DataFrame:
     services = F.flatten(F.transform(
         F.filter(blocks(F.col("content"), 0), lambda b: b.rlike(r"^services\s*:")), lambda b: blocks(b, 2)
     ))
-    src = (
-        files.withColumn("_images", F.when(is_file, images).otherwise(nothing))
-        .withColumn("_ports", F.when(is_file, ports).otherwise(nothing))
-        .withColumn("_services", F.filter(F.when(name.isin(COMPOSE_FILES), services).otherwise(nothing), lambda b: b.rlike(r"^ {2}\w[\w-]*\s*:")))
-    )
+    steps = [
+        ("_images", F.when(is_file, images).otherwise(nothing)), ("_ports", F.when(is_file, ports).otherwise(nothing)),
+        ("_services", F.filter(F.when(name.isin(COMPOSE_FILES), services).otherwise(nothing), lambda b: b.rlike(r"^ {2}\w[\w-]*\s*:"))),
+    ]
     key = lambda b: F.lower(F.regexp_extract(b, r"^ {4}(\w[\w_-]*)\s*:", 1))
     value = lambda b: trim(F.regexp_extract(b, r"^ {4}\w[\w_-]*\s*:([^\n]*)", 1))
     items = lambda b: F.transform(
@@ -332,21 +368,24 @@ def analyze_docker(files: DataFrame, merged: bool = False) -> DataFrame:
         )
 
     exposed = F.when(F.size("_ports") > 0, F.to_json("_ports"))
-    return _emit(
-        src, _one(node("file", F.col("path"), language="docker", metadata=facts(exposedPorts=exposed))),
+    return Plan([
+        _one(node("file", F.col("path"), language="docker", metadata=facts(exposedPorts=exposed))),
         F.flatten(F.transform("_images", lambda i: F.array(
             node("external", i, metadata=facts(imageType=F.lit("base-image"))), edge("depends-on", file_id(), F.concat(F.lit("external:"), i))))),
         F.flatten(F.transform("_services", of_service)),
-    )
+    ], steps)
 
 
 # ---------------------------------------------------------------- OpenAPI
 
 
 def analyze_openapi(files: DataFrame, merged: bool = False) -> DataFrame:
-    src = files.filter(F.col("content").rlike(r"(?m)^(?:openapi|swagger)\s*:")).withColumn(
-        "_top", blocks(F.regexp_replace("content", r"(?m)^\s*#.*$", ""), 0)
-    )
+    return _alone(files, openapi_plan(merged))
+
+
+def openapi_plan(merged: bool) -> Plan:
+    told = F.col("content").rlike(r"(?m)^(?:openapi|swagger)\s*:")
+    steps = [("_top", F.when(told, blocks(F.regexp_replace("content", r"(?m)^\s*#.*$", ""), 0)))]
     top = lambda word: F.filter("_top", lambda b: b.rlike(rf"^{word}\s*:"))
 
     def endpoints(path_block):
@@ -377,19 +416,21 @@ def analyze_openapi(files: DataFrame, merged: bool = False) -> DataFrame:
             F.transform(refs, lambda r: edge("depends-on", at, F.concat(F.lit("schema:"), r))),
         )
 
-    return _emit(
-        src, _one(node("file", F.col("path"), language="openapi")), F.flatten(F.transform(paths, endpoints)),
-        F.flatten(F.transform(schemas, of_schema)),
+    return Plan(
+        [_one(node("file", F.col("path"), language="openapi")), F.flatten(F.transform(paths, endpoints)), F.flatten(F.transform(schemas, of_schema))],
+        steps, F.col("_top").isNotNull(),
     )
 
 
-ANALYSERS = {
-    "typescript": analyze_ts, "javascript": analyze_ts, "python": analyze_py, "cobol": analyze_cobol, "sql": analyze_sql,
-    "docker": analyze_docker, "openapi": analyze_openapi,
+PLANS = {
+    "typescript": ts_plan, "javascript": ts_plan, "python": py_plan, "cobol": cobol_plan, "sql": sql_plan, "docker": docker_plan, "openapi": openapi_plan,
 }
 
 
-def analyze(files: DataFrame, merged: bool = False, analysers: dict = ANALYSERS) -> DataFrame:
-    """Tagged records of all files whose language has an analyser; `analysers` may hold further ones."""
-    parts = [fn(files.filter(F.col("language") == language).select("repo", "path", "content"), merged) for language, fn in analysers.items()]
-    return reduce(DataFrame.unionByName, parts)
+def analyze(files: DataFrame, merged: bool = False, plans: dict = PLANS) -> DataFrame:
+    """Tagged records of all files whose language has a plan, in one read of `files`; `plans` may hold further ones."""
+    languages: dict = {}
+    for language, plan in plans.items():
+        languages.setdefault(plan, []).append(language)
+    known = files.filter(F.col("language").isin(list(plans))).select("repo", "path", "content", "language")
+    return _emit(known, [(F.col("language").isin(names), plan(merged)) for plan, names in languages.items()])

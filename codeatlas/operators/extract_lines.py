@@ -27,11 +27,12 @@ EXPORT_KINDS = [
     ("enum", r"export\s+(?:default\s+)?enum\s+(\w+)"),
     ("function", r"export\s+const\s+(\w+)"),
 ]
-NOT_CALLS = """
-if for while switch catch return throw new typeof instanceof void delete import require console process Math JSON Object
-Array String Number Boolean Promise Date Map Set RegExp Error Buffer setTimeout setInterval clearTimeout clearInterval
-parseInt parseFloat encodeURIComponent decodeURIComponent
-""".split()
+NOT_CALLS = [
+    "if", "for", "while", "switch", "catch", "return", "throw", "new", "typeof", "instanceof", "void", "delete",
+    "import", "require", "console", "process", "Math", "JSON", "Object", "Array", "String", "Number", "Boolean",
+    "Promise", "Date", "Map", "Set", "RegExp", "Error", "Buffer", "setTimeout", "setInterval", "clearTimeout",
+    "clearInterval", "parseInt", "parseFloat", "encodeURIComponent", "decodeURIComponent",
+]
 IDENTIFIER = r"[A-Za-z_]\w*"
 
 

@@ -14,18 +14,24 @@ from codeatlas.functions.scan import keep_where
 from codeatlas.functions.text import split_lines, trim
 
 # Words that say nothing about a topic (search, then answer checks), model context sizes, ratios.
-SEARCH_STOP_WORDS = """
-the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on
-with at by from as into through about this that and or but not so if then than too very just how where what which who when
-why all each every some any its it you your we our they their i me my change adding using make use
-""".split()
-ANSWER_STOP_WORDS = """
-the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on
-with at by from as into through during before after above below between out off over under again further then once here
-there when where why how all each every both few more most other some such no not only own same so than too very just
-because but and or if while about this that these those what which who whom its it you your we our they their i me my change
-adding using make
-""".split()
+SEARCH_STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at",
+    "by", "from", "as", "into", "through", "about", "this", "that", "and", "or", "but", "not", "so", "if", "then",
+    "than", "too", "very", "just", "how", "where", "what", "which", "who", "when", "why", "all", "each", "every",
+    "some", "any", "its", "it", "you", "your", "we", "our", "they", "their", "i", "me", "my", "change", "adding",
+    "using", "make", "use",
+]
+ANSWER_STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at",
+    "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "between", "out", "off",
+    "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "not", "only", "own", "same", "so",
+    "than", "too", "very", "just", "because", "but", "and", "or", "if", "while", "about", "this", "that", "these",
+    "those", "what", "which", "who", "whom", "its", "it", "you", "your", "we", "our", "they", "their", "i", "me",
+    "my", "change", "adding", "using", "make",
+]
 INJECTED = ["[Tool result:", "[SYSTEM", "[WORKING MEMORY", "[CONTEXT"]
 CHARS_PER_TOKEN, MESSAGE_OVERHEAD = 3.8, 4
 MODEL_LIMITS = {

@@ -24,10 +24,9 @@ COMMITS = "repo string, hash string, author string, ts timestamp, subject string
 MESSAGES = "session_id string, turn int, role string, text string, ts timestamp"
 
 # The node and edge types a graph may hold.
-NODE_TYPES = (
-    "repo service module file class function endpoint table schema queue event config external".split()
-)
-EDGE_TYPES = (
-    "imports calls reads writes publishes subscribes exposes consumes contains configures deploys-with "
-    "depends-on".split()
-)
+NODE_TYPES = [
+    "repo", "service", "module", "file", "class", "function", "endpoint", "table", "schema", "queue", "event", "config", "external",
+]
+EDGE_TYPES = [
+    "imports", "calls", "reads", "writes", "publishes", "subscribes", "exposes", "consumes", "contains", "configures", "deploys-with", "depends-on",
+]

@@ -83,3 +83,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this application has written to the shared folder; results that still read them must be stored first."""
+    root = f"{shared_dir(spark).rstrip('/')}/codeatlas/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

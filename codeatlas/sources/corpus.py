@@ -51,8 +51,7 @@ def read_corpus(
 def store_corpus(files: DataFrame, root: str, rows_per_file: int = 100_000) -> None:
     """Write a `files` table by language, so that a job for one language reads that language's files only.
 
-    `operators.analyse` filters on the language once per analyser; over a stored corpus these filters prune directories and
-    all of them together read the corpus once.  The rebalance hint cuts a language of any size into writers of the session's
+    The rebalance hint cuts a language of any size into writers of the session's
     advisory partition size.
     """
     balanced = files.hint("rebalance", F.col("language"))
