@@ -23,6 +23,17 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, whose session hands 1,000 rows at once to Python if it was left at its 10,000: rows here are whole texts."""
+    spark = docs.sparkSession
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
+    return docs
+
+
 def digest(*parts: Column) -> list[Column]:
     """Two 64-bit hashes with different seeds: 128 bits that tell values apart."""
     return [F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2")]

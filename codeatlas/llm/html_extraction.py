@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codeatlas.llm.base import text_batches
 from codeatlas.llm.html_kernels import constant_rows, text_rows
 from codeatlas.llm.url_filters import url_host
 from codeatlas.session import cut
@@ -50,7 +51,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     Counts are summed in the tasks before they are shuffled.  References are sent to all executors only up to
     `BROADCAST_BYTES`; past that hosts are joined in `SALTS` parts each, so a host may have any share of the pages.
     """
-    hosted = _with_host(pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url"), F.col(f"`{markup}`").alias("html")), "_url")
+    hosted = _with_host(text_batches(pages).select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url"), F.col(f"`{markup}`").alias("html")), "_url")
     known = references(hosted)
     size = known.agg(F.sum(F.octet_length("reference") + F.octet_length("host"))).first()[0] or 0
     small = size <= BROADCAST_BYTES

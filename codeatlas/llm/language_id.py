@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codeatlas.llm.base import text_batches
 from codeatlas.llm.crf import Adam, gradient, marginals
 from codeatlas.llm.textscan import buffers, slices
 from codeatlas.llm.wordgrams import Words, document_counts, find, pick
@@ -136,7 +137,7 @@ def identify(docs: DataFrame, model: dict, carry: list[str], text: str = "text")
     care, as each row is judged alone.
     """
     others = [c for c in carry if c not in (text, "lang_pred", "score")]
-    picked = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"))
+    picked = text_batches(docs).select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
     found = picked.mapInArrow(_predict_rows(model), f"{fields}, lang_pred string, score double")
     return found.select(*[F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in [c for c in carry if c in others or c == text]], "lang_pred", "score")

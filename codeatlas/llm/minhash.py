@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codeatlas.llm.base import text_batches
 from codeatlas.llm.connected import components
 from codeatlas.llm.minhash_kernels import linked_in_block, set_rows, sketch_rows
 from codeatlas.session import cut
@@ -32,7 +33,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Keys are whole numbers.  Null text is an empty set; a null key gets a null component and is not kept; repeated rows share
     their key and component (each is told, `kept` alike); an empty frame gives no rows; other columns are ignored.
     """
-    named = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    named = text_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sketched = cut(named.mapInArrow(sketch_rows(bands, rows, k), "id long, n long, f1 long, f2 long, bands array<long>"))
     classes = cut(
         sketched.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))

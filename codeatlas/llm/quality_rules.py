@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codeatlas.llm.base import text_batches
 from codeatlas.llm.crf import Adam, best_path, gradient
 from codeatlas.llm.substring_kernels import run_hashes
 from codeatlas.llm.textscan import buffers, group_starts, mix, owners, slices, span_hashes, tables, words
@@ -159,7 +160,7 @@ def rate(docs: DataFrame, model: dict, carry: list[str], text: str = "text") ->
     which the likeliest labelling of all lines calls content; `kept` needs half and no base failure.  Null and empty text have
     counts of 0 and fail; rows are judged one by one, so repeated rows agree and empty frames stay empty.
     """
-    picked = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text"))
+    picked = text_batches(docs).select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
     return picked.mapInArrow(_rate_rows(model), f"{fields}, {counts}").drop("_text")

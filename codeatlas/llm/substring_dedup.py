@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codeatlas.llm.base import text_batches
 from codeatlas.llm.substring_kernels import digest_rows, kept_rows, packed_rows, repeated_runs
 
 WINDOW = 20
@@ -29,7 +30,7 @@ def drop_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "tex
     repeated rows of one key start at the same places and don't remove each other's words; an empty frame gives no rows;
     other columns are ignored.
     """
-    named = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    named = text_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
     packed = named.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(packed_rows(window, minimiser, buckets), "bucket long, payload binary")

@@ -7,6 +7,7 @@ value times a power of an odd base, which one running sum gives for all words of
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 """Bytes of text handled at once; a longer text is a slice of its own."""
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -72,7 +73,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each piece have at most `limit` bytes, or are one text."""
+    """The batches cut so that the texts of each piece have at most `limit` bytes, or are one text.  At the end the process gives
+    its free memory back, as it waits for other tasks beside other processes."""
     for batch in batches:
         _, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
         start, n = 0, len(offsets) - 1
@@ -80,6 +82,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    release()
+
+
+def release() -> None:
+    """Give free memory back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeatlas.llm.base import text_batches
 from codeatlas.llm.crf import Adam
 from codeatlas.llm.minhash_kernels import shingle_sets, similarity_sketches
 from codeatlas.llm.textscan import buffers, slices
@@ -280,7 +281,7 @@ def score_texts(docs: DataFrame, net: Network, carry: list[str], text: str = "te
     The score of a whole text is that of its worst window of 40 words; windows begin every 30 words.  Null and empty text scores 0.
     Rows are judged one by one, so repeated rows agree and empty frames stay empty.
     """
-    picked = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text"))
+    picked = text_batches(docs).select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
     scored = picked.mapInArrow(_score_rows(net), f"{fields}, score double").drop("_text")
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
