@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codeatlas.llm.base import text_batches
 from codeatlas.llm.crf import Adam, gradient, marginals
-from codeatlas.llm.textscan import buffers, slices
+from codeatlas.llm.textscan import buffers, release, slices
 from codeatlas.llm.wordgrams import Words, document_counts, find, pick
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -90,6 +90,8 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
             d_entries[-1] = 0
             rule.step([d_weights, d_entries, d_step])
             weights[-1], entries[-1] = 0, 0
+    del w, lists, rule
+    release()
     return {"names": names, "weights": weights.astype(np.float32), "lexicon": lexicon, "entries": entries.astype(np.float32), "step": step.astype(np.float32)}
 
 

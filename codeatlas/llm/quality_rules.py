@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from codeatlas.llm.base import text_batches
 from codeatlas.llm.crf import Adam, best_path, gradient
 from codeatlas.llm.substring_kernels import run_hashes
-from codeatlas.llm.textscan import buffers, group_starts, mix, owners, slices, span_hashes, tables, words
+from codeatlas.llm.textscan import buffers, group_starts, mix, owners, release, slices, span_hashes, tables, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -131,6 +131,8 @@ def train(texts: list[str], quality: list[int], seed: int = 3, length: int = 24,
         for part in np.array_split(rng.permutation(len(begin)), max(1, len(begin) // 128)):
             _, d_emit, d_step = gradient(x[part] @ weights, y[part], step, mask[part])
             rule.step([np.einsum("bti,btl->il", x[part], d_emit) + 1e-4 * weights, d_step + 1e-3 * step])
+    del x, y, mask, table
+    release()
     return {"weights": weights, "step": step}
 
 

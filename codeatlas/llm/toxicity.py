@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codeatlas.llm.base import text_batches
 from codeatlas.llm.crf import Adam
 from codeatlas.llm.minhash_kernels import shingle_sets, similarity_sketches
-from codeatlas.llm.textscan import buffers, slices
+from codeatlas.llm.textscan import buffers, release, slices
 from codeatlas.llm.wordgrams import Words, document_counts, find, pick
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -245,6 +245,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Network:
         np.maximum.at(worst, text[mine], score[mine])
     net.lexicon, net.worth = whole
     net.w["out_b"] -= np.float32(best_cut(worst[np.isfinite(worst)], label[np.isfinite(worst)]) - np.log(THRESHOLD / (1 - THRESHOLD)))
+    del w, lists, rule
+    release()
     return net
 
 
