@@ -31,7 +31,7 @@ def _joined(pages: DataFrame, table: DataFrame, small: bool) -> DataFrame:
 def references(pages: DataFrame) -> DataFrame:
     """(host, reference): of each host one page, that with the least hash, as every page is aligned with the same one."""
     marked = pages.filter("html IS NOT NULL").select("host", "html", F.xxhash64("html").alias("_h"))
-    least = marked.groupBy("host").agg(F.min("_h").alias("_h"))
+    least = cut(marked.groupBy("host").agg(F.min("_h").alias("_h")))  # its true size decides how pages meet it
     return cut(marked.join(least, ["host", "_h"]).groupBy("host").agg(F.min("html").alias("reference")))
 
 
