@@ -23,14 +23,20 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Settings that are changed where a session has left them at Spark's own value: rows handed to Python at once, since rows here are
+# whole texts, and characters of a plan's description, of which the driver keeps one for each of a thousand jobs.
+DEFAULTS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.maxPlanStringLength": (str((1 << 31) - 16), "16384"),
+}
 
 
 def text_batches(docs: DataFrame) -> DataFrame:
-    """`docs`, whose session hands 1,000 rows at once to Python if it was left at its 10,000: rows here are whole texts."""
+    """`docs`, with `DEFAULTS` in force in its session."""
     spark = docs.sparkSession
-    if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, "1000")
+    for key, (given, wanted) in DEFAULTS.items():
+        if spark.conf.get(key, given) == given:
+            spark.conf.set(key, wanted)
     return docs
 
 

@@ -10,20 +10,23 @@ from codeatlas.session import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b) of whole numbers: root is the least node that can be reached.
 
-    Each round lets a node point at its least neighbour if that is less than itself, follows the pointers to their ends by doubling,
-    and goes on with the edges between the ends, so the number of nodes at least halves.  Every step is a written
+    Each round lets a node point at its least neighbour if that is less than itself, follows the pointers to their ends by doubling
+    (three times per written table), and goes on with the edges between the ends, so the number of nodes at least halves.  Every step is a written
     table.  Neighbours are reduced before they are shuffled; nothing gathers the neighbours of a node.
     """
     rest = cut(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds = []
-    while rest.count():
+    while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         points = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("root")))
         while True:
-            ends = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            moved = cut(points.join(ends, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            points = moved.select("node", "root")
-            if not moved.filter("moved").count():
+            far = points.withColumn("moved", F.lit(False))
+            for _ in range(3):
+                ends = far.select(F.col("node").alias("root"), F.col("root").alias("next"))
+                far = far.join(ends, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            far = cut(far)
+            points = far.select("node", "root")
+            if far.filter("moved").isEmpty():
                 break
         rounds.append(points)
         for end in ("a", "b"):

@@ -17,9 +17,9 @@ from codeatlas.llm.wordgrams import Words, document_counts, find, pick
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE_PER_LANGUAGE = 250
+SAMPLE_PER_LANGUAGE = 200
 """Training documents of each language: those with the least hashes of their ids."""
-SAMPLE_BYTES = 16384
+SAMPLE_BYTES = 8192
 """Longest text taken for training, so that what the driver holds is bounded."""
 BUCKETS = 1 << 14
 SEQUENCES, LENGTH, EPOCHS = 2500, 32, 3

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from codeatlas.llm.base import text_batches
 from codeatlas.llm.connected import components
 from codeatlas.llm.minhash_kernels import linked_in_block, set_rows, sketch_rows
+from codeatlas.llm.textscan import release
 from codeatlas.session import cut
 
 BANDS = 45
@@ -33,6 +34,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Keys are whole numbers.  Null text is an empty set; a null key gets a null component and is not kept; repeated rows share
     their key and component (each is told, `kept` alike); an empty frame gives no rows; other columns are ignored.
     """
+    release()  # the driver may have trained a model before
     named = text_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sketched = cut(named.mapInArrow(sketch_rows(bands, rows, k), "id long, n long, f1 long, f2 long, bands array<long>"))
     classes = cut(
@@ -60,7 +62,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     gone = found.filter("NOT kept").select(key).distinct()
     rest = docs.join(cut(gone), key, "left_anti").select(*docs.columns)
     twice = cut(found.filter("kept").groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key))
-    if not twice.count():
+    if twice.isEmpty():
         return rest
     return rest.join(twice, key, "left_anti").select(*docs.columns).unionByName(rest.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates([key]))
 
@@ -84,7 +86,7 @@ def _linked(named: DataFrame, members: DataFrame, k: int, percent: int) -> DataF
     parted = members.select("bucket", "rep").join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("part"))
     open_buckets = parted.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("head")).filter("low != high")
     unsettled = cut(parted.join(open_buckets.select("bucket", "head"), "bucket"))
-    if not unsettled.count():
+    if unsettled.isEmpty():
         return first
     clusters = components(unsettled.select(F.col("rep").alias("a"), F.col("head").alias("b")))
     inside = cut(unsettled.select("rep", "part").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "rep"))
