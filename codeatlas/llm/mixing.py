@@ -94,6 +94,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     Rows of one key are taken alike; rows with a null key, which can't be told apart, are taken once each.
     """
     copies = systematic_copies(docs, source, text, key).filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("copies").alias("_copies"))
-    joined = docs.drop("copy").join(cut(copies), key, "left").filter(F.col(key).isNull() | (F.col("_copies") > 0))
+    # The table of copies grows with the documents, so both sides are shuffled at every size.
+    joined = docs.drop("copy").join(cut(copies).hint("merge"), key, "left").filter(F.col(key).isNull() | (F.col("_copies") > 0))
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_copies", F.lit(1).cast("long"))))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], again.alias("copy"))
