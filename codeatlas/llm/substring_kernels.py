@@ -84,33 +84,76 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
     return meta, lengths, raw[at + 24 * d :], done
 
 
-def packed_rows(k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (id, text) to (bucket, payload).  Of equal super-k-mers in a chunk only the earliest travels as text."""
+def chunk_super_kmers(batch: pa.RecordBatch, k: int, m: int):
+    """Of a chunk of (id, text): its bytes, the words' starts, ends, hashes and first words, then (first window, windows, minimiser, text,
+    id) of its super-k-mers, the hash of each, and which are the earliest of their kind and which equal an earlier one."""
+    data, offsets = buffers(batch.column(1))
+    starts, ends, first = words(data, offsets)
+    hashes = span_hashes(data, starts, ends)
+    window, count, least = cut_super_kmers(hashes, first, k, m)
+    doc = np.searchsorted(first, window, "right") - 1
+    ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+    keys = run_hashes(hashes, window, window + count + k - 1) if len(window) else least
+    lead, repeats = earliest(keys, ids, window - first[doc])
+    return data, (starts, ends, hashes, first), (window, count, least, doc, ids), keys, lead, repeats
+
+
+def cells_of(least: np.ndarray, cells: int) -> np.ndarray:
+    """Cell of each minimiser; the bucket is its remainder."""
+    return (mix(least + np.uint64(99)) % np.uint64(cells)).astype(np.int64)
+
+
+def cell_rows(k: int, m: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, text) to (cell, windows): how many windows travel by the minimisers of a cell, summed over a task."""
+
+    def run(batches):
+        total = np.zeros(cells, np.int64)
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            _, _, (_, count, least, _, _), _, lead, _ = chunk_super_kmers(batch, k, m)
+            np.add.at(total, cells_of(least[lead], cells), count[lead])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "windows"])
+
+    return run
+
+
+def packed_rows(k: int, m: int, buckets: int, cells: int | None = None, hot: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, text) to (bucket, payload).  Of equal super-k-mers in a chunk only the earliest travels as text.
+
+    Super-k-mers whose minimiser is in one of the `hot` cells (of `cells`, a multiple of `buckets`) travel window by window instead,
+    each to the bucket of the hash of all its words, which equal windows share.
+    """
+    cells, hot = cells or buckets, np.zeros(0, np.int64) if hot is None else hot
 
     def run(batches):
         for batch in slices(batches, "text", CHUNK_BYTES):
-            data, offsets = buffers(batch.column(1))
-            starts, ends, first = words(data, offsets)
-            hashes = span_hashes(data, starts, ends)
-            window, count, least = cut_super_kmers(hashes, first, k, m)
+            data, (starts, ends, hashes, first), (window, count, least, doc, ids), keys, lead, repeats = chunk_super_kmers(batch, k, m)
             if not len(window):
                 continue
-            doc = np.searchsorted(first, window, "right") - 1
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+            cell = cells_of(least, cells)
+            bucket = cell % buckets
+            split = np.isin(cell, hot)
+            bucket[split] = (mix(keys[split]) % np.uint64(buckets)).astype(np.int64)  # what is known to repeat needs no meeting
+            # Windows of the super-k-mers that are taken apart follow the others as rows of one window.
+            apart, lead = lead[split[lead]], lead[~split[lead]]
+            n = count[apart]
+            single = np.repeat(window[apart], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            owner = np.repeat(doc[apart], n)
+            whole = run_hashes(hashes, single, single + k) if len(single) else keys[:0]
+            heads, again = earliest(whole, np.repeat(ids[apart], n), single - first[owner])
+            at = len(window)
+            window, count, doc = np.concatenate((window, single)), np.concatenate((count, np.ones(len(single), np.int64))), np.concatenate((doc, owner))
+            ids = np.concatenate((ids, np.repeat(ids[apart], n)))
+            bucket = np.concatenate((bucket, (mix(whole) % np.uint64(buckets)).astype(np.int64)))
+            lead, repeats = np.concatenate((lead, heads + at)), np.concatenate((repeats, again + at))
             last = window + count + k - 1
-            keys = run_hashes(hashes, window, last)
-            lead, repeats = earliest(keys, ids, window - first[doc])
-            bucket = (mix(least + np.uint64(99)) % np.uint64(buckets)).astype(np.int64)
             rows = np.stack((ids, window - first[doc], count), 1)
             lead, repeats = lead[np.argsort(bucket[lead], kind="stable")], repeats[np.argsort(bucket[repeats], kind="stable")]
-            heads = group_starts(bucket[lead])
-            tails = np.concatenate((heads[1:], [len(lead)]))
-            others = bucket[repeats]
+            mine, others = bucket[lead], bucket[repeats]
             flat = data.tobytes()
             out_bucket, out_payload = [], []
-            for head, tail in zip(heads, tails):
-                part = lead[head:tail]
-                b = bucket[part[0]]
+            for b in np.union1d(mine, others):
+                part = lead[np.searchsorted(mine, b) : np.searchsorted(mine, b, "right")]
                 low, high = np.searchsorted(others, b), np.searchsorted(others, b, "right")
                 text = b"".join([flat[s:e] for s, e in zip(starts[window[part]], ends[last[part] - 1])])
                 out_bucket.append(b)

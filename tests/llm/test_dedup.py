@@ -92,3 +92,36 @@ def test_passages_that_travel_in_many_chunks(spark, docs, monkeypatch):
     rows = [(i, " ".join(f"u{rng.randrange(50)}" for _ in range(30)) + "\n" + passage) for i in range(200)]
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in drop_repeated_windows(docs(rows).repartition(7)).collect()}
     assert found == plain.kept_words(rows)
+
+
+def test_a_frequent_run_among_varying_neighbours_is_shared_out(spark, docs, monkeypatch):
+    import pyarrow as pa
+
+    from codeatlas.llm import substring_dedup, substring_kernels as K
+
+    rng = random.Random(3)
+
+    def minimiser(text):  # the least hash that the runs of three words of a text have
+        data, offsets = K.buffers(pa.array([text]))
+        starts, ends, first = K.words(data, offsets)
+        return int(K.window_hashes(K.span_hashes(data, starts, ends), first, 3, 7)[0].min())
+
+    phrase = min((f"a{i} b{i} c{i}" for i in range(2000)), key=minimiser)
+    shared = " ".join(f"s{i}" for i in range(25))
+    rows = [(i, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(25)), phrase, *(f"v{rng.randrange(10**6)}" for _ in range(25))])) for i in range(300)]
+    rows += [(300 + i, f"{shared} {phrase} tail{i % 3} {shared}") for i in range(60)]
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "SPLIT_WINDOWS", 1000)
+    largest = []
+    real = substring_dedup.packed_rows
+
+    def watched(*args):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["id", "text"])
+        sizes = [K.unpack(p)[0][:, 2].sum() for out in real(*args)([batch]) for p in out.column(1).to_pylist()]
+        largest.append((max(sizes), sum(sizes)))
+        return real(*args)
+
+    monkeypatch.setattr(substring_dedup, "packed_rows", watched)
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in drop_repeated_windows(docs(rows).repartition(3)).collect()}
+    assert found == plain.kept_words(rows)
+    assert largest[0][0] < 0.1 * largest[0][1]
