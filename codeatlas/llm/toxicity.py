@@ -18,8 +18,8 @@ from codeatlas.llm.wordgrams import Words, document_counts, find, pick
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WIDTH, STRIDE = 40, 30
-"""Words of a window, and from one window to the next: neighbours share ten words."""
+WIDTH, STRIDE = 40, 10
+"""Words of a window, and from one window to the next: any run of up to 31 words lies in one window."""
 HIDDEN, SPELLING, BUCKETS = 8, 7, 1 << 13
 THRESHOLD = 0.7
 SAMPLE_PER_CLASS = 1200
@@ -280,7 +280,7 @@ def _score_rows(net: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def score_texts(docs: DataFrame, net: Network, carry: list[str], text: str = "text") -> DataFrame:
     """The columns in `carry`, then `score` (0 to 1) and `predicted` (1 from 0.7 on), for every document.
 
-    The score of a whole text is that of its worst window of 40 words; windows begin every 30 words.  Null and empty text scores 0.
+    The score of a whole text is that of its worst window of 40 words; windows begin every 10 words.  Null and empty text scores 0.
     Rows are judged one by one, so repeated rows agree and empty frames stay empty.
     """
     picked = text_batches(docs).select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text"))

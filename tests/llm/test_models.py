@@ -176,3 +176,13 @@ def test_trees_are_aligned_by_labels_and_order():
     score, pairs = align(a, b)
     assert score == len(pairs) == 5  # root, div, p, ul, li: h2 stands elsewhere
     assert main_text(parse("<main>a <i>b</i>c<div class=AdBox>no</div> 1 < 2 <!-- x --></main>z"), set()) == "a bc 1 < 2"
+
+
+def test_every_passage_lies_in_one_window_wherever_it_stands():
+    first = np.array([0, 7, 7, 47, 88, 400])
+    text, start, size = toxicity.window_table(first)
+    for t, (a, b) in enumerate(zip(first, first[1:])):
+        mine = [(s, s + n) for s, n in zip(start[text == t], size[text == t])]
+        assert all(a <= s < e <= b for s, e in mine) and len(set(mine)) == len(mine)
+        for n in (1, 11, 20, 31):
+            assert all(any(s <= at and at + n <= e for s, e in mine) for at in range(a, b - n + 1))
