@@ -17,7 +17,7 @@ TOKEN = re.compile(
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")  # name and value, from left to right
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Fixed values of HTML: elements without content, elements inside a line of text, and elements that a sibling ends.
@@ -82,7 +82,7 @@ def parse(page: str) -> Node:
                 at = found.up
         names, side = "", tag in SIDE_TAGS
         attributes = m.group(4)
-        if attributes and "=" in attributes or attributes and "hidden" in attributes:
+        if attributes:
             for a in ATTRIBUTE.finditer(attributes):
                 name, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
                 if name == "class" or name == "id":
@@ -91,7 +91,7 @@ def parse(page: str) -> Node:
                     names += "." + "-".join(parts) if name == "class" else ""
                 elif name == "role":
                     side = side or value.lower() in SIDE_ROLES
-                elif name == "hidden" or value.lower() == "true":
+                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     side = True
         node = Node(tag, tag + names, side, at)
         at.kids.append(node)

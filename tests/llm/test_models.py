@@ -178,6 +178,13 @@ def test_trees_are_aligned_by_labels_and_order():
     assert main_text(parse("<main>a <i>b</i>c<div class=AdBox>no</div> 1 < 2 <!-- x --></main>z"), set()) == "a bc 1 < 2"
 
 
+def test_only_names_of_attributes_mark_side_parts():
+    for attributes in ("style='overflow:hidden'", 'title="a hidden place"', 'href="?id=search"', "href=?id=search", "data-role=banner", "data-id='ads'", "aria-label='role=search'", "alt='x' data-hidden aria-hidden=false"):
+        assert main_text(parse(f"<body {attributes}><div {attributes}><article {attributes}><p {attributes}>kept</p></article></div></body>"), set()) == "kept", attributes
+    for attributes in ("hidden", "HIDDEN", "title=x hidden=''", "aria-hidden=true", "ROLE = 'search'", "id=ads", "title='id=main' class='top banner'", "data-x=y\nrole=banner"):
+        assert main_text(parse(f"<main>a <div {attributes}>no</div>b</main>"), set()) == "a b", attributes
+
+
 def test_every_passage_lies_in_one_window_wherever_it_stands():
     first = np.array([0, 7, 7, 47, 88, 400])
     text, start, size = toxicity.window_table(first)
