@@ -107,24 +107,29 @@ def _predict_rows(model: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in slices(batches, "_text"):
             n = batch.num_rows
             share, ascii_letter, letter = np.zeros((n, max(1, len(model["names"])))), np.zeros(n, bool), np.zeros(n, bool)
+            sure = np.ones(n)  # where no language is known there is nothing to doubt
             texts = batch.column(batch.schema.get_field_index("_text"))
             if model["names"]:
                 w, chance = word_languages(model, texts)
                 lettered = w.has_letter[w.which]
                 for i in range(len(model["names"])):
                     share[:, i] = np.bincount(w.owner[lettered], chance[lettered, i], n)
+                sure = np.bincount(w.owner[lettered], chance[lettered].max(axis=1), n) / np.maximum(np.bincount(w.owner[lettered], minlength=n), 1)
                 ascii_letter[w.owner[w.has_ascii[w.which]]] = True
                 letter[w.owner[lettered]] = True
                 # Bytes above ASCII may be letters or not: read such texts as characters, where no plain letter settles it.
                 for i in np.flatnonzero(letter & ~ascii_letter):
                     letter[i] = any(c.isalpha() for c in texts[i].as_py())
+            else:
+                letter[:] = [any(c.isalpha() for c in t or "") for t in texts.to_pylist()]
             total = share.sum(axis=1)
             best = share.argmax(axis=1)
             score = np.where(letter & (total > 0), share[np.arange(n), best] / np.maximum(total, 1e-12), 0.0)
             names = np.array([*model["names"], UNKNOWN], object)
             named = names[np.where(letter & (total > 0), best, len(names) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(named, pa.string()), pa.array(np.clip(score, 0.0, 1.0))], names=[*batch.schema.names, "lang_pred", "score"]
+                [*batch.columns, pa.array(named, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(np.where(letter, sure, 0.0))],
+                names=[*batch.schema.names, "lang_pred", "score", "_sure"],
             )
 
     return run
@@ -138,17 +143,23 @@ def identify(docs: DataFrame, model: dict, carry: list[str], text: str = "text")
     without a letter, and any text where the model knows no language, get `und` and 0.  Repeated rows and empty frames need no
     care, as each row is judged alone.
     """
+    return _judged(docs, model, carry, text).drop("_sure")
+
+
+def _judged(docs: DataFrame, model: dict, carry: list[str], text: str) -> DataFrame:
+    """As `identify`, and `_sure`: the mean of the largest probability of each word that has a letter, 0 without such a word."""
     others = [c for c in carry if c not in (text, "lang_pred", "score")]
     picked = text_batches(docs).select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
-    found = picked.mapInArrow(_predict_rows(model), f"{fields}, lang_pred string, score double")
-    return found.select(*[F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in [c for c in carry if c in others or c == text]], "lang_pred", "score")
+    found = picked.mapInArrow(_predict_rows(model), f"{fields}, lang_pred string, score double, _sure double")
+    return found.select(*[F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in [c for c in carry if c in others or c == text]], "lang_pred", "score", "_sure")
 
 
 def drop_unidentified(docs: DataFrame, may_learn: Column, text: str = "text", least: float = MIN_SCORE, **names) -> DataFrame:
-    """`docs` without the rows whose language can't be told: `und`, or a score below `least`.  The model is learned from their own
-    labels where `may_learn` holds."""
+    """`docs` without the rows whose language can't be told: no letter, or words whose likeliest languages have a mean probability
+    below `least`.  A text of several languages is kept however they share it, as long as each word is told; without any language to
+    learn, every text with a letter is kept.  The model is learned from their own labels where `may_learn` holds."""
     model = train(*training_sample(docs, may_learn, text=text, **names))
-    found = identify(docs.withColumnsRenamed({c: f"_given_{c}" for c in ("lang_pred", "score")}), model, [c if c not in ("lang_pred", "score") else f"_given_{c}" for c in docs.columns], text)
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+    found = _judged(docs.withColumnsRenamed({c: f"_given_{c}" for c in ("lang_pred", "score")}), model, [c if c not in ("lang_pred", "score") else f"_given_{c}" for c in docs.columns], text)
+    kept = found.filter((F.col("_sure") > 0) & (F.col("_sure") >= least)).drop("lang_pred", "score", "_sure")
     return kept.withColumnsRenamed({f"_given_{c}": c for c in ("lang_pred", "score")}).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -193,3 +193,17 @@ def test_every_passage_lies_in_one_window_wherever_it_stands():
         assert all(a <= s < e <= b for s, e in mine) and len(set(mine)) == len(mine)
         for n in (1, 11, 20, 31):
             assert all(any(s <= at and at + n <= e for s, e in mine) for at in range(a, b - n + 1))
+
+
+def test_texts_of_several_languages_are_kept(spark, docs):
+    rng = random.Random(13)
+    rows = [(i, speech(rng, "xyz"[i % 3], rng.randrange(5, 60))) for i in range(300)]
+    mixed = [(1000 + i, " ".join(speech(rng, c, 40) for c in "xyz")) for i in range(5)] + [(2000, "12 34 !"), (2001, None), (2002, "… €")]
+    frame = docs(rows + mixed).withColumn("lang", F.element_at(F.array(*[F.lit(x) for x in "xyz"]), (F.col("doc_id") % 3 + 1).cast("int")))
+    learn = F.col("doc_id") < 1000
+    model = language_id.train(*language_id.training_sample(frame, learn))
+    assert max(r.score for r in language_id.identify(frame.filter("doc_id BETWEEN 1000 AND 1004"), model, ["doc_id"]).collect()) < 0.4
+    kept = language_id.drop_unidentified(frame, learn)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {*range(300), *range(1000, 1005)}
+    assert {r.doc_id for r in language_id.drop_unidentified(frame, F.lit(False)).collect()} == {*range(300), *range(1000, 1005)}
+    assert language_id.drop_unidentified(frame, learn, least=1.01).collect() == []
