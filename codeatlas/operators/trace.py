@@ -184,11 +184,19 @@ def impact_counts(symbols: DataFrame, calls: DataFrame, columns: DataFrame) -> D
     )
 
 
-def impact_report(symbols: DataFrame, calls: DataFrame, columns: DataFrame) -> DataFrame:
-    """Counts, risk and reason of changing each symbol, for all symbols at once."""
-    return risk_level(impact_counts(symbols, calls, columns)).select(
+def impact_report(symbols: DataFrame, calls: DataFrame, columns: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """Counts, risk and reason of changing each symbol, for all symbols at once.
+
+    With the result of `triggers.trigger_chains`, `triggers` is how many triggers the symbol sets off, through others as well.
+    """
+    report = risk_level(impact_counts(symbols, calls, columns)).select(
         "repo", "symbol_id", "callers", "columns", "dependents", "downstream", "risk", "reason"
     )
+    if chains is None:
+        return report
+    fired = chains.groupBy("repo", "name").agg(F.count("*").alias("fired"))
+    named = symbols.select("repo", F.col("id").alias("symbol_id"), "name").join(fired, ["repo", "name"]).drop("name")
+    return report.join(named, ["repo", "symbol_id"], "left").withColumn("triggers", F.coalesce("fired", F.lit(0))).drop("fired")
 
 
 def caller_multiplicity(sites: DataFrame) -> DataFrame:

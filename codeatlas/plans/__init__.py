@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph_queries", "trace_queries", "corpus_queries", "dedupe_queries", "activity_queries", "config_queries", "code_queries", "index_queries"]
+MODULES = ["graph_queries", "trace_queries", "corpus_queries", "dedupe_queries", "activity_queries", "config_queries", "code_queries", "index_queries", "lineage_queries"]
 
 
 def load_all() -> None:

@@ -135,16 +135,17 @@ symbols AS (
          CASE p_partkey % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'java' WHEN 2 THEN 'python' ELSE 'sql' END AS language
   FROM part),
 sites AS (
-  SELECT *, (l_partkey * 31 + l_suppkey * 7 + l_orderkey) % (10 * (SELECT count(*) FROM part)) AS callee,
-         (l_orderkey * 17 + l_linenumber * 5 + l_partkey) % (10 * (SELECT count(*) FROM part)) AS toucher FROM lineitem),
+  SELECT *, CASE WHEN l_orderkey % 20 = 0 THEN n + l_suppkey WHEN l_linenumber = 7 THEN xor(l_partkey, 1)
+                 ELSE l_partkey // (2 + (l_orderkey + l_suppkey) % 8) END AS callee,
+         (l_orderkey * 17 + l_linenumber * 5 + l_partkey) % (3 * n // 5) AS toucher FROM lineitem, (SELECT count(*) AS n FROM part)),
 calls AS (
   SELECT 'shop' AS repo, l_orderkey * 10 + l_linenumber AS id, l_partkey AS caller_id, 'fn_' || callee AS callee_name,
          p_brand AS file, l_linenumber AS line, 'order ' || l_orderkey AS arguments,
          CASE WHEN l_partkey % 4 <> callee % 4 THEN 'cross-language' ELSE 'direct' END AS kind
   FROM sites JOIN part ON p_partkey = l_partkey),
 columns_ AS (
-  SELECT 'shop' AS repo, l_orderkey * 10 + l_linenumber AS id, toucher AS symbol_id, 't' || l_suppkey AS table_name,
-         'c' || (l_orderkey % 97) AS column_name,
+  SELECT 'shop' AS repo, l_orderkey * 10 + l_linenumber AS id, toucher AS symbol_id, 't' || (l_suppkey % 20) AS table_name,
+         'c' || (l_orderkey % 25) AS column_name,
          CASE l_returnflag WHEN 'A' THEN 'INSERT' WHEN 'N' THEN 'SELECT' ELSE 'UPDATE' END AS operation
   FROM sites),
 imports AS (
@@ -170,12 +171,18 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sites(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line item is a call site and a touch of a column; nine in ten names are of code outside the index."""
-    names = table(spark, sf, "part").agg(F.count("*")).scalar() * 10
+    """Every line item is a call site and a touch of a column.
+
+    Parts call parts with a half to a ninth of their number, so a low number is called, through others, by most; pairs of neighbours call
+    each other; and one call in twenty leads out of the index.  Three parts in five touch columns, of which there are 500.
+    """
+    n = table(spark, sf, "part").agg(F.count("*")).scalar()
+    part, order = F.col("l_partkey"), F.col("l_orderkey")
+    below = F.floor(part / (2 + (order + F.col("l_suppkey")) % 8))
+    callee = F.when(order % 20 == 0, n + F.col("l_suppkey")).when(F.col("l_linenumber") == 7, part.bitwiseXOR(F.lit(1).cast("long"))).otherwise(below)
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
-        ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 7 + F.col("l_orderkey")) % names).alias("callee"),
-        ((F.col("l_orderkey") * 17 + F.col("l_linenumber") * 5 + F.col("l_partkey")) % names).alias("toucher"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", callee.alias("callee"),
+        ((order * 17 + F.col("l_linenumber") * 5 + part) % F.floor(n * 3 / 5)).alias("toucher"),
     )
 
 
@@ -200,8 +207,8 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 def columns(spark: SparkSession, sf: str) -> DataFrame:
     return _sites(spark, sf).select(
         F.lit("shop").alias("repo"), _row_id().alias("id"), F.col("toucher").alias("symbol_id"),
-        F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("table_name"),
-        F.concat(F.lit("c"), (F.col("l_orderkey") % 97).cast("string")).alias("column_name"),
+        F.concat(F.lit("t"), (F.col("l_suppkey") % 20).cast("string")).alias("table_name"),
+        F.concat(F.lit("c"), (F.col("l_orderkey") % 25).cast("string")).alias("column_name"),
         F.when(F.col("l_returnflag") == "A", "INSERT").when(F.col("l_returnflag") == "N", "SELECT")
         .otherwise("UPDATE").alias("operation"),
     )

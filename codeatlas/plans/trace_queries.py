@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeatlas.operators import reach as R, trace as T
+from codeatlas.operators import closure as C, reach as R, trace as T
 from codeatlas.plans import adapters as A
 from codeatlas.plans.registry import query
 
 WITH = "WITH RECURSIVE " + A.TRACE_SQL
 
 HOT_SQL = """,
-hot AS (SELECT DISTINCT name FROM symbols WHERE file = 'Brand#7' AND line <= 5)
+hot AS (SELECT DISTINCT name FROM symbols)
 """
 
 
-def changed_names(spark, sf):
-    """The names declared at the top of one file: what a reviewer of a change to it asks about."""
-    return T.lookup(A.symbols(spark, sf), file="Brand#7").filter("line <= 5").select("repo", "name").distinct()
+def all_names(spark, sf):
+    return A.symbols(spark, sf).select("repo", "name").distinct()
 
 
 @query("d1_lookup", WITH + "SELECT * FROM symbols WHERE file = 'Brand#7'")
@@ -70,7 +69,7 @@ tree AS (
 SELECT 'shop' AS repo, root, name, m.parent AS parent, CAST(depth AS INTEGER) AS depth, m.info.file AS file,
        m.info.line AS line, m.info.language AS language FROM tree""")
 def d6(spark, sf):
-    return R.upstream_chain(A.symbols(spark, sf), A.calls(spark, sf), changed_names(spark, sf)).drop("branch")
+    return R.upstream_chain(A.symbols(spark, sf), A.calls(spark, sf), all_names(spark, sf)).drop("branch")
 
 
 @query("d7_direct_callers", WITH + """
@@ -172,7 +171,7 @@ sec AS (
   FROM tree WHERE depth = 1)
 SELECT 'shop' AS repo, name, section, CAST(place AS INTEGER) AS place, item, greatest(total - k, 0) AS more FROM sec WHERE place <= k""")
 def d13(spark, sf):
-    return T.trace_summary(A.symbols(spark, sf), A.calls(spark, sf), A.imports(spark, sf), changed_names(spark, sf), k=10, roots=5)
+    return T.trace_summary(A.symbols(spark, sf), A.calls(spark, sf), A.imports(spark, sf), all_names(spark, sf), k=10, roots=5)
 
 
 @query("c19_bind_ids", WITH + """
@@ -184,3 +183,55 @@ def c19(spark, sf):
     owner = symbols.select("repo", F.col("id").alias("caller_id"), F.col("name").alias("owner"))
     named = A.calls(spark, sf).join(owner, ["repo", "caller_id"]).select("repo", "file", "id", "callee_name", "owner")
     return T.bind_ids(named, symbols)
+
+
+# ---------------------------------------------------------------- reach of every symbol
+
+
+def reach_sql(edges: str, least: int = C.LEAST) -> str:
+    """The closure of (src, dst), and what a node's `least` smallest hashes tell of its size."""
+    return f""",
+reach_edges AS ({edges}),
+ends AS (SELECT src AS id FROM reach_edges UNION SELECT dst FROM reach_edges),
+under(id, n) AS (SELECT id, id FROM ends UNION SELECT u.id, e.src FROM under u JOIN reach_edges e ON e.dst = u.n),
+hashed AS (SELECT id, ('0x' || substr(md5('shop/' || n), 1, 15))::BIGINT AS h FROM under),
+placed AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) AS place, count(*) OVER (PARTITION BY id) AS n FROM hashed),
+told AS (
+  SELECT id, n < {least} AS exact, n - 1 AS size,
+         CASE WHEN n < {least} THEN n ELSE floor({least - 1}::DOUBLE * {2**60}::DOUBLE / h::DOUBLE + 0.5)::BIGINT END - 1 AS reached
+  FROM placed WHERE place = least(n, {least}))
+"""
+
+
+CALL_EDGES = "SELECT DISTINCT s.name AS src, callee_name AS dst FROM calls c JOIN symbols s ON s.id = c.caller_id WHERE s.name <> callee_name"
+
+
+@query("d6_reach_of_all", WITH + reach_sql(CALL_EDGES) + "SELECT 'shop' AS repo, id, reached, exact FROM told")
+def d6_all(spark, sf):
+    return C.reach_estimates(C.call_edges(A.symbols(spark, sf), A.calls(spark, sf)))
+
+
+@query("d6_reach_exact", WITH + reach_sql(CALL_EDGES) + """
+SELECT 'shop' AS repo, name AS id, coalesce(size, 0) AS reached FROM symbols LEFT JOIN told ON told.id = name WHERE file = 'Brand#7'""")
+def d6_exact(spark, sf):
+    """All transitive callers of what one file declares, counted."""
+    symbols = A.symbols(spark, sf)
+    changed = T.lookup(symbols, file="Brand#7").select("repo", F.col("name").alias("id"))
+    return C.reach_sizes(C.call_edges(symbols, A.calls(spark, sf)), changed)
+
+
+@query("d10_risk_and_reach", IMPACT_SQL + reach_sql(CALL_EDGES) + """
+SELECT 'shop' AS repo, symbol_id, risk, coalesce(reached, 0) AS reached FROM why JOIN symbols s ON s.id = symbol_id LEFT JOIN told ON told.id = s.name""")
+def d10_reach(spark, sf):
+    """Risk of changing each symbol by its direct counts, beside how many symbols call it through others."""
+    symbols, calls = A.symbols(spark, sf), A.calls(spark, sf)
+    risk = T.risk_level(T.impact_counts(symbols, calls, A.columns(spark, sf))).select("repo", "symbol_id", "risk")
+    under = C.reach_estimates(C.call_edges(symbols, calls)).select("repo", F.col("id").alias("name"), "reached")
+    named = symbols.select("repo", F.col("id").alias("symbol_id"), "name")
+    return risk.join(named, ["repo", "symbol_id"]).join(under, ["repo", "name"], "left").select("repo", "symbol_id", "risk", F.coalesce("reached", F.lit(0)).alias("reached"))
+
+
+@query("e6_reach_of_all", "WITH RECURSIVE " + A.FK_SQL + reach_sql("SELECT DISTINCT src, dst FROM fk WHERE src <> dst") + "SELECT 'shop' AS repo, id, reached, exact FROM told")
+def e6_all(spark, sf):
+    """How many nodes of the foreign-key graph depend on each."""
+    return C.reach_estimates(A.fk_edges(spark, sf))
