@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pickle
+import sys
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANKS = "\t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,3 +56,35 @@ def digest(*parts: Column) -> list[Column]:
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns, whatever else the frame has."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
+
+
+KINDS = 64
+"""Most kinds of a bounded sample: those with most rows."""
+
+
+def bounded_sample(marked: DataFrame, texts: DataFrame, per_kind: int, kinds: int = KINDS) -> DataFrame:
+    """(id, text, mark) of at most `per_kind` rows for each of at most `kinds` marks, in any table: those with the least hashes of their ids.
+
+    `marked` has (id, mark), `texts` has (id, text).  An id with several marks or texts counts once, with the least of them.  Rows are counted by mark
+    first, so that all but a few times `per_kind` are left out by their hashes before anything is sorted: no task meets all rows of a mark.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(2.0**63)
+    sizes = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "mark").limit(kinds)
+    near = marked.join(F.broadcast(sizes), "mark").filter(place * F.col("_n") < 4.0 * per_kind + 64)
+    single = near.groupBy("id").agg(F.min("mark").alias("mark"))
+    order = Window.partitionBy("mark").orderBy(place, "id")
+    chosen = single.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_kind).select("id", "mark")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("mark").alias("mark"))
+
+
+def fitted(sample: DataFrame, train: Callable, *order: str):
+    """What `train(texts, marks)` makes of a bounded sample's rows in the given order: worked out in one task, so that the driver holds nothing but the
+    model.  A lost executor costs one more run of it."""
+
+    def run(batches):
+        rows = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for t, _ in rows], [m for _, m in rows]))], pa.binary())], names=["model"])
+
+    one = sample.repartition(1).sortWithinPartitions(*order).select("text", "mark")
+    made = one.mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else train([], [])

@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from codeatlas.llm.base import text_batches
+from codeatlas.llm.base import bounded_sample, fitted, text_batches
 from codeatlas.llm.crf import Adam, best_path, gradient
 from codeatlas.llm.substring_kernels import run_hashes
 from codeatlas.llm.textscan import buffers, group_starts, mix, owners, release, slices, span_hashes, tables, words
@@ -104,14 +104,22 @@ def line_table(texts: pa.Array) -> dict:
     }
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], list[int]]:
-    """Texts and quality labels of at most `per_class` labelled documents a class, by hash of their key."""
-    named = labels.select(F.col(f"`{key}`").alias("id"), "quality").filter("id IS NOT NULL AND quality IN (0, 1)")
-    order = Window.partitionBy("quality").orderBy("_h", "id")
-    chosen = named.distinct().withColumn("_h", F.xxhash64("id")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).select("id", "quality")
+def sample_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """(id, text, mark) of at most `per_class` labelled documents a class, by hash of their key."""
+    named = labels.select(F.col(f"`{key}`").alias("id"), F.col("quality").alias("mark")).filter("id IS NOT NULL AND mark IN (0, 1)")
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").collect()
-    return [r.text for r in rows], [r.quality for r in rows]
+    return bounded_sample(named, texts, per_class)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, **names) -> tuple[list[str], list[int]]:
+    """Texts and quality labels of the sample."""
+    rows = sample_rows(docs, labels, **names).orderBy("id").collect()
+    return [r.text for r in rows], [r.mark for r in rows]
+
+
+def fit(docs: DataFrame, labels: DataFrame, **names) -> dict:
+    """The model that `train` makes of the sample."""
+    return fitted(sample_rows(docs, labels, **names), train, "id")
 
 
 def train(texts: list[str], quality: list[int], seed: int = 3, length: int = 24, epochs: int = 60) -> dict:

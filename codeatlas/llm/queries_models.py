@@ -18,23 +18,23 @@ def id_fold(parts: int):
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents")
-    model = language_id.train(*language_id.training_sample(docs, id_fold(4) != 2))
-    return language_id.identify(docs, model, ["doc_id"]).select("doc_id", (id_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    model = language_id.fit(docs, id_fold(4) != 2)
+    return language_id.identify(docs, model, ["doc_id"]).select("doc_id", F.coalesce(id_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels outside fold 1 of 3."""
     docs = table(spark, sf_dir, "documents")
-    net = toxicity.train(*toxicity.training_sample(docs, table(spark, sf_dir, "labels"), id_fold(3) != 1))
-    return toxicity.score_texts(docs, net, ["doc_id"]).select("doc_id", (id_fold(3) == 1).alias("held_out"), "score", "predicted")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), id_fold(3) != 1)
+    return toxicity.score_texts(docs, net, ["doc_id"]).select("doc_id", F.coalesce(id_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and whether the lines of content suffice to keep it."""
     docs = table(spark, sf_dir, "documents")
-    model = quality_rules.train(*quality_rules.training_sample(docs, table(spark, sf_dir, "labels")))
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     return quality_rules.rate(docs, model, ["doc_id"])
 
 

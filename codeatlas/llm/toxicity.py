@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from codeatlas.llm.base import text_batches
+from codeatlas.llm.base import bounded_sample, fitted, text_batches
 from codeatlas.llm.crf import Adam
 from codeatlas.llm.minhash_kernels import shingle_sets, similarity_sketches
 from codeatlas.llm.textscan import buffers, release, slices
@@ -30,14 +30,30 @@ LANES = 4096
 """Windows worked on at once."""
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], list[int]]:
-    """Texts and toxicity labels of at most `per_class` documents a class."""
-    named = labels.filter(may_learn).select(F.col(f"`{key}`").alias("id"), "toxic").filter("id IS NOT NULL AND toxic IN (0, 1)")
-    order = Window.partitionBy("toxic").orderBy("_h", "id")
-    chosen = named.distinct().withColumn("_h", F.xxhash64("id")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).select("id", "toxic")
+def sample_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """(id, text, mark) of at most `per_class` documents a class, by hash of their key."""
+    named = labels.filter(may_learn).select(F.col(f"`{key}`").alias("id"), F.col("toxic").alias("mark")).filter("id IS NOT NULL AND mark IN (0, 1)")
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").collect()
-    return [r.text for r in rows], [r.toxic for r in rows]
+    return bounded_sample(named, texts, per_class)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, **names) -> tuple[list[str], list[int]]:
+    """Texts and toxicity labels of the sample."""
+    rows = sample_rows(docs, labels, may_learn, **names).orderBy("id").collect()
+    return [r.text for r in rows], [r.mark for r in rows]
+
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, **names) -> Network:
+    """The network that `train` makes of the sample."""
+
+    def parts(texts, toxic):
+        net = train(texts, toxic)
+        return net.lexicon, net.worth[:-1], net.w
+
+    lexicon, worth, weights = fitted(sample_rows(docs, labels, may_learn, **names), parts, "id")
+    net = Network(lexicon, worth)
+    net.w = weights
+    return net
 
 
 def window_table(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -77,7 +77,8 @@ def test_language_of_held_out_and_mixed_texts(spark, docs):
     odd = [(1, None), (2, ""), (3, "12 34 !"), (4, "… — €"), (5, "12 ka to mi katomi"), (None, "schung eit"), (7, speech(rng, "z", 50_000)), (7, "mi ka")]
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language_id.identify(docs(odd), model, docs(odd).columns).collect()}
     assert [got[i, t][0] for i, t in odd] == ["und"] * 4 + ["x", "y", "z", "x"] and all(got[i, t][1] == 0 for i, t in odd[:4])
-    assert sorted((r.doc_id for r in language_id.drop_unidentified(frame.unionByName(docs(odd)), learn).collect() if r.doc_id in (1, 2, 3, 4)), key=str) != []
+    rest = language_id.drop_unidentified(frame.filter("doc_id > 10").unionByName(docs(odd)), learn).collect()
+    assert {r.doc_id for r in rest if r.doc_id is None or r.doc_id <= 10} == {5, None, 7} and len(rest) == 289 + 4
     assert language_id.identify(docs(odd).limit(0), model, ["doc_id"]).collect() == []
     empty = language_id.train([], [])
     assert {r.lang_pred for r in language_id.identify(docs(odd), empty, ["doc_id"]).collect()} == {"und"}
@@ -206,4 +207,36 @@ def test_texts_of_several_languages_are_kept(spark, docs):
     kept = language_id.drop_unidentified(frame, learn)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {*range(300), *range(1000, 1005)}
     assert {r.doc_id for r in language_id.drop_unidentified(frame, F.lit(False)).collect()} == {*range(300), *range(1000, 1005)}
-    assert language_id.drop_unidentified(frame, learn, least=1.01).collect() == []
+
+
+def test_noise_is_dropped_and_languages_are_written(spark, docs):
+    rng = random.Random(21)
+
+    def told(lang, n):
+        common = {"x": ["the", "of"], "y": ["und", "der"], "z": ["le", "et"]}[lang]
+        return " ".join(w if rng.random() < 0.6 else rng.choice(common) for w in speech(rng, lang, n).split())
+
+    def noise():
+        return " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(rng.randrange(3, 9))) for _ in range(60))
+
+    rows = [(i, told("xyz"[i % 3], rng.randrange(25, 60))) for i in range(300)] + [(1000 + i, noise()) for i in range(60)]
+    label = F.when(F.col("doc_id") < 150, F.element_at(F.array(*[F.lit(x) for x in "xyz"]), (F.col("doc_id") % 3 + 1).cast("int")))
+    found = {r.doc_id: r.lang for r in language_id.drop_unidentified(docs(rows).withColumn("lang", label), F.lit(True)).collect()}
+    assert sum(i >= 1000 for i in found) <= 12
+    assert all(found.get(i) == "xyz"[i % 3] for i in range(300))
+
+
+def test_samples_are_bounded_in_any_table(spark):
+    from codeatlas.llm.base import bounded_sample, fitted
+
+    marked = spark.range(50_000).selectExpr("id", "CASE WHEN id % 500 = 0 THEN 'rare' WHEN id < 40000 THEN 'a' ELSE concat('k', id % 300) END AS mark")
+    marked = marked.unionByName(marked.filter("id < 20")).unionByName(spark.createDataFrame([(1, "zz")], "id long, mark string"))
+    texts = spark.range(50_000).selectExpr("id", "concat('t', id) AS text").unionByName(spark.createDataFrame([(1, "other")], "id long, text string"))
+    sample = bounded_sample(marked, texts, 40, kinds=10).collect()
+    sizes = {}
+    for r in sample:
+        sizes[r.mark] = sizes.get(r.mark, 0) + 1
+    assert len(sizes) == 10 and sizes["a"] == 40 and sizes["rare"] == 40 and len({r.id for r in sample}) == len(sample)
+    assert sorted(bounded_sample(marked.repartition(13), texts, 40, kinds=10).collect()) == sorted(sample)
+    assert fitted(bounded_sample(marked, texts, 40, kinds=10), lambda t, m: (len(t), m[0]), "mark", "id") == (len(sample), "a")
+    assert fitted(bounded_sample(marked.limit(0), texts, 40), lambda t, m: (t, m), "id") == ([], [])
