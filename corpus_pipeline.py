@@ -10,7 +10,7 @@ from codeatlas.session import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told, with that language."""
     return language_id.drop_unidentified(docs, F.lit(True))
 
 
