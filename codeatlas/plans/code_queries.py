@@ -80,6 +80,23 @@ def js_files(spark, sf):
     )
 
 
+def tsx_files(spark, sf):
+    """Patterns with quotes, slashes and backticks, divisions, templates in templates, and markup around calls."""
+    p, c1, c2, d, d1 = refs()
+    return _file(
+        parts(spark, sf), text("web/x", p, ".tsx"), "typescript",
+        text("export function view", p, "(s: string) {"),
+        text("  if (/[\"'/]/.test(s)) { inside_", c1, "(s); }"),
+        text("  const parts = s.split(/`/);"),
+        text("  after_", c2, "(s.replace(/https?:\\/\\//, own_", p, "(s)));"),
+        text("  const t = `a ${nested_", c1, "(`b } ${deep_", c2, "(s)} {`)} ghost(1) {`;"),
+        text("  const n = total / half_", p, "(s) / 2; // no(1)"),
+        text("  return <p title=\"it's {\" onClick={() => click_", p, "(s)}>Don't stop( {tell_", c1, "(s)} ghost(2) } <b/> // no(2)</p>;"),
+        "}",
+        text("tail_", p, "();"),
+    )
+
+
 def nested_py_files(spark, sf):
     p, c1, c2, d, d1 = refs()
     return _file(
@@ -293,6 +310,19 @@ C7_ROWS = [
     _row(JS, "call", "'first_' || c1", "'direct'", 3, caller="'inner' || p"), _row(JS, "call", "'second_' || c2", "'direct'", 9, caller="'outer' || p"),
     _row(JS, "call", "'last_' || p", "'direct'", 11, caller="'<module>'"),
 ]
+TSX, VIEW = "'web/x' || p || '.tsx'", "'view' || p"
+TSX_ROWS = [_row(TSX, "symbol", VIEW, "'function'", 1, "'(s: string)'", end=8).replace("'javascript'", "'typescript'")] + [
+    _row(TSX, "call", name, "'direct'", line, caller=caller).replace("'javascript'", "'typescript'")
+    for name, line, caller in [
+        ("'test'", 2, VIEW), ("'inside_' || c1", 2, VIEW), ("'split'", 3, VIEW), ("'after_' || c2", 4, VIEW), ("'replace'", 4, VIEW), ("'own_' || p", 4, VIEW),
+        ("'nested_' || c1", 5, VIEW), ("'deep_' || c2", 5, VIEW), ("'half_' || p", 6, VIEW), ("'click_' || p", 7, VIEW), ("'tell_' || c1", 7, VIEW), ("'tail_' || p", 9, "'<module>'"),
+    ]
+]
+
+
+@query("c7_patterns_and_markup", _records(" UNION ALL ".join(TSX_ROWS)))
+def c7_tsx(spark, sf):
+    return _shown(X.extract_trace_ts(tsx_files(spark, sf)))
 
 
 @query("c7_extract_trace_ts", _records(" UNION ALL ".join(C7_ROWS)))
