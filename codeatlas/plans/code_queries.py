@@ -29,7 +29,9 @@ PY, JAVA, SQL = "'py/fn_' || p || '.py'", "'java/Fn' || p || '.java'", "'models/
 def parts(spark, sf):
     n = table(spark, sf, "part").agg(F.count("*")).scalar()
     p = F.col("p_partkey")
-    return table(spark, sf, "part").select(
+    # The keys are dealt out before they become files: a small table is one partition, its files are work for all cores.
+    keys = table(spark, sf, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return keys.select(
         F.lit("shop").alias("repo"), p.alias("p"), ((p * p + 7) % n).alias("c1"), ((p * 31 + 5) % n).alias("c2"), (p % 4).alias("d")
     ).withColumn("d1", F.col("c1") % 4)
 
