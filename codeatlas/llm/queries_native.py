@@ -102,15 +102,19 @@ WITH l AS (
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 total AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 seen AS (SELECT source, t, count(*) AS k FROM (SELECT DISTINCT doc_id, source, t FROM l WHERE t <> '') GROUP BY source, t),
-common AS (SELECT source, t FROM seen JOIN total USING (source) WHERE k >= {MIN_PAGES} AND k > {RATIO} * n),
-marked AS (SELECT l.*, c.t IS NOT NULL AS bad FROM l LEFT JOIN common c ON l.source = c.source AND l.t = c.t),
-docs AS (
-  SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (bad) AS hits,
-         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS rest, string_agg(line, chr(10) ORDER BY pos) AS whole
-  FROM marked GROUP BY doc_id)
-SELECT doc_id, n_lines, CASE WHEN hits = n_lines THEN 0 ELSE hits END AS n_dropped,
-       sha256(CASE WHEN hits = n_lines THEN whole ELSE rest END) AS text_sha256
-FROM docs
+often AS (SELECT source, t FROM seen JOIN total USING (source) WHERE k >= {MIN_PAGES} AND k > {RATIO} * n),
+kinds AS (SELECT doc_id, source, min(substr(md5(t), 1, 15)) AS a, min(substr(md5(t), 17, 15)) AS b FROM l WHERE t <> '' GROUP BY doc_id, source),
+host AS (SELECT source, count(DISTINCT a) AS host_a, count(DISTINCT b) AS host_b FROM kinds GROUP BY source),
+line AS (
+  SELECT source, t, count(DISTINCT a) AS a, count(DISTINCT b) AS b
+  FROM (SELECT DISTINCT doc_id, source, t FROM l) JOIN often USING (source, t) JOIN kinds USING (doc_id, source) GROUP BY source, t),
+common AS (
+  SELECT source, t FROM line JOIN host USING (source)
+  WHERE (a >= {MIN_PAGES} AND a > {RATIO} * host_a) OR (b >= {MIN_PAGES} AND b > {RATIO} * host_b)),
+marked AS (SELECT l.*, c.t IS NOT NULL AS bad FROM l LEFT JOIN common c ON l.source = c.source AND l.t = c.t)
+SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (bad) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '')) AS text_sha256
+FROM marked GROUP BY doc_id
 """
 
 

@@ -1,5 +1,6 @@
 """Plain Python versions of the operators' contracts, to compare with."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -88,16 +89,23 @@ def without_site_lines(docs, ratio, least):
     def strip(line):
         return line.strip(" \t\x0b\x0c\r")
 
-    pages, seen = Counter(h for _, _, h in docs), Counter()
+    pages, seen, kinds = Counter(h for _, _, h in docs), Counter(), defaultdict(set)
     for _, t, h in docs:
-        seen.update((h, x) for x in {strip(x) for x in (t or "").split("\n")} if x)
+        distinct = {strip(x) for x in (t or "").split("\n")} - {""}
+        seen.update((h, x) for x in distinct)
+        for start in (0, 16):
+            kind = min((hashlib.md5(x.encode()).hexdigest()[start : start + 15] for x in distinct), default=None)
+            for x in [*distinct, None] if distinct else []:
+                kinds[h, x, start].add(kind)
+
+    def boilerplate(h, x):
+        often = h is not None and x != "" and seen[h, x] >= least and seen[h, x] > ratio * pages[h]
+        return often and any(len(kinds[h, x, s]) >= least and len(kinds[h, x, s]) > ratio * len(kinds[h, None, s]) for s in (0, 16))
+
     out = []
     for i, t, h in docs:
         lines = (t or "").split("\n")
-        full = [x for x in lines if strip(x)]
-        bad = [h is not None and seen[h, strip(x)] >= least and seen[h, strip(x)] > ratio * pages[h] and strip(x) != "" for x in lines]
-        if t is None or sum(bad) == len(full):
-            out.append((i, t, len(full), 0))
-        else:
-            out.append((i, "\n".join(x for x, b in zip(lines, bad) if not b), len(full), sum(bad)))
+        bad = [boilerplate(h, strip(x)) for x in lines]
+        rest = "\n".join(x for x, b in zip(lines, bad) if not b)
+        out.append((i, t if t is None else rest, len([x for x in lines if strip(x)]), sum(bad)))
     return out

@@ -55,6 +55,30 @@ def test_site_lines_agree_with_plain(spark, docs):
     assert sum(r.n_dropped for r in found.collect()) > 50
 
 
+def test_site_lines_of_copied_pages(spark, docs):
+    rng = random.Random(9)
+    rows = [(i, "\n".join(["menu", "cookie"] * (i % 2) + [f"own {i} {n}" for n in range(rng.randrange(1, 6))])) for i in range(203)]
+    copied = [f"line {n} of the copied page" for n in range(10)]
+    rows += [(1000 + i, "\n".join(copied)) for i in range(100)]
+    rows += [(2000 + i, "\n".join([*copied[:9], f"edited {i}"])) for i in range(50)]
+    rows += [(3000 + i, "menu\ncookie") for i in range(100)]
+    found = {r.doc_id: (r.text, r.n_dropped) for r in drop_site_lines(docs(rows, sources=("a",))).collect()}
+    given = dict(rows)
+    assert all(found[i] == (given[i], 0) for i in given if 1000 <= i < 3000)  # copies and near copies keep their lines
+    assert all(found[i] == ("", 2) for i in given if i >= 3000)  # pages of boilerplate keep none
+    assert all("menu" not in found[i][0] and found[i][1] == 2 * (i % 2) for i in range(203))
+    assert sorted((i, t, n, k) for i, t, n, k in plain.without_site_lines([(i, t, "a") for i, t in rows], 0.08, 5)) == sorted(
+        (r.doc_id, r.text, r.n_lines, r.n_dropped) for r in drop_site_lines(docs(rows, sources=("a",))).collect()
+    )
+
+
+def test_site_lines_with_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a\nb", "s", 7, 8, 9, "x")], "doc_id long, text string, source string, host long, _marks long, n_lines long, `a.b` string")
+    found = drop_site_lines(frame)
+    assert found.columns == ["doc_id", "text", "source", "host", "_marks", "a.b", "n_lines", "n_dropped"]
+    assert [tuple(r) for r in found.collect()] == [(1, "a\nb", "s", 7, 8, "x", 2, 0)]
+
+
 def test_targets_fill_up_and_are_near(spark, docs):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * int(rng.paretovariate(1.1) * 20))) for i in range(3000)] + [(None, "a b"), (None, "a b"), (5000, None), (5001, "")]
@@ -114,8 +138,23 @@ def test_list_entries_hold_from_their_day_to_the_next(spark, monkeypatch):
     ]
     captures = spark.createDataFrame([(i, u, t, "clash") for i, u, t, _ in seen], "page_id long, url string, fetched timestamp, verdict string")
     for limit in (200_000, 0):
-        monkeypatch.setattr(url_filters, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(url_filters, "BROADCAST_BYTES", limit)
         found = temporal_list_join(captures, entries)
         assert sorted(((r.page_id, r.url, r.fetched, r.verdict) for r in found.collect()), key=str) == sorted(seen, key=str)
     assert temporal_list_join(captures.limit(0), entries).collect() == []
     assert {r.verdict for r in temporal_list_join(captures, entries.limit(0)).collect()} == {"none"}
+
+
+def test_captures_of_any_time_meet_what_a_plain_search_finds(spark):
+    rng = random.Random(3)
+    moment = lambda: datetime(2024, rng.randrange(1, 4), rng.randrange(1, 4), rng.randrange(3))  # noqa: E731: many on one day, many ties
+    rows = [(rng.choice("lm"), rng.choice(["block", "allow"]), "host", f"h{rng.randrange(3)}.org", rng.choice(["add", "add", "remove"]), moment()) for _ in range(300)]
+    seen = [(i, f"http://h{rng.randrange(4)}.org/", moment()) for i in range(300)] + [(900, "http://h0.org/", datetime(9999, 1, 1)), (901, "http://h0.org/", datetime(1970, 1, 2)), (None, "http://h1.org/", datetime(2999, 1, 1))]
+    spans = [tuple(r) for r in validity_intervals(spark.createDataFrame(rows, ENTRIES)).collect()]
+    expected = []
+    for i, url, t in seen:
+        active = [v for _, v, _, p, a, b in spans if url == f"http://{p}/" and a <= t and (b is None or t < b)]
+        expected.append((i, url, t, active.count("block"), active.count("allow")))
+    captures = spark.createDataFrame(seen, "page_id long, url string, fetched timestamp")
+    found = temporal_list_join(captures, spark.createDataFrame(rows, ENTRIES))
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=str) == sorted(expected, key=str)
