@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
@@ -101,9 +103,10 @@ def parse(page: str) -> Node:
 
 
 class Shape:
-    """A tree with equal neighbours put together: `label`, the real nodes, child shapes, a number in reading order."""
+    """A tree with equal neighbours put together: `label`, `spelled`, the real nodes, child shapes, a number in reading order, and
+    the number of shapes in it."""
 
-    __slots__ = ("label", "nodes", "kids", "number")
+    __slots__ = ("label", "spelled", "nodes", "kids", "number", "size")
 
 
 def shape_of(root: Node) -> tuple[Shape, str, list[Shape]]:
@@ -129,7 +132,7 @@ def shape_of(root: Node) -> tuple[Shape, str, list[Shape]]:
         text = f"{node.label}({','.join(parts)})"
         spelled[id(node)] = text if len(text) < 4000 else f"{node.label}#{hash(text)}"
     top = Shape()
-    top.label, top.nodes = root.label, [root]
+    top.label, top.spelled, top.nodes = root.label, spelled[id(root)], [root]
     found, todo = [], [top]
     while todo:
         shape = todo.pop()
@@ -146,39 +149,112 @@ def shape_of(root: Node) -> tuple[Shape, str, list[Shape]]:
                     spot, last = spot + 1, s
                     if spot == len(shape.kids):
                         new = Shape()
-                        new.label, new.nodes = kid.label, []
+                        new.label, new.spelled, new.nodes = kid.label, s, []
                         shape.kids.append(new)
                 shape.kids[spot].nodes.append(kid)
         todo.extend(reversed(shape.kids))
+    for shape in reversed(found):
+        shape.size = 1 + sum(kid.size for kid in shape.kids)
     return top, spelled[id(root)], found
 
 
-def align(a: Shape, b: Shape, depth: int = 60) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the largest set of pairs of nodes (numbers in a and b) with equal labels that keeps parents and order."""
+def align(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: the largest set of pairs of nodes (numbers in a and b) with equal labels that keeps parents and order.
+
+    Sizes of matchings are found once for each pair of spellings, children before parents and without recursion, so trees may
+    have any depth.  Equal children at the start and end of two lists are paired at once; what lies between is matched row by
+    row, of which only every so many are kept and the others made again on the way back, so memory follows the length of
+    a list times the root of it.
+    """
     if a.label != b.label:
         return 0, []
-    pairs, total = [(a.number, b.number)], 1
-    n, m = len(a.kids), len(b.kids)
-    if not n or not m or not depth:
-        return total, pairs
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    held: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score, inner = align(a.kids[i - 1], b.kids[j - 1], depth - 1)
-            held[i, j] = score, inner
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + score)
-    i, j = n, m
-    while i and j:
-        score, inner = held[i, j]
-        if score and best[i][j] == best[i - 1][j - 1] + score:
-            pairs += inner
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return total + best[n][m], pairs
+    scores: dict[tuple[str, str], int] = {}
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        if x.spelled == y.spelled:
+            scores[x.spelled, y.spelled] = x.size
+        if (x.spelled, y.spelled) in scores:
+            stack.pop()
+            continue
+        start, end = _equal_ends(x.kids, y.kids)
+        left, right = x.kids[start : len(x.kids) - end], y.kids[start : len(y.kids) - end]
+        others = {k.spelled: k for k in right}.values()
+        missing = [(p, q) for p in {k.spelled: k for k in left}.values() for q in others if p.label == q.label and (p.spelled, q.spelled) not in scores]
+        if missing:
+            stack.extend(missing)
+            continue
+        scores[x.spelled, y.spelled] = 1 + sum(k.size for k in x.kids[:start] + x.kids[len(x.kids) - end :]) + (_Rows(left, right, scores).score if left and right else 0)
+        stack.pop()
+    pairs, stack = [], [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        pairs.append((x.number, y.number))
+        n, m = len(x.kids), len(y.kids)
+        start, end = _equal_ends(x.kids, y.kids)
+        stack.extend(zip(x.kids[:start] + x.kids[n - end :], y.kids[:start] + y.kids[m - end :]))
+        if min(n, m) > start + end:
+            stack.extend(_Rows(x.kids[start : n - end], y.kids[start : m - end], scores).matched())
+    return scores[a.spelled, b.spelled], pairs
+
+
+def _equal_ends(left: list[Shape], right: list[Shape]) -> tuple[int, int]:
+    """How many children at the start, and of the others at the end, are spelled alike in both lists."""
+    most, start, end = min(len(left), len(right)), 0, 0
+    while start < most and left[start].spelled == right[start].spelled:
+        start += 1
+    while end < most - start and left[-1 - end].spelled == right[-1 - end].spelled:
+        end += 1
+    return start, end
+
+
+class _Rows:
+    """Rows of the table of best matchings of the first i of `left` with the first j of `right`, `score` in the last corner."""
+
+    def __init__(self, left: list[Shape], right: list[Shape], scores: dict[tuple[str, str], int]):
+        self.left, self.right, self.scores, self.weights = left, right, scores, {}
+        self.step = math.isqrt(len(left)) + 1
+        row = np.zeros(len(right) + 1, np.int32)
+        self.kept = [row]
+        for i in range(1, len(left) + 1):
+            row = self.following(row, i)
+            if i % self.step == 0:
+                self.kept.append(row)
+        self.score = int(row[-1])
+
+    def weight(self, i: int) -> np.ndarray:
+        """Sizes of the matchings of child i (from 1) with each of the right."""
+        mine = self.left[i - 1]
+        if mine.spelled not in self.weights:
+            if len(self.weights) * len(self.right) > 1 << 20:
+                self.weights.clear()
+            found = (x.size if x.spelled == mine.spelled else self.scores.get((mine.spelled, x.spelled), 0) for x in self.right)
+            self.weights[mine.spelled] = np.fromiter(found, np.int32, len(self.right))
+        return self.weights[mine.spelled]
+
+    def following(self, row: np.ndarray, i: int) -> np.ndarray:
+        out = row.copy()
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + self.weight(i)), out=out[1:])
+        return out
+
+    def matched(self) -> list[tuple[Shape, Shape]]:
+        found, j = [], len(self.right)
+        for block in range(len(self.kept) - 1, -1, -1):
+            first = block * self.step
+            rows = [self.kept[block]]
+            for i in range(first + 1, min(first + self.step, len(self.left)) + 1):
+                rows.append(self.following(rows[-1], i))
+            i = len(rows) - 1
+            while i and j:
+                size = self.weight(first + i)[j - 1]
+                if size and rows[i][j] == rows[i - 1][j - 1] + size:
+                    i, j = i - 1, j - 1
+                    found.append((self.left[first + i], self.right[j]))
+                elif rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return found
 
 
 def line_part(node: Node) -> list[Node]:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,46 @@ def test_trees_are_aligned_by_labels_and_order():
     assert main_text(parse("<main>a <i>b</i>c<div class=AdBox>no</div> 1 < 2 <!-- x --></main>z"), set()) == "a bc 1 < 2"
 
 
+def plain_matching(a, b):
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids, 1):
+        for j, y in enumerate(b.kids, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_matchings_of_random_trees_are_largest_and_keep_order():
+    rng = random.Random(11)
+
+    def tree(depth):
+        tag = rng.choice(["div", "ul", "dl"])
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(rng.randrange(5 if depth else 1)))}</{tag}>"
+
+    for _ in range(150):
+        (a, _, left), (b, _, right) = (shape_of(parse(tree(3) + tree(2))) for _ in range(2))
+        score, pairs = align(a, b)
+        assert score == len(pairs) == plain_matching(a, b)
+        assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == score and all(left[x].label == right[y].label for x, y in pairs)
+        assert [y for _, y in sorted(pairs)] == sorted(y for _, y in pairs)  # numbers are in reading order
+        up = [{k.number: s.number for s in shapes for k in s.kids} for shapes in (left, right)]
+        assert all((up[0][x], up[1][y]) in set(pairs) for x, y in pairs if x in up[0])
+
+
+def test_deep_and_wide_pages_are_aligned_in_little_memory():
+    deep = shape_of(parse("<div>" * 3000 + "<p>x"))[0]
+    other = shape_of(parse("<div>" * 3000 + "<p>x<ul><li>y"))[0]
+    assert align(deep, other)[0] == deep.size
+    wide = shape_of(parse("<i></i><p><b></b></p>" * 2500 + "<h1>"))[0]
+    most = shape_of(parse("<h2></h2>" + "<p><b></b></p><i></i>" * 2500 + "<h3>"))[0]
+    tracemalloc.start()
+    score, pairs = align(wide, most)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert score == len(pairs) == 1 + 2500 * 3 - 1 and peak < 100 << 20
+
+
 def test_only_names_of_attributes_mark_side_parts():
     for attributes in ("style='overflow:hidden'", 'title="a hidden place"', 'href="?id=search"', "href=?id=search", "data-role=banner", "data-id='ads'", "aria-label='role=search'", "alt='x' data-hidden aria-hidden=false"):
         assert main_text(parse(f"<body {attributes}><div {attributes}><article {attributes}><p {attributes}>kept</p></article></div></body>"), set()) == "kept", attributes
