@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codeatlas.llm.base import text_batches
 from codeatlas.llm.connected import components
-from codeatlas.llm.minhash_kernels import linked_in_block, set_rows, sketch_rows
+from codeatlas.llm.minhash_kernels import likely_pairs, set_rows, sketch_rows
 from codeatlas.llm.textscan import release
 from codeatlas.session import cut
 
@@ -14,36 +14,39 @@ BANDS = 45
 ROWS = 6
 """45 bands of 6 bins: two sets of similarity 0.8 share no band with probability (1 - 0.8**6)**45 = 1e-6; of 0.3, with 0.97."""
 BLOCK = 128
+LUMP = 2048
+"""Rows of small buckets that one call of Python takes together."""
 SALTS = 16
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every document: which are linked by near copies, directly or over others.
 
-    Sets are the distinct shingles of k words (A-Z in lower case); a text of fewer words is one shingle, no word gives the
-    empty set, linked with nothing.  Two documents are linked if 100 * shared >= percent * all shingles of both.  The
+    Sets are the distinct shingles of k words (A-Z in lower case), held as 50-bit hashes; a text of fewer words is one shingle, no
+    word gives the empty set, linked with nothing.  Two documents are linked if 100 * shared >= percent * all shingles of both.  The
     component is named by its least key, which alone is kept.
 
     1. Every text is sketched; equal sets become one class, so exact copies cost no pairs.
     2. Classes that share a band are candidates.  In each band bucket all are compared with one leader, the class
        that shares most buckets, on whole sets.  That links nearly all of a group of copies, in linear work.
-    3. Buckets that still hold several components are joined to clusters.  All that is not in a cluster's largest component
-       is compared with all of the cluster, in blocks of `BLOCK` by `BLOCK` sets.  So no candidate pair between different
-       components goes unchecked, and nothing is capped.
+    3. In buckets that still hold several components, all that is not in the largest of them is compared with the whole bucket, in
+       blocks of `BLOCK` by `BLOCK` sketches.  Pairs of different components whose sizes allow a link and whose sketches agree in as many
+       bins as linked sets do but for a chance of 1e-12 are confirmed on whole sets.  Nothing is capped, no pair that shares
+       no bucket is looked at, and sets travel only for likely pairs.
 
     Keys are whole numbers.  Null text is an empty set; a null key gets a null component and is not kept; repeated rows share
     their key and component (each is told, `kept` alike); an empty frame gives no rows; other columns are ignored.
     """
     release()  # the driver may have trained a model before
     named = text_batches(docs).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketched = cut(named.mapInArrow(sketch_rows(bands, rows, k), "id long, n long, f1 long, f2 long, bands array<long>"))
+    sketched = cut(named.mapInArrow(sketch_rows(bands, rows, k), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary"))
     classes = cut(
-        sketched.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+        sketched.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     )
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = cut(buckets.join(shared, "bucket"))
-    roots = _linked(named, members, k, percent)
+    roots = _linked(named, classes.select("rep", "n", "sketch"), members, k, percent, bands * rows)
     copied = classes.filter("copies > 1").select("f1", "f2", "n", "rep", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
     placed = (
         sketched.select("id", "n", "f1", "f2", F.pmod("id", F.lit(SALTS)).cast("int").alias("salt")).join(copied, ["f1", "f2", "n", "salt"], "left")
@@ -67,44 +70,49 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     return rest.join(twice, key, "left_anti").select(*docs.columns).unionByName(rest.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates([key]))
 
 
-def _linked(named: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, root) of the classes in shared buckets (rep, bucket, members)."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets (id, shingles) that are linked."""
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
+    common = F.size(F.array_intersect("s", "t"))
+    compared = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("c"), (F.size("s") + F.size("t")).alias("both"))
+    return cut(compared.filter(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("both") - F.col("c"))).select("a", "b"))
+
+
+def _linked(named: DataFrame, classes: DataFrame, members: DataFrame, k: int, percent: int, bins: int) -> DataFrame:
+    """(node, root) of the classes (rep, n, sketch) in shared buckets (rep, bucket, members)."""
     ids = cut(members.groupBy("rep").agg(F.sum("members").alias("weight")))
     sets = cut(
         named.join(ids.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(set_rows(k), "id long, shingles array<long>").dropDuplicates(["id"])
     )
     leaders = members.join(ids, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"))
     led = members.join(leaders.select("bucket", (-F.col("best.minus")).alias("leader")), "bucket")
-    stars = led.filter("rep != leader").select("rep", "leader").distinct()
-    one = sets.select(F.col("id").alias("rep"), F.col("shingles").alias("s"))
-    two = sets.select(F.col("id").alias("leader"), F.col("shingles").alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    compared = stars.join(one, "rep").join(two, "leader").select("rep", "leader", common.alias("c"), (F.size("s") + F.size("t")).alias("both"))
-    links = cut(compared.filter(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("both") - F.col("c"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    first = components(links)
+    stars = led.filter("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    first = components(_confirmed(stars, sets, percent))
 
     parted = members.select("bucket", "rep").join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("part"))
-    open_buckets = parted.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("head")).filter("low != high")
-    unsettled = cut(parted.join(open_buckets.select("bucket", "head"), "bucket"))
-    if unsettled.isEmpty():
-        return first
-    clusters = components(unsettled.select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    inside = cut(unsettled.select("rep", "part").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "rep"))
-    parts = inside.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
-    shape = parts.groupBy("cluster").agg(F.max(F.struct("size", "part")).alias("main"), F.sum("size").alias("size")).select(
-        "cluster", F.col("main.part").alias("main"),
+    parts = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("size"))
+    shape = parts.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("main"), F.sum("size").alias("size")).filter("size > main.size").select(
+        "bucket", F.col("main.part").alias("main"),
         F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.size")) / BLOCK).cast("int").alias("chunks"),
     )
-    full = inside.join(shape, "cluster").join(sets.withColumnRenamed("id", "rep"), "rep")
-    spread = F.xxhash64("rep")
-    rows = full.select(
-        "cluster", F.pmod(spread, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.lit(False).alias("asked"), F.col("rep").alias("id"), "part", "shingles",
+    inside = cut(parted.join(shape, "bucket"))
+    rows = inside.count()
+    if not rows:
+        return first
+    full = inside.join(classes, "rep").withColumnRenamed("rep", "id")
+    spread, small = F.xxhash64("id"), F.col("blocks") == 1
+    columns = ["bucket", "id", "part", "n", "sketch"]
+    dealt = full.select(
+        *columns, F.lit(False).alias("asked"), small.alias("small"),
+        F.pmod(spread, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
     ).unionByName(full.filter("part != main").select(
-        "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spread, F.col("chunks")).cast("int").alias("chunk"),
-        F.lit(True).alias("asked"), F.col("rep").alias("id"), "part", "shingles",
+        *columns, F.lit(True).alias("asked"), small.alias("small"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spread, F.col("chunks")).cast("int").alias("chunk"),
     ))
-    more = rows.groupBy("cluster", "block", "chunk").applyInPandas(linked_in_block(percent), "a long, b long")
+    lump = F.when(F.col("small"), F.pmod(F.xxhash64("bucket"), F.lit(rows // LUMP + 1))).otherwise(F.col("bucket"))
+    likely = dealt.groupBy("small", lump.alias("lump"), "block", "chunk").applyInPandas(likely_pairs(bins, percent), "a long, b long").distinct()
+    more = _confirmed(cut(likely), sets, percent)
     known = inside.select("rep", "part").distinct()
     joined = more.join(known.select(F.col("rep").alias("a"), F.col("part").alias("p")), "a").join(known.select(F.col("rep").alias("b"), F.col("part").alias("q")), "b")
     second = components(joined.select(F.col("p").alias("a"), F.col("q").alias("b")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterator
 
@@ -73,7 +74,8 @@ def similarity_sketches(owner: np.ndarray, hashes: np.ndarray, n: int, bins: int
 
 
 def sketch_rows(bands: int, rows: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (id, text) to (id, n, f1, f2, bands): size of the shingle set, 128 bits that tell the set, a key per band."""
+    """From (id, text) to (id, n, f1, f2, bands, sketch): size of the shingle set, 128 bits that tell the set, a key per band, and
+    the last byte of every bin."""
 
     def run(batches):
         for part in slices(batches, "text", SLICE_BYTES):
@@ -93,9 +95,10 @@ def sketch_rows(bands: int, rows: int, k: int) -> Callable[[Iterator[pa.RecordBa
                     keys = mix(keys * np.uint64(0xD6E8FEB86659FD93 | 1) + sketch[:, :, i])
                 flat = pa.array(keys.astype(np.uint64).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), flat)
+                last = (sketch.reshape(n, bands * rows) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists],
-                    names=["id", "n", "f1", "f2", "bands"],
+                    [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists, pa.array([x.tobytes() for x in last], pa.binary())],
+                    names=["id", "n", "f1", "f2", "bands", "sketch"],
                 )
 
     return run
@@ -116,27 +119,28 @@ def set_rows(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def linked_in_block(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Links (a, b) between the asked sets and the members of one block, by counting shared shingles over an inverted list."""
+def likely_bins(bins: int, percent: int) -> int:
+    """Fewest equal bins two sets of this similarity have but for a chance of 1e-12 (Hoeffding's bound)."""
+    return max(0, math.ceil(bins * (percent / 100 - math.sqrt(math.log(1e12) / (2 * bins)))))
+
+
+def likely_pairs(bins: int, percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs (a, b) that share a bucket, of an asked member and one of another part, whose sizes allow a link and whose sketches
+    have enough equal bins.  Rows are (bucket, asked, id, part, n, sketch) of one or more buckets, or of a block of one."""
+    least = likely_bins(bins, percent)
 
     def run(frame):
-        members, asked = frame[~frame.asked], frame[frame.asked]
         pairs = []
-        if len(members) and len(asked):
-            sets = [np.asarray(x, np.int64) for x in members.shingles]
-            sizes = np.array([len(x) for x in sets])
-            terms = np.concatenate(sets)
-            order = np.argsort(terms, kind="stable")
-            terms, holder = terms[order], np.repeat(np.arange(len(sets)), sizes)[order]
-            ids, groups = members.id.to_numpy(), members.part.to_numpy()
-            for mine, group, shingles in zip(asked.id, asked.part, asked.shingles):
-                shingles = np.asarray(shingles, np.int64)
-                low, high = np.searchsorted(terms, shingles, "left"), np.searchsorted(terms, shingles, "right")
-                count = high - low
-                place = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                shared = np.bincount(holder[place], minlength=len(sets))
-                hit = (100 * shared >= percent * (sizes + len(shingles) - shared)) & (groups != group)
-                pairs += [(mine, other) for other in ids[hit]]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        for _, group in frame.groupby("bucket", sort=False):
+            members, asked = group[~group.asked], group[group.asked]
+            if not len(members) or not len(asked):
+                continue
+            sketches = np.frombuffer(b"".join(members.sketch), np.uint8).reshape(len(members), bins)
+            ids, parts, sizes = members.id.to_numpy(), members.part.to_numpy(), members.n.to_numpy()
+            for mine, part, n, sketch in zip(asked.id, asked.part, asked.n, asked.sketch):
+                fits = np.flatnonzero((parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                equal = (sketches[fits] == np.frombuffer(sketch, np.uint8)).sum(1)
+                pairs += [(mine, other) if mine < other else (other, mine) for other in ids[fits[equal >= least]]]
+        return pd.DataFrame(sorted(set(pairs)), columns=["a", "b"], dtype="int64")
 
     return run

@@ -2,9 +2,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from codeatlas.llm import minhash, minhash_kernels
 from codeatlas.llm.connected import components
 from codeatlas.llm.minhash import drop_near_duplicates, near_duplicates
-from codeatlas.llm.minhash_kernels import linked_in_block, shingle_sets, similarity_sketches
+from codeatlas.llm.minhash_kernels import likely_pairs, shingle_sets, similarity_sketches
 from codeatlas.llm.substring_dedup import drop_repeated_windows
 from tests.llm import plain
 
@@ -49,11 +50,16 @@ def test_sketches_fill_and_estimate():
     assert abs((sketch[0] == sketch[1]).mean() - 240 / 360) < 0.1
 
 
-def test_blocks_find_links_between_groups():
+def test_likely_pairs_share_a_bucket_and_differ_in_part():
     import pandas as pd
 
-    frame = pd.DataFrame({"id": [1, 2, 3], "part": [1, 2, 3], "asked": [False, False, True], "shingles": [[1, 2, 3, 4, 5], [7, 8], [1, 2, 3, 4]]})
-    assert linked_in_block(80)(frame).values.tolist() == [[3, 1]]
+    rows = [  # bucket, asked, id, part, n, sketch
+        (1, False, 1, 1, 10, b"abcdefgh"), (1, False, 2, 2, 10, b"abcdefgx"), (1, False, 3, 3, 20, b"abcdefgh"), (1, True, 2, 2, 10, b"abcdefgx"), (1, True, 3, 3, 20, b"abcdefgh"),
+        (2, False, 4, 4, 10, b"abcdefgh"), (2, True, 5, 4, 10, b"abcdefgh"), (3, True, 6, 6, 10, b"abcdefgh"),
+    ]
+    frame = pd.DataFrame(rows, columns=["bucket", "asked", "id", "part", "n", "sketch"])
+    assert likely_pairs(8, 80)(frame).values.tolist() == [[1, 2]]
+    assert likely_pairs(8, 80)(frame.iloc[:0]).values.tolist() == []
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -125,3 +131,20 @@ def test_a_frequent_run_among_varying_neighbours_is_shared_out(spark, docs, monk
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in drop_repeated_windows(docs(rows).repartition(3)).collect()}
     assert found == plain.kept_words(rows)
     assert largest[0][0] < 0.1 * largest[0][1]
+
+
+def test_pages_of_one_template_are_compared_in_their_buckets_only(spark, docs, monkeypatch):
+    rng = random.Random(21)
+    shared = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(shared + [f"o{rng.randrange(10**6)}" for _ in range(60)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 600, 50)]
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    seen = []
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, sets, percent, real=minhash._confirmed: seen.append(pairs.count()) or real(pairs, sets, percent))
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), k=2).collect()}
+    assert all(found[i] == i - 1000 if i >= 1000 else found[i] == i for i in found)
+    assert len(seen) == 2 and seen[1] <= 12  # of 187,000 pairs, those that sketches can't tell from copies
+
+
+def test_bound_of_equal_bins():
+    assert minhash_kernels.likely_bins(270, 80) == 155 and minhash_kernels.likely_bins(4, 80) == 0
