@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeatlas.llm.base import digest, once
 from codeatlas.session import cut
@@ -55,10 +55,10 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     least = [F.array_min(F.transform("_md5", lambda x: F.substring(x, start, 15))) for start in (1, 17)]
     classes = F.array(*[F.struct(F.lit(i).alias("way"), F.conv(m, 16, 10).cast("long").alias("class")) for i, m in enumerate(least)])
     seen = told.select("host", "_hits", F.explode(classes).alias("c")).select("host", "c.way", "c.class", F.explode("_hits").alias("hit"))
-    each = cut(seen.select("host", "hit.h1", "hit.h2", "way", "class").distinct().groupBy("host", "h1", "h2", "way").agg(F.count(F.lit(1)).alias("classes")))
-    of_host = each.filter("h1 IS NULL").select("host", "way", F.col("classes").alias("host_classes"))
-    differing = each.filter(F.col("h1").isNotNull() & (F.col("classes") >= min_pages)).join(of_host, ["host", "way"])
-    return differing.filter(F.col("classes") > F.lit(ratio) * F.col("host_classes")).select("host", "h1", "h2").distinct()
+    each = seen.select("host", "hit.h1", "hit.h2", "way", "class").distinct().groupBy("host", "h1", "h2", "way").agg(F.count(F.lit(1)).alias("classes"))
+    of_host = F.max(F.when(F.col("h1").isNull(), F.col("classes"))).over(Window.partitionBy("host", "way"))  # a host's few common lines
+    differing = each.withColumn("_host_classes", of_host).filter(F.col("h1").isNotNull() & (F.col("classes") >= min_pages))
+    return differing.filter(F.col("classes") > F.lit(ratio) * F.col("_host_classes")).select("host", "h1", "h2").distinct()
 
 
 def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
