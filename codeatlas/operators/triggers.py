@@ -62,9 +62,12 @@ def write_events(files: DataFrame) -> DataFrame:
 
 
 def fires(writes: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(repo, src, dst, timing): which object's writes fire which trigger; an UPDATE that sets none of the named columns fires nothing."""
+    """(repo, src, dst, timing): which object's writes fire which trigger; an UPDATE that sets none of the named columns fires nothing.
+
+    Both sides are taken from texts, whose rows Catalyst can't foresee; it would broadcast the triggers of any number of files.
+    """
     when = triggers.select("repo", "table_name", "operation", F.col("columns").alias("only"), F.col("name").alias("dst"), "timing")
-    hit = writes.join(when, ["repo", "table_name", "operation"]).filter((F.size("only") == 0) | F.arrays_overlap("only", "columns"))
+    hit = writes.join(when.hint("merge"), ["repo", "table_name", "operation"]).filter((F.size("only") == 0) | F.arrays_overlap("only", "columns"))
     return hit.select("repo", F.col("name").alias("src"), "dst", "timing").distinct()
 
 
@@ -73,7 +76,8 @@ def trigger_chains(fired: DataFrame, calls: DataFrame | None = None) -> DataFram
 
     Rounds alternate between writes and firings: what a trigger writes fires the next ones.  With `calls` (repo, src, dst), an object also sets off what
     the objects it calls write.  `firings` is the least number of triggers in a row, `path` their names (the first in order, of several), and `cyclic`
-    tells the triggers that set themselves off again, where a database may never come to rest.  A round moves only what is new.
+    tells the triggers that set themselves off again, where a database may never come to rest.  A round moves only what is new,
+    and nothing is broadcast: files of names are far smaller than their rows.
     """
     steps = fired.select("repo", "src", "dst", F.lit(1).alias("fires"))
     if calls is not None:
@@ -83,18 +87,18 @@ def trigger_chains(fired: DataFrame, calls: DataFrame | None = None) -> DataFram
     now = cut(steps.select("repo", F.col("src").alias("name")).distinct().select("repo", "name", F.col("name").alias("at"), nothing.alias("path")))
     seen: list[DataFrame] = []
     while not now.isEmpty():
-        moved = now.withColumnRenamed("at", "src").join(steps, ["repo", "src"])
+        moved = now.withColumnRenamed("at", "src").join(steps.hint("merge"), ["repo", "src"])
         path = F.when(F.col("fires") == 1, F.concat("path", F.array("dst"))).otherwise(F.col("path"))
         found = moved.groupBy("repo", "name", F.col("dst").alias("at")).agg(F.min(F.struct(F.size(path).alias("n"), path.alias("path"))).alias("m"))
         if seen:  # a way that was found before stays, unless this one has fewer firings
             best = _union(seen).groupBy("repo", "name", "at").agg(F.min(F.size("path")).alias("known"))
-            found = found.join(best, ["repo", "name", "at"], "left").filter("known IS NULL OR m.n < known")
+            found = found.join(best.hint("merge"), ["repo", "name", "at"], "left").filter("known IS NULL OR m.n < known")
         now = cut(found.select("repo", "name", "at", F.col("m.path").alias("path")))
         seen = _folded([*seen, now])
     every = _union(seen).groupBy("repo", "name", "at").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m")) if seen else now.withColumn("m", F.struct(F.lit(0).alias("n"), "path"))
     names = fired.select("repo", F.col("dst").alias("at")).distinct()
-    hits = cut(every.join(names, ["repo", "at"], "left_semi").filter("m.n > 0"))
+    hits = cut(every.join(names.hint("merge"), ["repo", "at"], "left_semi").filter("m.n > 0"))
     loops = hits.filter("name = at").select("repo", "at", F.lit(True).alias("_loop"))
-    return hits.join(loops, ["repo", "at"], "left").select(
+    return hits.join(loops.hint("merge"), ["repo", "at"], "left").select(
         "repo", "name", F.col("at").alias("trigger"), F.col("m.n").alias("firings"), F.col("m.path").alias("path"), F.coalesce("_loop", F.lit(False)).alias("cyclic")
     )
