@@ -212,8 +212,14 @@ ch AS (
 """
 
 
+CHANGES_A_TASK = 5_000
+
+
 def diffs(spark, sf):
     k = F.col("p_partkey")
+    # A change is some hundred times its key: keys are dealt out before they become texts, so a task has so many texts at any size of the table.
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
+    part = part.repartition(max(spark.sparkContext.defaultParallelism, -(-part.count() // CHANGES_A_TASK)))
     header = lambda f: F.concat(F.lit("diff --git a/"), f, F.lit(" b/"), f, F.lit("\n--- a/"), f, F.lit("\n+++ b/"), f, F.lit("\n@@ -1 +1 @@"))
     names = F.transform(
         F.sequence(F.lit(0).cast("long"), k % 40),
@@ -223,7 +229,7 @@ def diffs(spark, sf):
         F.array_join(F.transform(names, header), "\n"), F.lit("\n same\n"),
         F.repeat(text("+new ", k, "\n"), F.col("p_size")), F.repeat(F.lit("-old\n"), ((k * 13) % 90).cast("int")), F.lit(" end"),
     )
-    return table(spark, sf, "part").select(F.col("p_brand").alias("repo"), k.cast("string").alias("change_id"), body.alias("text"))
+    return part.select(F.col("p_brand").alias("repo"), k.cast("string").alias("change_id"), body.alias("text"))
 
 
 def diff_rows(spark, sf):

@@ -297,3 +297,14 @@ def test_a_key_with_a_third_of_all_requests(spark):
         age = second - max(before) if before else None
         hit = age is not None and age <= 60
         assert found[i] == (hit, float(age) if hit else None)
+
+
+def test_diffs_are_dealt_out_by_their_number(spark, tmp_path):
+    """A small table of keys is one partition, but its changes are a hundred times as large."""
+    from codeatlas.plans import config_queries as Q
+
+    part = spark.range(25_001).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "CAST(id % 3 AS int) AS p_size").coalesce(1)
+    part.unionByName(part.limit(1)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = Q.diffs(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 6
+    assert found.count() == 25_002 and found.select("change_id").distinct().count() == 25_001
