@@ -170,7 +170,7 @@ def _trim(edges: DataFrame, scope: list[str], peels: int = 3, worth: float = 0.1
         for _ in range(peels):  # several peels per written table keep the number of jobs low
             entered = kept.select(*scope, F.col("dst").alias("src")).distinct()
             left = kept.select(*scope, F.col("src").alias("dst")).distinct()
-            kept = kept.join(entered, [*scope, "src"], "left_semi").join(left, [*scope, "dst"], "left_semi")
+            kept = kept.join(entered.hint("merge"), [*scope, "src"], "left_semi").join(left.hint("merge"), [*scope, "dst"], "left_semi")
         kept = cut(kept)
         now = kept.count()
         if now >= size * (1 - worth) or now == 0:
@@ -197,7 +197,7 @@ def _colours(edges: DataFrame, hops: int = 8) -> DataFrame:
         grown = labels.withColumn("old", F.col("label"))
         for _ in range(hops):
             grown = (
-                steps.join(grown, ["way", "id"]).groupBy("way", F.col("next").alias("id"))
+                steps.join(grown.hint("merge"), ["way", "id"]).groupBy("way", F.col("next").alias("id"))
                 .agg(F.max("label").alias("label"), F.max(F.when(F.col("stay"), F.col("old"))).alias("old"))
             )
         grown = cut(grown)
@@ -207,7 +207,7 @@ def _colours(edges: DataFrame, hops: int = 8) -> DataFrame:
                 F.max(F.when(F.col("way") == 1, F.col("label"))).alias("behind"),
             )
         over = grown.select("way", F.col("id").alias("label"), F.col("label").alias("further"))
-        labels = grown.drop("old").join(over, ["way", "label"]).select("way", "id", F.greatest("label", "further").alias("label"))
+        labels = grown.drop("old").join(over.hint("merge"), ["way", "label"]).select("way", "id", F.greatest("label", "further").alias("label"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -219,7 +219,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     another round, each of which settles at least the component of the largest number left.
 
     Nodes are numbered once in a written table, so the numbers are fixed; the loop then moves eight bytes per node
-    instead of ids and aggregates by hash.
+    instead of ids and aggregates by hash.  Both sides of every join are as large as the graph, and there are many joins, so none
+    is broadcast: the driver would hold each in turn, however small its file.
     """
     pairs = cut(edges.select("repo", "src", "dst").distinct())
     loops = pairs.filter("src = dst").select("repo", F.col("src").alias("node"), F.col("src").alias("component"))
@@ -228,7 +229,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     names = cut(ends.distinct().withColumn("id", F.monotonically_increasing_id()))
     a = names.select("repo", F.col("node").alias("src"), F.col("id").alias("a"))
     b = names.select("repo", F.col("node").alias("dst"), F.col("id").alias("b"))
-    rest = cut(core.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    rest = cut(core.join(a.hint("merge"), ["repo", "src"]).join(b.hint("merge"), ["repo", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     found = []
     while not rest.isEmpty():
         colour = cut(_colours(rest))
@@ -236,14 +237,14 @@ def cycles(edges: DataFrame) -> DataFrame:
         open_ids = colour.filter("ahead <> behind")
         a = open_ids.select(F.col("id").alias("src"), F.struct("ahead", "behind").alias("a"))
         b = open_ids.select(F.col("id").alias("dst"), F.struct("ahead", "behind").alias("b"))
-        rest = _trim(rest.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst"), [])
+        rest = _trim(rest.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").filter("a = b").select("src", "dst"), [])
     if not found:
         return loops.withColumn("size", F.lit(1).cast("long"))
-    groups = _union(found).join(names, "id")
+    groups = _union(found).join(names.hint("merge"), "id")
     # A node settled alone lies on no cycle.
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"), F.max("node").alias("component")).filter("size > 1")
-    members = groups.join(sizes, "group").select("repo", "node", "component", "size")
-    lone = loops.join(members.select("repo", "node"), ["repo", "node"], "left_anti")
+    members = groups.join(sizes.hint("merge"), "group").select("repo", "node", "component", "size")
+    lone = loops.join(members.select("repo", "node").hint("merge"), ["repo", "node"], "left_anti")
     return members.unionByName(lone.withColumn("size", F.lit(1).cast("long")))
 
 

@@ -169,3 +169,9 @@ def test_budget_of_a_repo_with_equal_ranks(spark):
     chosen = G.budget_select(ranked, 5000)
     cost = chosen.first()["cost"]
     assert [r.id for r in chosen.filter("repo = 'r'").orderBy("running").collect()] == [f"i{n:04d}" for n in range(5000 // cost)]
+
+
+def test_joins_of_cycles_are_not_broadcast(edges):
+    found = R.cycles(edges([("a", "b"), ("b", "a"), ("c", "c"), ("b", "d")]))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "node", "size") == [("a", 2), ("b", 2), ("c", 1)]
