@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codeatlas.session import dealt
+
 # What counts as an entry file, as top-level in an overview, as a dependency and as data flow.
 ENTRY_PATTERNS = [r"index\.[jt]sx?$", r"main\.[jt]sx?$", r"cli\.[jt]sx?$", r"^src/index"]
 TOP_LEVEL_TYPES = ["service", "endpoint", "table", "external", "schema", "queue", "event", "config"]
@@ -208,7 +210,7 @@ def architecture_slice(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
     shown = nodes.filter(F.col("type").isin(["file", *TOP_LEVEL_TYPES])).withColumn(
         "group", F.when(F.col("type") == "file", top_directory(F.coalesce("file_path", "name")))
     )
-    return shown, edges.select("repo", "src", "dst", "type").distinct()
+    return shown, dealt(edges.select("repo", "src", "dst", "type"), "repo", "src", "dst", "type").distinct()
 
 
 def deps_slice(nodes: DataFrame, edges: DataFrame, focus: str | None = None) -> DataFrame:
@@ -252,7 +254,7 @@ def orphans(files: DataFrame, edges: DataFrame) -> DataFrame:
 def hotspots(edges: DataFrame, k: int = 15) -> DataFrame:
     """Most imported files: distinct importers per target, top k over all repos."""
     counted = (
-        edges.select("repo", "src", "dst").distinct().groupBy("repo", F.col("dst").alias("file"))
+        dealt(edges.select("repo", "src", "dst"), "repo", "src", "dst").distinct().groupBy("repo", F.col("dst").alias("file"))
         .agg(F.count("*").alias("importers"))
     )
     return counted.orderBy(F.desc("importers"), "repo", "file").limit(k)
@@ -270,17 +272,19 @@ def module_of(path: Column) -> Column:
 
 
 def module_edges(edges: DataFrame, modules: DataFrame, k: int = 20) -> DataFrame:
-    """(repo, from, to, weight): imports crossing modules; `modules` maps (repo, id) to module, unknown = root."""
-    pairs = edges.select("repo", "src", "dst").distinct()
+    """(repo, from, to, weight): imports crossing modules; `modules` maps (repo, id) to module, unknown = root.
+
+    Edges into a node are counted by the module they come from before they meet the node's module, so they are joined once.
+    """
+    pairs = dealt(edges.select("repo", "src", "dst"), "repo", "src", "dst").distinct()
     a = modules.select("repo", F.col("id").alias("src"), F.col("module").alias("_from"))
     b = modules.select("repo", F.col("id").alias("dst"), F.col("module").alias("_to"))
+    into = pairs.join(a.hint("merge"), ["repo", "src"], "left").groupBy("repo", "dst", F.coalesce("_from", F.lit("root")).alias("from")).agg(F.count("*").alias("_n"))
     counted = (
-        pairs.join(a, ["repo", "src"], "left").join(b, ["repo", "dst"], "left")
-        .select(
-            "repo", F.coalesce("_from", F.lit("root")).alias("from"), F.coalesce("_to", F.lit("root")).alias("to")
-        )
+        into.join(b.hint("merge"), ["repo", "dst"], "left")
+        .select("repo", "from", F.coalesce("_to", F.lit("root")).alias("to"), "_n")
         .filter(F.col("from") != F.col("to"))
-        .groupBy("repo", "from", "to").agg(F.count("*").alias("weight"))
+        .groupBy("repo", "from", "to").agg(F.sum("_n").alias("weight"))
     )
     return counted.orderBy(F.desc("weight"), "repo", "from", "to").limit(k)
 

@@ -175,3 +175,19 @@ def test_joins_of_cycles_are_not_broadcast(edges):
     found = R.cycles(edges([("a", "b"), ("b", "a"), ("c", "c"), ("b", "d")]))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert rows(found, "node", "size") == [("a", 2), ("b", 2), ("c", 1)]
+
+
+def test_distinct_edges_are_dealt_by_their_number(edges, nodes, monkeypatch):
+    """A task meets a bounded number of edges, whatever the session's number of partitions is."""
+    monkeypatch.setattr("codeatlas.session.ROWS_A_TASK", 10)
+    some = edges([(f"n{i % 40}", f"n{i}") for i in range(400)])
+    shown = G.architecture_slice(nodes("n1"), some.unionByName(some))[1]
+    assert shown.count() == 400
+    assert shown.select(F.spark_partition_id().alias("at")).distinct().count() > 40
+    assert G.hotspots(some, 1).first()["importers"] == 1
+
+
+def test_module_edges_count_each_import_once(spark, edges):
+    some = edges([("a", "x"), ("a", "x"), ("b", "x"), ("c", "x"), ("c", "a"), ("a", "b"), ("q", "x")])
+    modules = spark.createDataFrame([("r", "a", "m"), ("r", "b", "m"), ("r", "c", "n"), ("r", "x", "o")], "repo string, id string, module string")
+    assert rows(G.module_edges(some, modules), "from", "to", "weight") == [("m", "o", 2), ("n", "m", 1), ("n", "o", 1), ("root", "o", 1)]
