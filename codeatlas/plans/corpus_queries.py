@@ -34,7 +34,9 @@ def a1_read(spark, sf):
     """The documents written as a tree of files, one each below its source, and read as a corpus."""
     root = scratch_path(spark, "corpus")
     docs = table(spark, sf, "documents").select("text", F.col("source").alias("repo"), F.col("doc_id").alias("doc"))
-    docs.write.partitionBy("repo", "doc").text(root)
+    # Dealt out, so that every core writes files; each task moves its own into place, where the driver would do it one by one at the end.
+    dealt_out = docs.repartition(spark.sparkContext.defaultParallelism, "repo", "doc")
+    dealt_out.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("repo", "doc").text(root)
     found = S.read_corpus(spark, root, known_only=False)
     number = F.regexp_extract("path", r"^doc=(\d+)/[^/]*\.txt$", 1).cast("long")
     return found.select(F.substring_index("repo", "=", -1).alias("repo"), number.alias("doc_id"), "size", F.sha2("content", 256).alias("digest"))

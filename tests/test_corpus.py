@@ -200,3 +200,19 @@ def test_a_block_in_a_third_of_all_files(files):
     block = "\n".join(f"x{i}" for i in range(18))
     found = D.duplicate_pairs(files({**{f"hot{n:03d}.ts": block for n in range(60)}, **{f"own{n}.ts": block.replace("x", f"y{n}_") for n in range(100)}}))
     assert {r.file_b for r in found.collect()} == {f"hot{n:03d}.ts" for n in range(1, 60)} and {r.file_a for r in found.collect()} == {"hot000.ts"}
+
+
+def test_many_directories_are_listed_by_few_tasks(spark, tmp_path):
+    """A task per directory is mostly the start of tasks."""
+    for n in range(60):
+        (tmp_path / "app" / f"d{n}").mkdir(parents=True)
+        (tmp_path / "app" / f"d{n}" / "a.ts").write_text(f"let x = {n}")
+    tracker, before = spark.sparkContext.statusTracker(), spark.conf.get(S.LISTING)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        found = S.read_corpus(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert found.count() == 60 and spark.conf.get(S.LISTING) == before
