@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from codeatlas.operators.reach import reach
+from codeatlas.operators.reach import _folded, _hashed, _union, reach
 from codeatlas.session import cut
 
 LEAST = 64
@@ -35,24 +35,27 @@ def reach_estimates(edges: DataFrame, *, direction: str = "incoming", least: int
     Sketches are merged along the edges: in each round a node takes over what its neighbours learned in the round before, so a hash crosses an
     edge once, and the rounds are as many as the longest of all shortest paths.  Cycles need no care, as a set takes a hash once.
     A round's pushes are made distinct and cut to the least hashes of a node on the map side, so a node with any number of
-    neighbours receives `least` rows a partition.  The state is nodes times `least` rows, whatever they reach.
+    neighbours receives `least` rows a partition.  What a node has learned is written once, in the round that it learns it: a round reads
+    again only the hashes of nodes that are pushed to, and hashes that lesser ones put out later do no harm, as the least of all are the same.
     """
     near, far = ("src", "dst") if direction == "incoming" else ("dst", "src")
-    pairs = edges.select("repo", F.col(near).alias("x"), F.col(far).alias("y")).filter("x <> y").distinct()
-    ends = pairs.select("repo", F.col("x").alias("id")).unionByName(pairs.select("repo", F.col("y").alias("id"))).distinct()
-    nodes = cut(ends.select("repo", "id", F.monotonically_increasing_id().alias("n"), node_hash(F.col("repo"), F.col("id")).alias("h")))
-    number = lambda df, name, out: df.join(nodes.select("repo", F.col("id").alias(name), F.col("n").alias(out)), ["repo", name])
-    steps = cut(number(number(pairs, "x", "a"), "y", "b").select("a", "b"))
+    pairs = edges.select("repo", F.col(near).alias("x"), F.col(far).alias("y")).filter("x <> y").dropna()
+    nums, number = _hashed(pairs.select("repo", F.col("x").alias("id")).unionByName(pairs.select("repo", F.col("y").alias("id"))))
+    nodes = nums.select("repo", "id", F.col("num").alias("n"), node_hash(F.col("repo"), F.col("id")).alias("h"))
+    steps = cut(pairs.select(number("x").alias("a"), number("y").alias("b")).distinct())
     smallest = Window.partitionBy("n").orderBy("h")
-    state = nodes.select("n", "h", F.lit(True).alias("fresh"))
+    least_of = lambda df: df.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= least).drop("place")
+    learned = cut(nodes.select("n", "h"))
+    seen = [learned]
     while True:
-        learned = state.filter("fresh").select(F.col("n").alias("a"), "h")
-        pushed = steps.join(learned, "a").select(F.col("b").alias("n"), "h", F.lit(True).alias("fresh"))
-        merged = state.select("n", "h", F.lit(False).alias("fresh")).unionByName(pushed).groupBy("n", "h").agg(F.bool_and("fresh").alias("fresh"))
-        state = cut(merged.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= least).drop("place"))
-        if state.filter("fresh").isEmpty():
+        pushed = cut(least_of(steps.join(learned.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n"), "h").distinct()))
+        met = _union(seen).join(pushed.select("n").distinct(), "n", "left_semi").withColumn("fresh", F.lit(False))
+        merged = met.unionByName(pushed.withColumn("fresh", F.lit(True))).groupBy("n", "h").agg(F.bool_and("fresh").alias("fresh"))
+        learned = cut(least_of(merged).filter("fresh").select("n", "h"))
+        if learned.isEmpty():
             break
-    told = state.groupBy("n").agg(F.count("*").alias("held"), F.max("h").alias("last"))
+        seen = _folded([*seen, learned])
+    told = least_of(_union(seen)).groupBy("n").agg(F.count("*").alias("held"), F.max("h").alias("last"))
     exact = F.col("held") < least
     dense = F.floor(F.lit(float(least - 1) * 2.0**_BITS) / F.col("last").cast("double") + 0.5)
     return told.join(nodes, "n").select("repo", "id", F.when(exact, F.col("held")).otherwise(dense).cast("long").alias("_all"), exact.alias("exact")).select(

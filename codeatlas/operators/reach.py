@@ -11,6 +11,7 @@ then edges are never shuffled; large ones shuffle with AQE's skew splitting.  On
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,6 +36,20 @@ def _numbers(names: DataFrame) -> DataFrame:
     return cut(names.distinct().orderBy(*names.columns).withColumn("num", F.monotonically_increasing_id()))
 
 
+def _hashed(names: DataFrame):
+    """(repo, id, num) for each distinct name without nulls, and the function that tells the number of a column of names.
+
+    A number that follows from the name needs no join to take the name's place.  Should two names share one, all are numbered anew by
+    another seed, so that different names always have different numbers.
+    """
+    names = names.dropna().distinct()
+    for seed in count():
+        number = lambda name, seed=seed: F.xxhash64(F.lit(seed), F.col("repo"), F.col(name))
+        nums = cut(names.withColumn("num", number("id")))
+        if nums.groupBy("num").count().filter("count > 1").isEmpty():
+            return nums, number
+
+
 def reach(
     edges: DataFrame, starts: DataFrame, *, direction: str = "incoming", max_depth: int | None = None
 ) -> DataFrame:
@@ -44,12 +59,11 @@ def reach(
     closure, origins times what they reach: ask for a set of starts, not for all nodes of a large graph.
     """
     near, far = ("dst", "src") if direction == "incoming" else ("src", "dst")
-    pairs = edges.select("repo", F.col(near).alias("id"), F.col(far).alias("next"))
-    asked = starts.select("repo", "id").distinct()
-    nums = _numbers(pairs.select("repo", "id").unionByName(pairs.select("repo", F.col("next").alias("id"))).unionByName(asked))
-    told = lambda df, name, out: df.join(nums.select("repo", F.col("id").alias(name), F.col("num").alias(out)), ["repo", name])
-    steps = cut(told(told(pairs.distinct(), "id", "a"), "next", "b").select("a", "b"))
-    frontier = cut(told(asked, "id", "a").select(F.col("a").alias("o"), "a", F.lit(0).alias("depth")))
+    pairs = edges.select("repo", F.col(near).alias("id"), F.col(far).alias("next")).dropna()
+    asked = starts.select("repo", "id").dropna().distinct()
+    nums, number = _hashed(pairs.select("repo", "id").unionByName(pairs.select("repo", F.col("next").alias("id"))).unionByName(asked))
+    steps = cut(pairs.select(number("id").alias("a"), number("next").alias("b")).distinct())
+    frontier = cut(asked.select(number("id").alias("o"), number("id").alias("a"), F.lit(0).alias("depth")))
     seen, depth = [frontier], 0
     while (max_depth is None or depth < max_depth) and frontier.count():
         depth += 1

@@ -191,3 +191,18 @@ def test_module_edges_count_each_import_once(spark, edges):
     some = edges([("a", "x"), ("a", "x"), ("b", "x"), ("c", "x"), ("c", "a"), ("a", "b"), ("q", "x")])
     modules = spark.createDataFrame([("r", "a", "m"), ("r", "b", "m"), ("r", "c", "n"), ("r", "x", "o")], "repo string, id string, module string")
     assert rows(G.module_edges(some, modules), "from", "to", "weight") == [("m", "o", 2), ("n", "m", 1), ("n", "o", 1), ("root", "o", 1)]
+
+
+def test_numbers_of_names_differ(edges, spark, monkeypatch):
+    """Names that share a hash are numbered anew."""
+    hashes, tried = F.xxhash64, []
+
+    def clash(seed, *cols):
+        tried.append(seed)
+        return F.lit(7).cast("long") + 0 * hashes(seed, *cols) if len(tried) == 1 else hashes(seed, *cols)
+
+    monkeypatch.setattr(R.F, "xxhash64", clash)
+    starts = spark.createDataFrame([("r", "c")], "repo string, id string")
+    got = R.reach(edges([("a", "b"), ("b", "c"), ("c", "c")]), starts)
+    assert rows(got, "origin", "id", "depth") == [("c", "a", 2), ("c", "b", 1)]
+    assert len(tried) > 1
