@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeatlas.functions.scan import keep_where
 from codeatlas.functions.text import split_lines, trim
+from codeatlas.session import cut, dealt
 
 # Words that say nothing about a topic (search, then answer checks), model context sizes, ratios.
 SEARCH_STOP_WORDS = [
@@ -96,42 +97,45 @@ def related_exchanges(
 ) -> DataFrame:
     """(repo, id, session_id, turn, question, answer, score): the best earlier exchanges for each question (repo, id, text).
 
-    Candidates come from an equi-join on words.  A question's commonest words are left out of that join as long as
-    they could not reach the score by themselves: a pair sharing only those scores below `min_score`, so the result is
-    the same and the words found everywhere never meet.  Candidates are then scored on the full word lists.
+    Texts are compared as classes of equal words, so what is said often is compared once; of the exchanges of a class only the first `n`
+    can be among the best.  Classes meet in an equi-join on words and bring their word lists along: the score is told in the join, and only
+    pairs that reach it are written, so what is shuffled grows with the texts and not with the pairs compared.  A question's
+    commonest words are left out of that join as long as they could not reach the score by themselves: a pair sharing only those
+    scores below `min_score`, so the result is the same and the words found everywhere never meet.
     """
     pairs = qa_pairs(messages)
     if recent is not None:
         pairs = pairs.join(newest_sessions(messages, recent), ["repo", "session_id"], "left_semi")
-    known = pairs.select("repo", "session_id", "turn", topic_tokens(F.col("question")).alias("target"))
-    asked = questions.select("repo", "id", topic_tokens(F.col("text")).alias("query"))
-    words = known.select("repo", "session_id", "turn", F.explode(F.array_distinct("target")).alias("word"))
+    numbered = lambda texts, words, num: cut(texts.filter(F.size(words) > 0).select("repo", words).distinct().withColumn(num, F.monotonically_increasing_id()))
+    known = pairs.select("repo", "session_id", "turn", F.array_sort(F.array_distinct(topic_tokens(F.col("question")))).alias("target"))
+    asked = questions.select("repo", "id", F.array_sort(topic_tokens(F.col("text"))).alias("query"))
+    targets, queries = numbered(known, "target", "t"), numbered(asked, "query", "q")
+    firsts = Window.partitionBy("t").orderBy("session_id", "turn")
+    exchanges = known.join(targets, ["repo", "target"]).select("t", "session_id", "turn").withColumn("nth", F.row_number().over(firsts)).filter(F.col("nth") <= n).drop("nth")
+    words = targets.select("repo", "t", "target", F.explode("target").alias("word"))
     frequency = words.groupBy("repo", "word").agg(F.count("*").alias("df"))
-    weighed = asked.select("repo", "id", F.size(F.array_distinct("query")).alias("width"), F.explode("query").alias("word")).groupBy(
-        "repo", "id", "width", "word"
+    weighed = queries.select("repo", "q", F.size(F.array_distinct("query")).alias("width"), F.explode("query").alias("word")).groupBy(
+        "repo", "q", "width", "word"
     ).agg(F.count("*").alias("w"))
-    by_common = Window.partitionBy("repo", "id").orderBy(F.desc("df"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    by_common = Window.partitionBy("repo", "q").orderBy(F.desc("df"), "word").rowsBetween(Window.unboundedPreceding, 0)
     kept = (
         weighed.join(frequency, ["repo", "word"])  # words no exchange holds cannot bring a candidate
         .withColumn("reach", F.sum("w").over(by_common))
         .filter(F.col("reach") >= F.col("width") * min_score - 1e-9)
-        .select("repo", "id", "word")
+        .select("repo", "q", "word")
     )
     # An exchange with more distinct words than the question's words could outweigh is no candidate either.
-    most = asked.select("repo", "id", (F.size("query") / F.lit(max(min_score, 1e-9)) + 1e-9).alias("most"))
-    wide = known.select("repo", "session_id", "turn", F.size(F.array_distinct("target")).alias("wide"))
-    candidates = (
-        kept.join(most, ["repo", "id"]).join(words.join(wide, ["repo", "session_id", "turn"]), ["repo", "word"]).filter(F.col("wide") <= F.col("most"))
-        .select("repo", "id", "session_id", "turn").distinct()
-    )
-    met = candidates.join(asked, ["repo", "id"]).join(known, ["repo", "session_id", "turn"])
-    scored = keep_where(met, "score", overlap_score(F.col("query"), F.col("target")), lambda s: s >= min_score).select(
-        "repo", "id", "session_id", "turn", "score"
-    )
-    best = Window.partitionBy("repo", "id").orderBy(F.desc("score"), "session_id", "turn")
-    top = scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= n).drop("nth")
-    cut = lambda c, i: F.col(c) if shown is None else F.left(c, F.lit(shown[i])).alias(c)
-    return top.join(pairs, ["repo", "session_id", "turn"]).select("repo", "id", "session_id", "turn", cut("question", 0), cut("answer", 1), "score")
+    most = F.size("query") / F.lit(max(min_score, 1e-9)) + 1e-9
+    met = dealt(kept.join(queries, ["repo", "q"]), "repo", "word").join(dealt(words, "repo", "word"), ["repo", "word"]).filter(F.size("target") <= most)
+    scored = keep_where(met, "score", overlap_score(F.col("query"), F.col("target")), lambda s: s >= min_score).select("q", "t", "score").distinct()
+    first_n = lambda df, *key: df.withColumn(
+        "nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "session_id", "turn"))
+    ).filter(F.col("nth") <= n).drop("nth")
+    best = first_n(scored.join(exchanges, "t").select("q", "session_id", "turn", "score"), "q")
+    ids = asked.join(queries, ["repo", "query"]).select("repo", "id", "q")
+    top = first_n(ids.join(best, "q").select("repo", "id", "session_id", "turn", "score"), "repo", "id")
+    shorten = lambda c, i: F.col(c) if shown is None else F.left(c, F.lit(shown[i])).alias(c)
+    return top.join(pairs, ["repo", "session_id", "turn"]).select("repo", "id", "session_id", "turn", shorten("question", 0), shorten("answer", 1), "score")
 
 
 def rank_symbols(symbols: DataFrame, query: str, k: int = 20) -> DataFrame:

@@ -118,6 +118,19 @@ def test_cache_lookup_matches_brute_force(spark):
         assert got[i] == (hit, float(s - last) if hit else None)
 
 
+def test_related_exchanges_write_no_pair_below_the_score(spark):
+    """Pairs are made distinct after they are scored; before that only texts and words are shuffled."""
+    messages = spark.createDataFrame(
+        [("r", s, t, ["user", "assistant"][t % 2], f"alpha beta word{s % 3}", NOW) for s in range(8) for t in range(2)],
+        "repo string, session_id long, turn int, role string, text string, ts timestamp_ntz")
+    questions = spark.createDataFrame([("r", 1, "alpha word1"), ("r", 2, "alpha word1"), ("r", 3, "nothing like it")], "repo string, id long, text string")
+    found = L.related_exchanges(questions, messages, n=2, min_score=0.5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    distinct = [line for line in plan.splitlines() if "Aggregate [" in line and "session_id" in line]
+    assert not distinct and any("Aggregate [" in line and "score" in line for line in plan.splitlines())
+    assert rows(found, "id", "session_id", "turn", "score") == [(i, s, 0, 0.666667) for i in (1, 2) for s in (1, 4)]
+
+
 def test_related_exchanges_match_brute_force(spark):
     """The join leaves out common words; the answer must not change."""
     import random
