@@ -1,7 +1,7 @@
 import random
 
 from codeatlas.functions.select_lists import column_flows
-from codeatlas.operators import closure as C, lineage as L, trace as T, triggers as G
+from codeatlas.operators import closure as C, lineage as L, reach as R, trace as T, triggers as G
 from tests.conftest import rows
 
 EDGES = "repo string, src string, dst string"
@@ -162,6 +162,22 @@ def test_lineage_puts_kinds_together_along_paths(spark):
     assert [r.f for r in spark.range(4).select(L.flow(G.F.col("id").cast("int")).alias("f")).collect()] == ["READ", "READ>TRANSFORM", "READ>WRITE", "READ>TRANSFORM>WRITE"]
 
 
+def test_lineage_moves_numbers_not_names(spark, monkeypatch):
+    """Names of tables and columns are written once each, and the rounds write numbers; `*` carries a column that stands in no flow."""
+    edges = spark.createDataFrame(
+        [("r", f"t{i}", "*", f"t{i + 1}", "*", 0) for i in range(4)] + [("r", "t4", "x", "u", "y", 1)],
+        "repo string, source string, source_column string, `table` string, `column` string, mask int")
+    written = []
+    keep = lambda was: lambda df: written.append(dict(df.dtypes)) or was(df)
+    for module in (L, R):
+        monkeypatch.setattr(module, "cut", keep(module.cut))
+    ask = spark.createDataFrame([("r", "t3", "z"), ("r", "u", "y")], "repo string, `table` string, `column` string")
+    got = rows(L.lineage(edges, ask), "table", "column", "other_table", "other_column", "mask", "hops")
+    down = [("t3", "z", f"t{i}", "z", 0, 3 - i) for i in range(3)]
+    assert got == sorted(down + [("u", "y", f"t{i}", "x", 1, 5 - i) for i in range(5)])
+    assert sum("string" in kinds.values() for kinds in written) == 2
+
+
 # ---------------------------------------------------------------- triggers
 
 
