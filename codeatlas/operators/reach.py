@@ -269,35 +269,32 @@ def topo_levels(ids: DataFrame, deps: DataFrame, rounds: int = 4) -> DataFrame:
     """(repo, id, level, cyclic): prerequisites before dependents; level is null for ids held up by a cycle.
 
     `deps` has (repo, id, prereq).  Every id carries the number of its open prerequisites; a level is what has none left, and
-    takes one off its dependents for each.  Several levels are worked out per written table.
+    takes one off its dependents for each.  Ids are numbered by hash, and a level meets the edges once; the table of open ids is
+    written anew every few `rounds`, and only what was taken off since is added up in between.
     """
-    known = ids.select("repo", "id").distinct()
+    nameless = ids.select("repo", "id").filter("repo IS NULL OR id IS NULL").distinct()  # waits for nothing
+    pairs = deps.select("repo", "id", "prereq").dropna()
+    _, number = _hashed(ids.select("repo", "id").unionByName(pairs.select("repo", "id")).unionByName(pairs.select("repo", F.col("prereq").alias("id"))))
+    known = cut(ids.select("repo", "id").dropna().distinct().withColumn("n", number("id")))
     needs = cut(
-        deps.select("repo", "id", "prereq").distinct()
-        .join(known.withColumnRenamed("id", "prereq"), ["repo", "prereq"], "left_semi")
+        pairs.select(number("id").alias("n"), number("prereq").alias("p")).distinct()
+        .join(known.select("n"), "n", "left_semi").join(known.select(F.col("n").alias("p")), "p", "left_semi")
     )
-    missing = needs.groupBy("repo", "id").agg(F.count("*").alias("missing"))
-    state = cut(
-        known.join(missing, ["repo", "id"], "left")
-        .select("repo", "id", F.coalesce("missing", F.lit(0)).alias("missing")).withColumn("level", F.when(F.col("missing") == 0, 0))
-    )
-    done, level = [], 0
-    while True:
-        for _ in range(rounds):
-            off = needs.join(state.filter(F.col("level") == level).select("repo", F.col("id").alias("prereq")), ["repo", "prereq"])
-            off = off.groupBy("repo", "id").agg(F.count("*").alias("off"))
-            level += 1
+    open_ = cut(needs.groupBy("n").agg(F.count("*").alias("missing")))
+    now = cut(known.select("n").join(open_, "n", "left_anti"))
+    done, offs, level = [], [], 0
+    added = lambda parts: _union(parts).groupBy("n").agg(F.sum("off").alias("off"))
+    while not now.isEmpty():
+        done = _folded([*done, now.withColumn("level", F.lit(level))])
+        level += 1
+        off = cut(needs.join(now.withColumnRenamed("n", "p"), "p").groupBy("n").agg(F.count("*").alias("off")))
+        offs.append(off)
+        total = off if len(offs) == 1 else added([o.join(off.select("n"), "n", "left_semi") for o in offs])
+        now = cut(open_.join(total, "n").filter("missing = off").select("n"))
+        if len(offs) >= rounds:
             left = F.col("missing") - F.coalesce("off", F.lit(0))
-            state = state.join(off, ["repo", "id"], "left").select(
-                "repo", "id", left.alias("missing"), F.coalesce("level", F.when(left == 0, level)).alias("level")
-            )
-        state = cut(state)
-        finished = state.filter(F.col("level") < level)
-        done = _folded([*done, finished.select("repo", "id", "level")])
-        # The newest level is still to be taken off its dependents.
-        newest = state.filter((F.col("level") == level) | F.col("level").isNull())
-        if not state.filter(F.col("level") == level).count():
-            break
-        state = newest
-    stuck = state.filter("level IS NULL").select("repo", "id", "level")
-    return _union([*done, stuck]).withColumn("cyclic", F.col("level").isNull())
+            open_ = cut(open_.join(added(offs), "n", "left").select("n", left.alias("missing")).filter("missing > 0"))
+            offs = []
+    levels = _union(done) if done else now.withColumn("level", F.lit(0))
+    named = known.join(levels, "n", "left").select("repo", "id", "level")
+    return named.unionByName(nameless.withColumn("level", F.lit(0))).withColumn("cyclic", F.col("level").isNull())

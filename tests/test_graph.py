@@ -127,6 +127,18 @@ def test_topo_levels_and_cycle(spark):
     assert got == {"a": (0, False), "b": (1, False), "c": (2, False), "d": (None, True), "e": (None, True)}
 
 
+def test_topo_levels_move_numbers_not_names(spark, monkeypatch):
+    """Names are written twice, to number them; the rounds write numbers only.  Ids without a name wait for nothing."""
+    written, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: written.append(dict(df.dtypes)) or cut(df))
+    n = 11
+    ids = spark.createDataFrame([("r", f"n{i}") for i in range(n)] * 2 + [("r", None)], "repo string, id string")
+    deps = spark.createDataFrame([("r", f"n{i + 1}", f"n{i}") for i in range(n - 1)] + [("r", "n0", "unknown"), ("r", None, "n1")], "repo string, id string, prereq string")
+    got = {r.id: (r.level, r.cyclic) for r in R.topo_levels(ids, deps, rounds=3).collect()}
+    assert got == {f"n{i}": (i, False) for i in range(n)} | {None: (0, False)}
+    assert sum("string" in kinds.values() for kinds in written) == 2
+
+
 def test_slices(nodes, edges):
     n = nodes("a", "b", "c").withColumn("framework", F.when(F.col("id") != "c", "react"))
     e = edges([("a", "b"), ("a", "b"), ("b", "c")], "calls").unionByName(edges([("c", "a")], "reads"))
