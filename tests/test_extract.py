@@ -302,3 +302,13 @@ class A {
 def test_openapi_key_may_stand_anywhere(files):
     text = "".join(f"# line {i}\n" for i in range(30)) + "openapi: 3.0.0\npaths:\n  /a:\n    get:\n      x: 1\n"
     assert N.analyze_openapi(files({"a.yaml": text})).count() > 0
+
+
+def test_a_line_is_read_once(spark):
+    """In lambdas each mention of a column is computed again: what is made from a line's text is bound to a name first."""
+    a, b = X.F.col("a"), X.F.col("b")
+    for dialect in (X.TYPESCRIPT, X.PYTHON, X.JAVA):
+        assert str(X._line(dialect, a, b)).count("d+:'") == 2
+    text = "".join(f"class A{i} {{\n  void run{i}(int a) {{ go{i}(a); }}\n}}\n" for i in range(3))
+    files = spark.createDataFrame([("r", "A.java", "java", text)], "repo string, path string, language string, content string")
+    assert told(X.extract_trace_java(files), "call", "name", "caller", "line") == [(f"go{i}", f"run{i}", 3 * i + 2) for i in range(3)]
