@@ -10,14 +10,16 @@ then edges are never shuffled; large ones shuffle with AQE's skew splitting.  On
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
-from codeatlas.session import cut
+from codeatlas.session import cut, drop_scratch
 
 _FOLD_EVERY = 16  # rounds after which the pieces of the seen-set are written as one table
+_ROOTS = 100_000  # names whose chains are walked together
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -83,13 +85,8 @@ def impact_subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataF
     return nodes.join(hits, ["repo", "id"])
 
 
-def upstream_chain(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth: int | None = None) -> DataFrame:
-    """Transitive callers by name: (repo, root, name, parent, branch, depth, file, line, language).
-
-    Breadth first, so `depth` is the least one; of several parents at that depth the smallest name is kept and
-    `branch` is the first-level caller the row hangs under.  With a bound on the depth, `cut` tells the roots that have callers
-    beyond it.
-    """
+def _chain_steps(symbols: DataFrame, calls: DataFrame, names: DataFrame):
+    """Numbers of the names, steps (a, b, info) from callee to caller, and the numbers `o` of the asked names in slices of about `_ROOTS`."""
     who = symbols.select(
         "repo", F.col("id").alias("caller_id"), F.col("name").alias("caller"),
         F.struct("id", "file", "line", "language").alias("info"),
@@ -104,30 +101,68 @@ def upstream_chain(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth
     nums = _numbers(sites.select("repo", "name").unionByName(sites.select("repo", F.col("caller").alias("name"))).unionByName(asked))
     number = lambda df, name, out: df.join(nums.select("repo", F.col("name").alias(name), F.col("num").alias(out)), ["repo", name])
     steps = cut(number(number(sites, "name", "a"), "caller", "b").select("a", "b", "info"))
-    frontier = cut(number(asked, "name", "a").select(F.col("a").alias("o"), "a", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("branch"), F.lit(0).alias("depth")))
+    roots = cut(number(asked, "name", "o").select("o"))
+    slices = max(1, -(-roots.count() // _ROOTS))
+    return nums, steps, [roots.filter(F.pmod(F.xxhash64("o"), F.lit(slices)) == i) for i in range(slices)]
+
+
+def _walk(steps: DataFrame, roots: DataFrame, depth: int | None, folder: str = "") -> list[DataFrame]:
+    """(o, a, parent, branch, depth) of the chains of `roots`, one table a level, written to `folder`."""
+    frontier = cut(roots.select("o", F.col("o").alias("a"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("branch"), F.lit(0).alias("depth")), folder)
     seen, level = [frontier], 0
-    while (depth is None or level < depth) and frontier.count():
+    while (depth is None or level < depth) and not frontier.isEmpty():
         level += 1
         found = (
             steps.select("a", "b").join(frontier.select("o", "a", "branch"), "a").groupBy("o", F.col("b").alias("a"))
             .agg(F.min(F.col("a")).alias("parent"), F.min_by("branch", "a").alias("branch"))
         )
-        seen = _folded(seen)
+        seen = [cut(_union(seen), folder)] if len(seen) > _FOLD_EVERY else seen
         fresh = found.join(_union(seen).select("o", "a"), ["o", "a"], "left_anti")
-        frontier = cut(fresh.select("o", "a", "parent", F.coalesce("branch", "a").alias("branch"), F.lit(level).alias("depth")))
+        frontier = cut(fresh.select("o", "a", "parent", F.coalesce("branch", "a").alias("branch"), F.lit(level).alias("depth")), folder)
         seen.append(frontier)
+    return seen
+
+
+def upstream_chain(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth: int | None = None) -> DataFrame:
+    """Transitive callers by name: (repo, root, name, parent, branch, depth, file, line, language).
+
+    Breadth first, so `depth` is the least one; of several parents at that depth the smallest name is kept and
+    `branch` is the first-level caller the row hangs under.  With a bound on the depth, `cut` tells the roots that have callers
+    beyond it.  Names are walked slice by slice, so what a round shuffles doesn't grow with the number of names asked.
+    """
+    nums, steps, slices = _chain_steps(symbols, calls, names)
+    walked = [_walk(steps, roots, depth) for roots in slices]
+    seen = _union([piece for pieces in walked for piece in pieces])
     named = lambda df, num, out: df.join(nums.select(F.col("num").alias(num), F.col("name").alias(out)), num)
-    hits = _union(seen).filter("depth > 0").join(steps.select(F.col("a").alias("parent"), F.col("b").alias("a"), "info"), ["parent", "a"])
+    hits = seen.filter("depth > 0").join(steps.select(F.col("a").alias("parent"), F.col("b").alias("a"), "info"), ["parent", "a"])
     hits = hits.join(nums.select(F.col("num").alias("o"), "repo", F.col("name").alias("root")), "o")
     if depth is not None:
-        beyond = steps.select("a", "b").join(frontier.select("o", "a"), "a").select("o", F.col("b").alias("a")).distinct()
-        cut_roots = beyond.join(_union(seen).select("o", "a"), ["o", "a"], "left_anti").select("o").distinct().withColumn("_cut", F.lit(True))
+        last = _union([pieces[-1] for pieces in walked])
+        beyond = steps.select("a", "b").join(last.select("o", "a"), "a").select("o", F.col("b").alias("a")).distinct()
+        cut_roots = beyond.join(seen.select("o", "a"), ["o", "a"], "left_anti").select("o").distinct().withColumn("_cut", F.lit(True))
         hits = hits.join(cut_roots, "o", "left").withColumn("cut", F.coalesce("_cut", F.lit(False)))
     out = named(named(named(hits.withColumnsRenamed({"a": "n1", "parent": "n2", "branch": "n3"}), "n1", "name"), "n2", "parent"), "n3", "branch")
     more = [] if depth is None else ["cut"]
     return out.select("repo", "root", "name", "parent", "branch", "depth", "info.file", F.col("info.line").cast("int").alias("line"), "info.language", *more)
 
 
+def chain_roots(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth: int | None = None) -> DataFrame:
+    """(repo, root, name, file, line, upstream): the first-level callers of `upstream_chain`, and how many rows hang under each.
+
+    The whole chains are walked, but only their counts are kept: a slice's levels are dropped once they are counted.
+    """
+    nums, steps, slices = _chain_steps(symbols, calls, names)
+    counts = []
+    for roots in slices:
+        folder = f"chain-{uuid.uuid4().hex}"
+        hung = _union(_walk(steps, roots, depth, folder)).filter("depth > 0").groupBy("o", F.col("branch").alias("a"))
+        counts.append(cut(hung.agg((F.count("*") - 1).alias("upstream"))))
+        drop_scratch(steps.sparkSession, folder)
+    first = _union(counts).join(steps.select(F.col("a").alias("o"), F.col("b").alias("a"), "info"), ["o", "a"])
+    first = first.join(nums.select(F.col("num").alias("o"), "repo", F.col("name").alias("root")), "o").join(nums.select(F.col("num").alias("a"), "name"), "a")
+    return first.select("repo", "root", "name", "info.file", F.col("info.line").cast("int").alias("line"), "upstream")
+
+
 def shortest_paths(nodes: DataFrame, edges: DataFrame, src: str, targets: list[str] | DataFrame) -> DataFrame:
     """(repo, src, dst, path, length): one shortest outgoing path per reachable target; none gives no row.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeatlas.operators.reach import upstream_chain
+from codeatlas.operators.reach import chain_roots
 
 WRITES = ["UPDATE", "INSERT", "DELETE"]
 READS = ["SELECT", "READ"]
@@ -229,11 +229,7 @@ def trace_summary(
     ids = symbols.join(names, ["repo", "name"], "left_semi").groupBy("repo", "name").agg(F.min("id").alias("id"))
     out = callees(calls, ids).join(ids.select("repo", F.col("id").alias("caller_id"), F.col("name").alias("root")), ["repo", "caller_id"])
     imp = importers(imports, names)
-    chain = upstream_chain(symbols, calls, names, depth)
-    below = chain.groupBy("repo", "root", "branch").agg((F.count("*") - 1).alias("upstream"))
-    first = chain.filter("depth = 1").drop("branch").join(
-        below.withColumnRenamed("branch", "name"), ["repo", "root", "name"]
-    )
+    first = chain_roots(symbols, calls, names, depth)
     at = lambda name, file, line: F.concat(name, F.lit(" at "), file, F.lit(":"), line.cast("string"))
     c = F.col
     return (

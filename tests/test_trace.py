@@ -130,3 +130,42 @@ def test_a_bounded_chain_tells_which_roots_were_cut(spark):
     told = {(r.root, r.name): r.cut for r in R.upstream_chain(symbols, calls, names, depth=2).collect()}
     assert told == {("f0", "f1"): True, ("f0", "f2"): True, ("f3", "f4"): False}
     assert "cut" not in R.upstream_chain(symbols, calls, names).columns and R.upstream_chain(symbols, calls, names).count() == 5
+
+
+def test_chains_in_slices(spark, monkeypatch):
+    """Slices of a graph with cycles give the whole chains; levels that were counted are dropped."""
+    from pathlib import Path
+
+    from codeatlas import session
+
+    symbols = spark.createDataFrame([("r", i, f"f{i}", "function", "f.ts", i, "typescript") for i in range(6)], SYMBOLS)
+    calls = spark.createDataFrame([("r", 9 * i + k, i, f"f{c}", "f.ts", k, None, "direct") for i in range(6) for k, c in enumerate((i // 2, i ^ 1))], CALLS)
+    monkeypatch.setattr(R, "_ROOTS", 3)
+    up = R.upstream_chain(symbols, calls, symbols.select("repo", "name")).collect()
+    reached = {(a, a) for a in range(6)}
+    while (more := reached | {(o, i) for o, a in reached for i in range(6) if a in (i // 2, i ^ 1)}) != reached:
+        reached = more
+    assert {(r.root, r.name) for r in up} == {(f"f{o}", f"f{a}") for o, a in reached if o != a} and len(up) == len(reached) - 6
+    below = {}
+    for row in up:
+        below[row.root, row.branch] = below.get((row.root, row.branch), -1) + 1
+    assert {(r.root, r.name): r.upstream for r in R.chain_roots(symbols, calls, symbols.select("repo", "name")).collect()} == below
+    app = Path(session.shared_dir(spark).removeprefix("file:")) / "codeatlas" / spark.sparkContext.applicationId
+    assert not list(app.glob("chain-*"))
+
+
+def test_a_written_table_keeps_no_shuffle(spark):
+    import time
+    from pathlib import Path
+
+    from codeatlas.session import cut
+
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: {p.name for p in local.rglob("shuffle_*.data")}
+    was = held()
+    table = cut(spark.range(10_000).selectExpr("id % 1000 AS k").repartition(4, "k").groupBy("k").count())
+    for _ in range(50):
+        if not held() - was:
+            break
+        time.sleep(0.1)
+    assert not held() - was and table.count() == 1000
