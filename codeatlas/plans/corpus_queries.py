@@ -29,16 +29,31 @@ def a1(spark, sf):
     return A.files(spark, sf).select("repo", "path", "language", "size", F.md5("content").alias("digest"))
 
 
+FILES_A_FOLDER = 5000
+
+
+def _partition(key):
+    """A directory's name as Spark's writers make it from a value."""
+    escaped = F.transform(F.split(F.col(key).cast("string"), ""), lambda c: F.when(
+        c.rlike(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c))
+    return F.concat(F.lit(f"{key}="), F.coalesce(F.nullif(F.array_join(escaped, ""), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+
 @query("a1_read_corpus", "SELECT source AS repo, doc_id, octet_length(encode(text)) + 1 AS size, sha256(text || chr(10)) AS digest FROM documents")
 def a1_read(spark, sf):
     """The documents written as a tree of files, one each below its source, and read as a corpus."""
     root = scratch_path(spark, "corpus")
     docs = table(spark, sf, "documents").select("text", F.col("source").alias("repo"), F.col("doc_id").alias("doc"))
-    # Dealt out, so that every core writes files; each task moves its own into place, where the driver would do it one by one at the end.
-    dealt_out = docs.repartition(spark.sparkContext.defaultParallelism, "repo", "doc")
-    dealt_out.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("repo", "doc").text(root)
+    if shared := S.mounted(spark, root):
+        folder = F.pmod(F.xxhash64("doc"), F.lit(docs.count() // FILES_A_FOLDER + 1)).cast("string")
+        path = F.concat_ws("/", folder, F.concat(_partition("doc"), F.lit(".txt")))
+        S.write_tree(docs.select(_partition("repo").alias("repo"), path.alias("path"), F.col("text").alias("content")), shared)
+    else:
+        # Dealt out, so that every core writes files; each task moves its own into place, where the driver would do it one by one at the end.
+        dealt_out = docs.repartition(spark.sparkContext.defaultParallelism, "repo", "doc")
+        dealt_out.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("repo", "doc").text(root)
     found = S.read_corpus(spark, root, known_only=False)
-    number = F.regexp_extract("path", r"^doc=(\d+)/[^/]*\.txt$", 1).cast("long")
+    number = F.regexp_extract("path", r"(?:^|/)doc=(\d+)(?:/[^/]*)?\.txt$", 1).try_cast("long")
     return found.select(F.substring_index("repo", "=", -1).alias("repo"), number.alias("doc_id"), "size", F.sha2("content", 256).alias("digest"))
 
 

@@ -1,5 +1,6 @@
 """Corpus, duplicates, secrets and conventions on literal files."""
 
+import gzip
 import random
 
 import pytest
@@ -216,3 +217,18 @@ def test_many_directories_are_listed_by_few_tasks(spark, tmp_path):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
     assert found.count() == 60 and spark.conf.get(S.LISTING) == before
+
+
+def test_a_tree_of_many_small_files_is_written_and_read(spark, tmp_path):
+    """Also by the name of a store, as a cluster's shared folder has it; repeated paths make one file, and packed files are told unpacked."""
+    root = tmp_path / "tree"
+    texts = [("one", f"d{n % 7}/f {n}.ts", f"let x = {n}") for n in range(300)] + [("two", "twice.ts", "x"), ("two", "twice.ts", "x"), ("two", "none.ts", None)]
+    assert S.write_tree(spark.createDataFrame(texts, "repo string, path string, content string"), str(root)) == 302
+    (root / "two" / "old.txt.gz").write_bytes(gzip.compress("été".encode()))
+    assert S.mounted(spark, f"file://{root}") == str(root)
+    found = S.read_corpus(spark, f"file://{root}", known_only=False)
+    assert found.rdd.getNumPartitions() <= S._READS * spark.sparkContext.defaultParallelism
+    got = {(r.repo, r.path): r.content for r in found.collect()}
+    assert len(got) == 303 and all(got["one", f"d{n % 7}/f {n}.ts"] == f"let x = {n}\n" for n in range(300))
+    assert got["two", "twice.ts"] == "x\nx\n" and got["two", "none.ts"] == "\n" and got["two", "old.txt.gz"] == "été"
+    assert S.read_corpus(spark, f"file://{root}").count() == 302
