@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
-from itertools import count
+from itertools import accumulate, count
 
 from pyspark.sql import DataFrame, functions as F
 
+from codeatlas.operators import chains
 from codeatlas.session import cut, drop_scratch
 
 _FOLD_EVERY = 16  # rounds after which the pieces of the seen-set are written as one table
 _ROOTS = 100_000  # names whose chains are walked together
+_HELD = 24_000_000  # names and steps that a task can take into its memory
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -38,6 +40,15 @@ def _numbers(names: DataFrame) -> DataFrame:
     return cut(names.distinct().orderBy(*names.columns).withColumn("num", F.monotonically_increasing_id()))
 
 
+def _dense(names: DataFrame) -> DataFrame:
+    """`_numbers` from 0 on without gaps: each written part counts on from the part before."""
+    nums = _numbers(names)
+    sizes = {r.part: r.n for r in nums.groupBy(F.shiftright("num", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts = [0, *accumulate(sizes.get(part, 0) for part in range(max(sizes, default=0)))]
+    start = F.array(*[F.lit(x).cast("long") for x in starts])[F.shiftright("num", 33).cast("int")]
+    return nums.withColumn("num", start + F.col("num").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def _hashed(names: DataFrame):
     """(repo, id, num) for each distinct name without nulls, and the function that tells the number of a column of names.
 
@@ -98,12 +109,41 @@ def _chain_steps(symbols: DataFrame, calls: DataFrame, names: DataFrame):
         .groupBy("repo", F.col("callee_name").alias("name"), "caller")
         .agg(F.min("info").alias("info"))
     )
-    nums = _numbers(sites.select("repo", "name").unionByName(sites.select("repo", F.col("caller").alias("name"))).unionByName(asked))
+    nums = _dense(sites.select("repo", "name").unionByName(sites.select("repo", F.col("caller").alias("name"))).unionByName(asked))
     number = lambda df, name, out: df.join(nums.select("repo", F.col("name").alias(name), F.col("num").alias(out)), ["repo", name])
     steps = cut(number(number(sites, "name", "a"), "caller", "b").select("a", "b", "info"))
     roots = cut(number(asked, "name", "o").select("o"))
+    return nums, steps, roots
+
+
+def _slices(roots: DataFrame) -> list[DataFrame]:
     slices = max(1, -(-roots.count() // _ROOTS))
-    return nums, steps, [roots.filter(F.pmod(F.xxhash64("o"), F.lit(slices)) == i) for i in range(slices)]
+    return [roots.filter(F.pmod(F.xxhash64("o"), F.lit(slices)) == i) for i in range(slices)]
+
+
+def _holds(nums: DataFrame, steps: DataFrame) -> bool:
+    return nums.count() + steps.count() <= _HELD
+
+
+def _held(nums: DataFrame, steps: DataFrame, roots: DataFrame, walk, schema: str, depth: int | None) -> DataFrame:
+    """`walk` of `chains`, run by tasks that are each dealt all steps and a share of the roots.
+
+    Walking in memory moves no rows between rounds, where joins shuffle the frontier and all that was seen in each; only the steps
+    travel, once a task and many in a row.
+    """
+    n, cores = nums.count(), steps.sparkSession.sparkContext.defaultParallelism
+    tasks = min(2 * cores, roots.count() // 256 + 1)
+    infos = _dense(steps.select("info"))
+    numbered = steps.join(infos.select(F.col("info").alias("told"), F.col("num").alias("i")), F.col("info").eqNullSafe(F.col("told"))).select("a", "b", "i")
+    task = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
+    dealt_out = [
+        numbered.mapInArrow(chains.packed, "steps binary, infos binary").select(task, "steps", "infos"),
+        nums.select(task, F.col("num").cast("int").alias("num"), "repo", "name"),
+        infos.select(task, F.col("num").cast("int").alias("info"), "info.file", F.col("info.line").cast("int").alias("line"), "info.language"),
+        roots.select(F.pmod(F.xxhash64("o"), F.lit(tasks)).cast("int").alias("task"), F.col("o").cast("int").alias("root")),
+    ]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dealt_out)
+    return together.repartitionById(tasks, "task").mapInArrow(lambda batches: walk(batches, n, depth), schema)
 
 
 def _walk(steps: DataFrame, roots: DataFrame, depth: int | None, folder: str = "") -> list[DataFrame]:
@@ -128,10 +168,13 @@ def upstream_chain(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth
 
     Breadth first, so `depth` is the least one; of several parents at that depth the smallest name is kept and
     `branch` is the first-level caller the row hangs under.  With a bound on the depth, `cut` tells the roots that have callers
-    beyond it.  Names are walked slice by slice, so what a round shuffles doesn't grow with the number of names asked.
+    beyond it.  Steps that a task can hold are walked in memory; else, and with a bounded depth, names are walked slice by slice by joins, so
+    what a round shuffles doesn't grow with the number of names asked.
     """
-    nums, steps, slices = _chain_steps(symbols, calls, names)
-    walked = [_walk(steps, roots, depth) for roots in slices]
+    nums, steps, asked = _chain_steps(symbols, calls, names)
+    if depth is None and _holds(nums, steps):
+        return _held(nums, steps, asked, chains.chain, chains.CHAIN, depth)
+    walked = [_walk(steps, roots, depth) for roots in _slices(asked)]
     seen = _union([piece for pieces in walked for piece in pieces])
     named = lambda df, num, out: df.join(nums.select(F.col("num").alias(num), F.col("name").alias(out)), num)
     hits = seen.filter("depth > 0").join(steps.select(F.col("a").alias("parent"), F.col("b").alias("a"), "info"), ["parent", "a"])
@@ -149,11 +192,14 @@ def upstream_chain(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth
 def chain_roots(symbols: DataFrame, calls: DataFrame, names: DataFrame, depth: int | None = None) -> DataFrame:
     """(repo, root, name, file, line, upstream): the first-level callers of `upstream_chain`, and how many rows hang under each.
 
-    The whole chains are walked, but only their counts are kept: a slice's levels are dropped once they are counted.
+    The whole chains are walked, but only their counts are kept.  Steps that a task can hold are walked in memory; by joins, a slice's
+    levels are dropped once they are counted.
     """
-    nums, steps, slices = _chain_steps(symbols, calls, names)
+    nums, steps, asked = _chain_steps(symbols, calls, names)
+    if _holds(nums, steps):
+        return cut(_held(nums, steps, asked, chains.roots_of, chains.ROOTS, depth))
     counts = []
-    for roots in slices:
+    for roots in _slices(asked):
         folder = f"chain-{uuid.uuid4().hex}"
         hung = _union(_walk(steps, roots, depth, folder)).filter("depth > 0").groupBy("o", F.col("branch").alias("a"))
         counts.append(cut(hung.agg((F.count("*") - 1).alias("upstream"))))

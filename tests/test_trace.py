@@ -1,8 +1,10 @@
 """Symbol and impact operators: call chain, risk ladder, cross-language impact."""
 
+import random
+
 import pytest
 
-from codeatlas.operators import reach as R, trace as T
+from codeatlas.operators import chains, reach as R, trace as T
 from tests.conftest import rows
 
 SYMBOLS = "repo string, id long, name string, kind string, file string, line int, language string"
@@ -169,3 +171,21 @@ def test_a_written_table_keeps_no_shuffle(spark):
             break
         time.sleep(0.1)
     assert not held() - was and table.count() == 1000
+
+
+def test_chains_walked_in_memory_are_those_walked_by_joins(spark, monkeypatch):
+    """No level of a walk is written or shuffled where tasks hold the steps; loops, equal names, missing callers and nulls are told alike."""
+    rng = random.Random(5)
+    symbols = spark.createDataFrame([(rng.choice("rs"), i, f"f{i % 37}" if i else None, "function", None if i % 11 == 0 else f"x{i % 5}", i % 9, rng.choice(["java", None])) for i in range(45)], SYMBOLS)
+    calls = spark.createDataFrame([(rng.choice("rs"), i, rng.randrange(48), f"f{rng.randrange(45)}" if i % 13 else None, "f", 1, None, "direct") for i in range(500)], CALLS)
+    names = spark.createDataFrame([(repo, f"f{i}") for repo in "rs" for i in range(50)] * 2 + [("r", None)], "repo string, name string")
+    told = []
+    for held, cells, steps in ((-1, 1, 1), (R._HELD, 200, 7), (R._HELD, chains._CELLS, chains._STEPS)):
+        with monkeypatch.context() as m:
+            for module, name, value in ((R, "_HELD", held), (chains, "_CELLS", cells), (chains, "_STEPS", steps), (chains, "_ROWS", 3)):
+                m.setattr(module, name, value)
+            walked = []
+            m.setattr(R, "_walk", lambda *a, walk=R._walk: walked.append(a) or walk(*a))
+            told.append((rows(R.upstream_chain(symbols, calls, names)), rows(R.chain_roots(symbols, calls, names)), rows(R.chain_roots(symbols, calls, names, depth=2))))
+            assert bool(walked) == (held < 0)
+    assert told[0] == told[1] == told[2] and len(told[0][0]) > 300
