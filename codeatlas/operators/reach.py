@@ -57,7 +57,7 @@ def _hashed(names: DataFrame):
     """
     names = names.dropna().distinct()
     for seed in count():
-        number = lambda name, seed=seed: F.xxhash64(F.lit(seed), F.col("repo"), F.col(name))
+        number = lambda name, seed=seed: F.xxhash64(F.lit(seed), F.col("repo"), F.col(name) if isinstance(name, str) else name)
         nums = cut(names.withColumn("num", number("id")))
         if nums.groupBy("num").count().filter("count > 1").isEmpty():
             return nums, number

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeatlas.functions.scan import keep_where
 from codeatlas.functions.text import split_lines, trim
+from codeatlas.operators import overlap
+from codeatlas.operators.reach import _hashed
 from codeatlas.session import cut, dealt
 
 # Words that say nothing about a topic (search, then answer checks), model context sizes, ratios.
@@ -41,6 +43,7 @@ MODEL_LIMITS = {
     "deepseek-coder-v2": 128_000, "qwen2.5-coder": 128_000, "phi3": 128_000, "gemma2": 8_192, "command-r": 128_000,
 }
 DEFAULT_LIMIT, USAGE_RATIO, COMPACTION_RATIO, KEEP_RECENT = 8_192, 0.75, 0.7, 6
+_HELD = 24_000_000  # words of texts that a task can take into its memory
 
 
 def session_list(messages: DataFrame) -> DataFrame:
@@ -91,6 +94,39 @@ def newest_sessions(messages: DataFrame, k: int = 20) -> DataFrame:
     return listed.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k).select("repo", "session_id")
 
 
+def _scored_in_memory(queries: DataFrame, targets: DataFrame, n: int, min_score: float) -> DataFrame:
+    """(q, t, score) of the pairs that can be among the best n of q.  Words travel as numbers: all of the targets to each task, and a share of the queries."""
+    said = lambda df, words: df.select("repo", F.explode(words).alias("id"))
+    _, number = _hashed(said(queries, "query").unionByName(said(targets, "target")))
+    tasks = min(2 * queries.sparkSession.sparkContext.defaultParallelism, queries.count() // 256 + 1)
+    every = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
+    theirs = targets.select(F.transform("target", lambda w: number(w)).alias("words"), "t").select(every, "t", "words")
+    own = queries.select(F.pmod(F.xxhash64("q"), F.lit(tasks)).cast("int").alias("task"), "q", F.transform("query", lambda w: number(w)).alias("words"))
+    dealt_out = theirs.unionByName(own, allowMissingColumns=True).repartitionById(tasks, "task")
+    pairs = cut(dealt_out.mapInArrow(lambda batches: overlap.best(batches, n, min_score), overlap.PAIRS))
+    return pairs.select("q", "t", F.round(F.col("hits") / F.col("all"), 6).alias("score")).filter(F.col("score") >= min_score)
+
+
+def _scored_by_joins(queries: DataFrame, targets: DataFrame, min_score: float) -> DataFrame:
+    """(q, t, score) of all pairs that reach the score."""
+    words = targets.select("repo", "t", "target", F.explode("target").alias("word"))
+    frequency = words.groupBy("repo", "word").agg(F.count("*").alias("df"))
+    weighed = queries.select("repo", "q", F.size(F.array_distinct("query")).alias("width"), F.explode("query").alias("word")).groupBy(
+        "repo", "q", "width", "word"
+    ).agg(F.count("*").alias("w"))
+    by_common = Window.partitionBy("repo", "q").orderBy(F.desc("df"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    kept = (
+        weighed.join(frequency, ["repo", "word"])  # words no exchange holds cannot bring a candidate
+        .withColumn("reach", F.sum("w").over(by_common))
+        .filter(F.col("reach") >= F.col("width") * min_score - 1e-9)
+        .select("repo", "q", "word")
+    )
+    # An exchange with more distinct words than the question's words could outweigh is no candidate either.
+    most = F.size("query") / F.lit(max(min_score, 1e-9)) + 1e-9
+    met = dealt(kept.join(queries, ["repo", "q"]), "repo", "word").join(dealt(words, "repo", "word"), ["repo", "word"]).filter(F.size("target") <= most)
+    return keep_where(met, "score", overlap_score(F.col("query"), F.col("target")), lambda s: s >= min_score).select("q", "t", "score")
+
+
 def related_exchanges(
     questions: DataFrame, messages: DataFrame, n: int = 3, min_score: float = 0.15, recent: int | None = None,
     shown: tuple[int, int] | None = None,
@@ -98,7 +134,9 @@ def related_exchanges(
     """(repo, id, session_id, turn, question, answer, score): the best earlier exchanges for each question (repo, id, text).
 
     Texts are compared as classes of equal words, so what is said often is compared once; of the exchanges of a class only the first `n`
-    can be among the best.  Classes meet in an equi-join on words and bring their word lists along: the score is told in the join, and only
+    can be among the best.  Where a task can hold the words of all exchanges, each compares a share of the questions with them in memory.
+
+    Else classes meet in an equi-join on words and bring their word lists along: the score is told in the join, and only
     pairs that reach it are written, so what is shuffled grows with the texts and not with the pairs compared.  A question's
     commonest words are left out of that join as long as they could not reach the score by themselves: a pair sharing only those
     scores below `min_score`, so the result is the same and the words found everywhere never meet.
@@ -112,22 +150,11 @@ def related_exchanges(
     targets, queries = numbered(known, "target", "t"), numbered(asked, "query", "q")
     firsts = Window.partitionBy("t").orderBy("session_id", "turn")
     exchanges = known.join(targets, ["repo", "target"]).select("t", "session_id", "turn").withColumn("nth", F.row_number().over(firsts)).filter(F.col("nth") <= n).drop("nth")
-    words = targets.select("repo", "t", "target", F.explode("target").alias("word"))
-    frequency = words.groupBy("repo", "word").agg(F.count("*").alias("df"))
-    weighed = queries.select("repo", "q", F.size(F.array_distinct("query")).alias("width"), F.explode("query").alias("word")).groupBy(
-        "repo", "q", "width", "word"
-    ).agg(F.count("*").alias("w"))
-    by_common = Window.partitionBy("repo", "q").orderBy(F.desc("df"), "word").rowsBetween(Window.unboundedPreceding, 0)
-    kept = (
-        weighed.join(frequency, ["repo", "word"])  # words no exchange holds cannot bring a candidate
-        .withColumn("reach", F.sum("w").over(by_common))
-        .filter(F.col("reach") >= F.col("width") * min_score - 1e-9)
-        .select("repo", "q", "word")
-    )
-    # An exchange with more distinct words than the question's words could outweigh is no candidate either.
-    most = F.size("query") / F.lit(max(min_score, 1e-9)) + 1e-9
-    met = dealt(kept.join(queries, ["repo", "q"]), "repo", "word").join(dealt(words, "repo", "word"), ["repo", "word"]).filter(F.size("target") <= most)
-    scored = keep_where(met, "score", overlap_score(F.col("query"), F.col("target")), lambda s: s >= min_score).select("q", "t", "score").distinct()
+    if targets.agg(F.coalesce(F.sum(F.size("target")), F.lit(0))).first()[0] <= _HELD:
+        scored = _scored_in_memory(queries, targets, n, min_score)
+    else:
+        scored = _scored_by_joins(queries, targets, min_score)
+    scored = scored.distinct()  # a pair may meet on several words
     first_n = lambda df, *key: df.withColumn(
         "nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "session_id", "turn"))
     ).filter(F.col("nth") <= n).drop("nth")

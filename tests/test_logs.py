@@ -131,6 +131,24 @@ def test_related_exchanges_write_no_pair_below_the_score(spark):
     assert rows(found, "id", "session_id", "turn", "score") == [(i, s, 0, 0.666667) for i in (1, 2) for s in (1, 4)]
 
 
+def test_related_exchanges_in_memory_are_those_of_the_joins(spark, monkeypatch):
+    """Without a join of questions and exchanges, where tasks hold the words; equal scores, repeats and other repos' words are told alike."""
+    import random
+
+    rng = random.Random(7)
+    said = lambda: " ".join(rng.choices([f"word{i}" for i in range(9)] + ["common"] * 5 + ["the"], k=rng.randint(0, 7)))
+    talk = [(repo, s, t, ["user", "assistant"][t % 2], None if s == 3 and t == 0 else said(), NOW) for repo in "rs" for s in range(30) for t in range(4)]
+    messages = spark.createDataFrame(talk, "repo string, session_id long, turn int, role string, text string, ts timestamp_ntz")
+    questions = spark.createDataFrame([(repo, i % 35, said()) for repo in "rsx" for i in range(40)] + [("r", 99, None), ("r", None, "word1 word2")], "repo string, id long, text string")
+    told, joined = {}, []
+    monkeypatch.setattr(L, "_scored_by_joins", lambda *a, by=L._scored_by_joins: joined.append(a) or by(*a))
+    for held in (-1, L._HELD):
+        monkeypatch.setattr(L, "_HELD", held)
+        told[held] = [rows(L.related_exchanges(questions, messages, n=n, min_score=least)) for n, least in ((3, 0.15), (1, 0.6))]
+        assert len(joined) == 2
+    assert told[-1] == told[L._HELD] and all(told[-1])
+
+
 def test_related_exchanges_match_brute_force(spark):
     """The join leaves out common words; the answer must not change."""
     import random
